@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_sort, mixing
+from . import histogram_sort, mixing, positional_index
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
 
 
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.digests(positional_index.contaminated_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), 24)
 
@@ -21,11 +25,33 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_positional_index": op1_positional_index,
     "op4_histogram_sort": op4_histogram_sort,
     "op10_water_filling": op10_water_filling,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_positional_index": r"""
+WITH dw AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(13, len(w)) - 1) AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(g) AS n FROM win),
+dg AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN lens WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item_id FROM dg JOIN win USING (g)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
     "op10_water_filling": """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
