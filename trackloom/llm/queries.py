@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import histogram_sort, mixing, positional_index
+from . import hamming_minhash, histogram_sort, mixing, positional_index
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -19,6 +19,10 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), 24)
 
 
+def op9_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"), MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS)
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -27,6 +31,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op4_histogram_sort": op4_histogram_sort,
+    "op9_hamming_minhash": op9_hamming_minhash,
     "op10_water_filling": op10_water_filling,
 }
 
@@ -51,6 +56,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_hamming_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id WHERE r.m < l.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.m) AS component_id, w.doc_id = min(r.m) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
 """,
     "op10_water_filling": """
 WITH d AS (
