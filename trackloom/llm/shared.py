@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids up to this many are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids``; null is an id like any other."""
+    ids = staged(ids.select(F.col("doc_id").alias("gone")).distinct(), "ids")
+    by = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(by, docs["doc_id"].eqNullSafe(by["gone"]), "left_anti")
