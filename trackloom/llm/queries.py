@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming_minhash, histogram_sort, mixing, positional_index, rule_ensemble
+from . import hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -23,6 +23,11 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), "quality", 0.7)
 
 
+def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    return hash_forest.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op9_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op4_histogram_sort": op4_histogram_sort,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_hamming_minhash": op9_hamming_minhash,
     "op10_water_filling": op10_water_filling,
 }
