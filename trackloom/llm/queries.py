@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble
+from . import gated_recurrent, hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -19,6 +19,10 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), 24)
 
 
+def op5_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_recurrent.scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), "toxic", 0.3)
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), "quality", 0.7)
 
@@ -40,6 +44,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op4_histogram_sort": op4_histogram_sort,
+    "op5_gated_recurrent": op5_gated_recurrent,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_hamming_minhash": op9_hamming_minhash,
