@@ -6,10 +6,11 @@ symbols, then by the pigeonhole principle some chunk differs in at most one, so
 that chunk with the differing symbol left out: every pair under the threshold meets. At a similarity of
 0.75 a symbol differs with probability 1/4, and more than 31 of 64 do in about one pair of 100,000.
 
-Texts with equal sets are one node from the start. Within a key each node is first compared with one hub;
-after these links are joined to components, only keys whose nodes still lie in different components are
-compared further, across components and in blocks, so that a large group of near copies costs links in
-proportion to its size. Every link is confirmed on the full sets.
+Texts with equal sets are one node from the start. Within a key each node is first compared with one hub,
+then with the node nearest to the consensus of all signatures. Links make components, and only nodes that
+share a key but still lie in different components are compared pair by pair, in blocks. A pair is passed on
+by one of its keys, and only if enough shingles of both occur in some other such node at all: so a large
+group of near copies costs links in proportion to its size. Every link is confirmed on the full sets.
 
 Shingles are runs of 5 words, fewer words count as one shingle; a shingle is a 48-bit hash of its words.
 
@@ -201,11 +202,12 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    return staged(_node_sets(docs, nodes, pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), n), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    pairs = staged(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = staged(_node_sets(docs, nodes, wanted, n), "sets")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("members").alias(f"set_{k}"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,30 +241,101 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs under the signature threshold among nodes that share a key but not yet a component."""
+def _unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, n (nodes of the key) for the keys whose nodes lie in different components."""
     members = groups.where(F.col("key").isNotNull()).select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    return members.join(mixed, "key")
+
+
+def _symbols(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _with_consensus(unsettled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of each node and the one of its key, or of its block of a large key, that agrees most with all signatures."""
+    rows = unsettled.join(nodes.select("node", "signature"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP_BLOCK).cast("int")))
+
+    def star(table: pa.Table) -> pa.Table:
+        node, label, sig = table.column("node").to_numpy(), table.column("label").to_numpy(), _symbols(table.column("signature"))
+        ranked = np.sort(sig, 0)
+        new = np.r_[np.ones((1, sig.shape[1]), bool), ranked[1:] != ranked[:-1]]
+        mode = np.empty(sig.shape[1], np.uint16)
+        for c in range(sig.shape[1]):
+            starts = np.flatnonzero(new[:, c])
+            mode[c] = ranked[starts[np.diff(np.r_[starts, len(node)]).argmax()], c]
+        agree = (sig == mode).sum(1)
+        hub = np.lexsort((node, -agree))[0]
+        far = np.flatnonzero((label != label[hub]) & ((sig != sig[hub]).sum(1) <= THRESHOLD))
+        return _pairs(np.full(len(far), node[hub]), node[far])
+
+    return rows.groupBy("key", "block").applyInArrow(star, "a long, b long")
+
+
+def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
+    """node and n_shared: how many of its shingles occur in another of these nodes."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            members = [_unpacked(x) for x in batch.column("members").to_pylist()]
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), [len(x) for x in members])
+            value = np.concatenate(members)
+            part = (mix(value) % np.uint64(parts)).astype(np.int64)
+            rows = [(p, value[part == p].tobytes(), node[part == p].tobytes()) for p in np.unique(part).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "shingles", "nodes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        value = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+        node = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+        order = np.argsort(value, kind="stable")
+        value, node = value[order], node[order]
+        twin = np.zeros(len(value), bool)
+        same = value[1:] == value[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+        of, n = np.unique(node[twin], return_counts=True)
+        return pa.table({"node": pa.array(of, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    dealt = sets.select("node", "members").mapInArrow(deal, "part int, shingles binary, nodes binary")
+    return dealt.groupBy("part").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_shared"))
+
+
+def _across(unsettled: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that may be linked; each is passed on by one of its keys."""
     cut = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
-    rows = members.join(mixed, "key").join(nodes.select("node", "signature"), "node")
-    mine = F.pmod(F.xxhash64("node"), cut).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "signature")
+    rows = unsettled.join(nodes.select("node", "signature", "n_shingles"), "node").join(shared, "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "signature", "n_shingles", "n_shared")
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        mine = table.column("mine").to_numpy()
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
+        i, j, key = (table.column(k)[0].as_py() for k in ("i", "j", "key"))
+        mine, node, label, size, shared = (table.column(k).to_numpy() for k in ("mine", "node", "label", "n_shingles", "n_shared"))
+        sig = _symbols(table.column("signature"))
+        slot = int((chunk_keys(sig[:1])[0] == np.int64(key).astype(np.uint64)).argmax())
+        chunk, out = divmod(slot, CHUNK)
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = []
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
-            near = right[(label[right] != label[x]) & ((sig[right] != sig[x]).sum(1) <= THRESHOLD)]
-            if i == j:
-                near = near[near > x]
-            found.append(np.stack([np.minimum(node[x], node[near]), np.maximum(node[x], node[near])], 1))
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            fits = (label[right] != label[x]) & ((100 + percent) * np.minimum(shared[right], shared[x]) >= percent * (size[right] + size[x]))
+            fits &= 100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])
+            near = right[fits & (right > x if i == j else True)]
+            if not len(near):
+                continue
+            differ = sig[near] != sig[x]
+            wrong = differ.reshape(len(near), -1, CHUNK).sum(2)
+            first = (wrong <= 1).argmax(1)
+            place = np.where(wrong[np.arange(len(near)), first] == 1, differ.reshape(len(near), -1, CHUNK)[np.arange(len(near)), first].argmax(1), 0)
+            near = near[(differ.sum(1) <= THRESHOLD) & (first == chunk) & (place == out)]
+            found_a.append(np.full(len(near), node[x]))
+            found_b.append(node[near])
+        return _pairs(np.concatenate(found_a), np.concatenate(found_b))
 
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -277,12 +350,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     parts = max(1, -(-nodes.count() * SYMBOLS // PART_KEYS))
     groups = staged(_groups(_dealt(nodes, parts)), "groups")
     stars = groups.where(F.col("key").isNull()).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = _confirmed(docs, nodes, _near(stars, nodes, percent), n, percent)
+    pairs = staged(_near(stars, nodes, percent), "near-pairs")
+    links = _confirmed(pairs, _sets_of(docs, nodes, pairs, n), percent)
     labels = components(links)
-    more = _across(groups, labels, nodes)
-    more = _confirmed(docs, nodes, _near(more, nodes, percent), n, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    open_keys = staged(_unsettled(groups, labels), "unsettled")
+    if not open_keys.isEmpty():
+        sets = staged(_node_sets(docs, nodes, open_keys.select("node").distinct(), n), "sets")
+        pairs = staged(_with_consensus(open_keys, nodes).distinct(), "near-pairs")
+        links = links.unionByName(_confirmed(pairs, sets, percent))
+        labels = components(links)
+        open_keys = staged(_unsettled(groups, labels), "unsettled")
+        shared = _shared_counts(sets, max(1, -(-nodes.count() * SYMBOLS // PART_KEYS)))
+        pairs = staged(_across(open_keys, nodes, staged(shared, "shared"), percent).distinct(), "near-pairs")
+        labels = components(links.unionByName(_confirmed(pairs, sets, percent)))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = staged(named.select("node", "label").join(smallest, "label").select("node", "component_id"), "components")
