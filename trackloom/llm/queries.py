@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gated_recurrent, hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble
+from . import gated_recurrent, hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble, suffix_tree
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -15,6 +15,10 @@ def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.digests(positional_index.contaminated_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scored(documents(spark, sf_dir))
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_sort.shard_documents(documents(spark, sf_dir), 24)
 
@@ -43,6 +47,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_histogram_sort": op4_histogram_sort,
     "op5_gated_recurrent": op5_gated_recurrent,
     "op6_rule_ensemble": op6_rule_ensemble,
