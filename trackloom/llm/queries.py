@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gated_recurrent, hamming_minhash, hash_forest, histogram_sort, mixing, positional_index, rule_ensemble, suffix_tree
+from . import (
+    gated_recurrent,
+    hamming_minhash,
+    hash_forest,
+    histogram_sort,
+    mixing,
+    positional_index,
+    previous_factor,
+    rule_ensemble,
+    suffix_automaton,
+    suffix_tree,
+)
 from .shared import documents
 
 MIX_WEIGHTS, MIX_TOTAL, MIX_EPOCHS = [3.0, 1.0, 2.0], 1.5, 2.0
@@ -15,6 +26,15 @@ def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.digests(positional_index.contaminated_documents(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
 
 
+def _removed() -> Column:
+    return F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_automaton.substring_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scored(documents(spark, sf_dir))
 
@@ -31,6 +51,11 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(documents(spark, sf_dir), documents(spark, sf_dir, "labels"), "quality", 0.7)
 
 
+def op7_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = previous_factor.suffix_array_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", _removed().alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = documents(spark, sf_dir, "embeddings")
     return hash_forest.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -47,10 +72,12 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
+    "op2_suffix_automaton": op2_suffix_automaton,
     "op3_suffix_tree": op3_suffix_tree,
     "op4_histogram_sort": op4_histogram_sort,
     "op5_gated_recurrent": op5_gated_recurrent,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_previous_factor": op7_previous_factor,
     "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_hamming_minhash": op9_hamming_minhash,
     "op10_water_filling": op10_water_filling,
