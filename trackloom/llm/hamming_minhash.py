@@ -1,16 +1,19 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's signature has 64 symbols of 16 bits, each from the smallest value of one hash function over
-its shingles. Signatures are cut into 16 chunks of 4 symbols. If two signatures differ in at most 31
+A document's signature has 80 symbols of 16 bits, each from the smallest value of one hash function over
+its shingles. Signatures are cut into 20 chunks of 4 symbols. If two signatures differ in at most 39
 symbols, then by the pigeonhole principle some chunk differs in at most one, so both share a key made of
 that chunk with the differing symbol left out: every pair under the threshold meets. At a similarity of
-0.75 a symbol differs with probability 1/4, and more than 31 of 64 do in about one pair of 100,000.
+0.75 a symbol differs with probability 1/4, and more than 39 of 80 do in about one pair of a million.
 
 Texts with equal sets are one node from the start. Within a key each node is first compared with one hub,
 then with the node nearest to the consensus of all signatures. Links make components, and only nodes that
-share a key but still lie in different components are compared pair by pair, in blocks. A pair is passed on
-by one of its keys, and only if enough shingles of both occur in some other such node at all: so a large
-group of near copies costs links in proportion to its size. Every link is confirmed on the full sets.
+share a key but still lie in different components are looked at further: first each with the nearest node of
+another component, then pair by pair in blocks. There a pair is passed on by one of its keys only, and only
+if an upper bound of what it has in common allows a link: the shingles of the two that occur in some other
+such node at all, and, for two nodes near the same hub, the shingles of the hub that both hold (as bitmaps)
+plus those outside it that occur elsewhere. So a large group of near copies makes rows in proportion to its
+size. Every link is confirmed on the full sets.
 
 Shingles are runs of 5 words, fewer words count as one shingle; a shingle is a 48-bit hash of its words.
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .packing import PLAIN, Rolling, Texts, blocks, mix
 from .shared import staged
 
-SYMBOLS, CHUNK = 64, 4
+SYMBOLS, CHUNK = 80, 4
 #: Symbols in which two signatures may differ: one less than twice the number of chunks.
 THRESHOLD = 2 * (SYMBOLS // CHUNK) - 1
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,25 +259,62 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _with_consensus(unsettled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of each node and the one of its key, or of its block of a large key, that agrees most with all signatures."""
+def _blocked(unsettled: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = unsettled.join(nodes.select("node", "signature"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP_BLOCK).cast("int")))
+    return rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP_BLOCK).cast("int")))
+
+
+def _with_consensus(unsettled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hub and node: the node of each key, or of a block of a large key, that agrees most with all signatures, and each other one."""
 
     def star(table: pa.Table) -> pa.Table:
-        node, label, sig = table.column("node").to_numpy(), table.column("label").to_numpy(), _symbols(table.column("signature"))
+        node, sig = table.column("node").to_numpy(), _symbols(table.column("signature"))
         ranked = np.sort(sig, 0)
         new = np.r_[np.ones((1, sig.shape[1]), bool), ranked[1:] != ranked[:-1]]
         mode = np.empty(sig.shape[1], np.uint16)
         for c in range(sig.shape[1]):
             starts = np.flatnonzero(new[:, c])
             mode[c] = ranked[starts[np.diff(np.r_[starts, len(node)]).argmax()], c]
-        agree = (sig == mode).sum(1)
-        hub = np.lexsort((node, -agree))[0]
-        far = np.flatnonzero((label != label[hub]) & ((sig != sig[hub]).sum(1) <= THRESHOLD))
-        return _pairs(np.full(len(far), node[hub]), node[far])
+        hub = np.lexsort((node, -(sig == mode).sum(1)))[0]
+        far = np.flatnonzero(((sig != sig[hub]).sum(1) <= THRESHOLD) & (node != node[hub]))
+        return pa.table({"hub": pa.array(np.full(len(far), node[hub]), pa.int64()), "node": pa.array(node[far], pa.int64())})
+
+    return _blocked(unsettled, nodes).groupBy("key", "block").applyInArrow(star, "hub long, node long")
+
+
+def _with_nearest(unsettled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of each node and the nearest one by signature, of its key, that lies in another component."""
+
+    def nearest(table: pa.Table) -> pa.Table:
+        node, label, sig = table.column("node").to_numpy(), table.column("label").to_numpy(), _symbols(table.column("signature"))
+        best, at = np.full(len(node), THRESHOLD + 1), np.zeros(len(node), np.int64)
+        for x in range(len(node)):
+            differ = np.where(label != label[x], (sig != sig[x]).sum(1), THRESHOLD + 1)
+            at[x] = differ.argmin()
+            best[x] = differ[at[x]]
+        near = best <= THRESHOLD
+        return _pairs(node[near], node[at[near]])
+
+    return _blocked(unsettled, nodes).groupBy("key", "block").applyInArrow(nearest, "a long, b long")
+
 
-    return rows.groupBy("key", "block").applyInArrow(star, "a long, b long")
+def _near_hubs(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, home (the hub that it was compared with most often), which of the hub's shingles it holds, and its others."""
+    told = stars.groupBy("node", "hub").count().union(stars.groupBy(F.col("hub").alias("node"), "hub").count())
+    homes = told.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("home"))
+    rows = homes.join(sets, "node").join(sets.select(F.col("node").alias("home"), F.col("members").alias("hub_members")), "home")
+
+    def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, others = [], []
+            for mine, hub in zip(batch.column("members"), batch.column("hub_members"), strict=True):
+                mine, hub = _unpacked(mine.as_py()), _unpacked(hub.as_py())
+                held.append(np.packbits(np.isin(hub, mine, assume_unique=True)).tobytes())
+                other = mine[~np.isin(mine, hub, assume_unique=True)]
+                others.append(np.ascontiguousarray(other).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("home"), pa.array(held, pa.binary()), pa.array(others, pa.binary())], ["node", "home", "held", "members"])
+
+    return rows.mapInArrow(relate, "node long, home long, held binary, members binary")
 
 
 def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
@@ -307,16 +347,21 @@ def _shared_counts(sets: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_shared"))
 
 
-def _across(unsettled: DataFrame, nodes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def _across(unsettled: DataFrame, nodes: DataFrame, shared: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
     """The pairs of different components that may be linked; each is passed on by one of its keys."""
     cut = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
-    rows = unsettled.join(nodes.select("node", "signature", "n_shingles"), "node").join(shared, "node")
+    rows = unsettled.join(nodes.select("node", "signature", "n_shingles"), "node").join(shared, "node").join(homes, "node", "left")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "signature", "n_shingles", "n_shared")
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "label", "signature", "n_shingles", "n_shared", "home", "held", "n_other")
 
     def compare(table: pa.Table) -> pa.Table:
         i, j, key = (table.column(k)[0].as_py() for k in ("i", "j", "key"))
         mine, node, label, size, shared = (table.column(k).to_numpy() for k in ("mine", "node", "label", "n_shingles", "n_shared"))
+        home = np.where(table.column("home").is_valid().to_numpy(), table.column("home").fill_null(0).to_numpy(), node)
+        other = table.column("n_other").fill_null(0).to_numpy()
+        held_bytes = [x or b"" for x in table.column("held").to_pylist()]
+        wide = max(1, *map(len, held_bytes))
+        held = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in held_bytes), np.uint8).reshape(len(node), wide)
         sig = _symbols(table.column("signature"))
         slot = int((chunk_keys(sig[:1])[0] == np.int64(key).astype(np.uint64)).argmax())
         chunk, out = divmod(slot, CHUNK)
@@ -326,6 +371,8 @@ def _across(unsettled: DataFrame, nodes: DataFrame, shared: DataFrame, percent:
             fits = (label[right] != label[x]) & ((100 + percent) * np.minimum(shared[right], shared[x]) >= percent * (size[right] + size[x]))
             fits &= 100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])
             near = right[fits & (right > x if i == j else True)]
+            common = np.bitwise_count(held[near] & held[x]).sum(1, dtype=np.int64) + np.minimum(other[near], other[x])
+            near = near[(home[near] != home[x]) | ((100 + percent) * common >= percent * (size[near] + size[x]))]
             if not len(near):
                 continue
             differ = sig[near] != sig[x]
@@ -356,12 +403,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     open_keys = staged(_unsettled(groups, labels), "unsettled")
     if not open_keys.isEmpty():
         sets = staged(_node_sets(docs, nodes, open_keys.select("node").distinct(), n), "sets")
-        pairs = staged(_with_consensus(open_keys, nodes).distinct(), "near-pairs")
+        stars = staged(_with_consensus(open_keys, nodes), "stars")
+        settled = labels.withColumnRenamed("label", "l")
+        side = lambda k: settled.select(F.col("node").alias(k), F.col("l").alias(f"label_{k}"))
+        far = stars.distinct().join(side("hub"), "hub", "left").join(side("node"), "node", "left")
+        far = far.where(F.coalesce("label_hub", "hub") != F.coalesce("label_node", "node"))
+        pairs = staged(far.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "near-pairs")
+        links = links.unionByName(_confirmed(pairs, sets, percent))
+        labels = components(links)
+        homes = staged(_near_hubs(stars, sets), "homes")
+        parts = max(1, -(-nodes.count() * SYMBOLS // PART_KEYS))
+        shared = staged(_shared_counts(sets, parts), "shared")
+        others = homes.select("node", "home", "held").join(_shared_counts(homes.select("node", "members"), parts).withColumnRenamed("n_shared", "n_other"), "node", "left")
+        homes = staged(others, "homes")
+        open_keys = staged(_unsettled(groups, labels), "unsettled")
+        pairs = staged(_with_nearest(open_keys, nodes).distinct(), "near-pairs")
         links = links.unionByName(_confirmed(pairs, sets, percent))
         labels = components(links)
         open_keys = staged(_unsettled(groups, labels), "unsettled")
-        shared = _shared_counts(sets, max(1, -(-nodes.count() * SYMBOLS // PART_KEYS)))
-        pairs = staged(_across(open_keys, nodes, staged(shared, "shared"), percent).distinct(), "near-pairs")
+        pairs = staged(_across(open_keys, nodes, shared, homes, percent).distinct(), "near-pairs")
         labels = components(links.unionByName(_confirmed(pairs, sets, percent)))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
