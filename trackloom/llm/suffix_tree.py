@@ -92,7 +92,7 @@ def _answered(seq: Sequence, answers: pa.Table | None, depths: int, parts: list[
         count = None
         if answers is not None:
             mine = answers.filter(pc.equal(answers.column("depth"), depth))
-            if mine.num_rows:
+            if mine.num_rows or not len(distinct):
                 count = np.zeros(len(distinct), np.int64)
                 got = dict(zip(mine.column("part").to_pylist(), mine.column("counts").to_pylist(), strict=True))
                 for p, at in parts_of(distinct, parts[depth]):
@@ -179,7 +179,7 @@ def _sums(depth: int, parts: list[int], least: float, states: list[States], toke
         return pa.table(
             {
                 "state": pa.chunked_array([pa.array(context.view(np.int64)), none(len(rows), pa.int64())]),
-                **{k: pa.chunked_array([pa.array(v), none(len(rows), pa.float64())]) for k, v in zip(("kept", "once", "gain"), sums, strict=True)},
+                **{k: pa.chunked_array([pa.array(v.astype(float)), none(len(rows), pa.float64())]) for k, v in zip(("kept", "once", "gain"), sums, strict=True)},
                 "batch": pa.chunked_array([none(n, pa.int32()), pa.array([r[0] for r in rows], pa.int32())]),
                 "part": pa.chunked_array([none(n, pa.int32()), pa.array([r[1] for r in rows], pa.int32())]),
                 "keys": pa.chunked_array([none(n, pa.binary()), pa.array([r[2] for r in rows], pa.binary())]),
