@@ -17,6 +17,7 @@ one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .packing import PLAIN, Rolling, Texts, Words, blocks, mix
 
-#: Labelled documents that are taken to the driver at most (those with the smallest hashes), and the longest of them in bytes.
+#: Labels (those with the smallest hashes) whose documents one task trains on at most, and the longest of these documents in bytes.
 SAMPLE, SAMPLE_BYTES = 10_000, 1 << 15
 WINDOW, STRIDE = 48, 36
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
@@ -79,6 +80,26 @@ def word_ids(texts: Texts) -> tuple[Words, np.ndarray, Vocabulary]:
     return words, number.ravel(), Vocabulary(distinct, gram, owner, runs)
 
 
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
+    """Bounds of the texts' words, numbers of the words, and the vocabulary of all texts, read block by block."""
+    counts, hashes, words, runs, grams = [], [], [], [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for block in blocks([batch]):
+        w, number, v = word_ids(Texts.of(block.column("text")))
+        counts.append(w.counts())
+        hashes.append(v.word[number])
+        words.append(v.word)
+        runs.append(v.count)
+        grams.append(v.gram)
+    distinct, first = np.unique(np.concatenate(words), return_index=True)
+    n, gram = np.concatenate(runs), np.concatenate(grams)
+    start = np.cumsum(n) - n
+    count = n[first]
+    used = np.repeat(start[first] - np.cumsum(count) + count, count) + np.arange(count.sum())
+    vocabulary = Vocabulary(distinct, gram[used], np.repeat(np.arange(len(first)), count), count)
+    return np.r_[0, np.cumsum(np.concatenate(counts))], np.searchsorted(distinct, np.concatenate(hashes)), vocabulary
+
+
 def often_seen(doc: np.ndarray, value: np.ndarray, least: int) -> np.ndarray:
     """The values that occur in ``least`` documents and more, ascending."""
     order = np.lexsort((doc, value))
@@ -99,6 +120,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _often_seen_runs(doc: np.ndarray, number: np.ndarray, v: Vocabulary, docs_at_once: int = 256) -> np.ndarray:
+    """The runs of bytes that occur in ``SEEN`` documents and more, ascending; ``doc`` ascends."""
+    distinct, run = np.unique(v.gram, return_inverse=True)
+    run, first, seen = run.ravel(), np.cumsum(v.count) - v.count, np.zeros(len(distinct), np.int32)
+    for a in range(0, int(doc[-1]) + 1 if len(doc) else 0, docs_at_once):
+        lo, hi = np.searchsorted(doc, [a, a + docs_at_once])
+        pair = np.unique((doc[lo:hi] - a) * len(v.count) + number[lo:hi])
+        of, word = np.divmod(pair, len(v.count))
+        n = v.count[word]
+        used = np.repeat(first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        held = np.unique(np.repeat(of, n) * len(distinct) + run[used])
+        seen += np.bincount(held % len(distinct), minlength=len(distinct)).astype(np.int32)
+    return distinct[seen >= SEEN]
+
+
 class Network:
     """Parameters, the forward pass and its gradient."""
 
@@ -258,22 +294,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 25
     if min(y.sum(), len(y) - y.sum()) < 2:
         return Model(None, np.zeros(4), float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
-    words, number, vocabulary = word_ids(Texts.of(pa.array(texts, pa.string())))
-    owner = words.doc()
-    of_gram = np.repeat(owner, vocabulary.count[number])
-    first_gram = np.cumsum(vocabulary.count) - vocabulary.count
-    runs = vocabulary.count[number]
-    used = np.repeat(first_gram[number], runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    net = Network(often_seen(owner, vocabulary.word[number], SEEN), often_seen(of_gram, vocabulary.gram[used], SEEN), seed)
+    of, number, vocabulary = numbered(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(of))
+    net = Network(often_seen(owner, vocabulary.word[number], SEEN), _often_seen_runs(owner, number, vocabulary), seed)
     vocabulary = net.known(vocabulary)
     pairs = np.unique(owner * (len(vocabulary.word) + 1) + number)
     of_doc, of_word = np.divmod(pairs, len(vocabulary.word) + 1)
     seen = [np.bincount(of_word[y[of_doc] == k], minlength=len(vocabulary.word)) for k in (0, 1)]
     odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
     odds[seen[0] + seen[1] < 3] = 0
-    doc, first = window_starts(words.counts())
+    doc, first = window_starts(np.diff(of))
     pad = len(vocabulary.word)
-    numbers = _numbers(number, words.of, doc, first, pad)
+    numbers = _numbers(number, of, doc, first, pad)
     strong = np.r_[np.maximum(odds, 0), 0][numbers].sum(0)
     order = np.lexsort((-strong, doc))
     place = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
@@ -314,9 +346,18 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
     taught = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != held)).select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("y"))
+    chosen = F.broadcast(taught.orderBy(F.xxhash64("of"), "of", "y").limit(sample))  # bounded: the texts are not moved for it
     short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.join(taught, short["doc_id"] == taught["of"]).select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").limit(sample).toPandas()
-    model = docs.sparkSession.sparkContext.broadcast(train(rows["text"].tolist(), rows["y"].to_numpy(float)))
+    rows = short.join(chosen, short["doc_id"] == chosen["of"]).select("doc_id", "text", "y").limit(sample)
+
+    def fitted(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table.column("y").to_numpy(), table.column("doc_id").to_numpy()))
+        table = table.take(pa.array(order))
+        return pa.table({"model": pa.array([pickle.dumps(train(table.column("text").to_pylist(), table.column("y").to_numpy()))], pa.binary())})
+
+    # the bounded sample is one task's work on an executor; the driver sees only the model
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "model binary").first()
+    model = docs.sparkSession.sparkContext.broadcast(pickle.loads(found["model"]) if found else train([], np.zeros(0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
