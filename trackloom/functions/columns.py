@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import EMPTY, FINAL, QUARANTINE_FROM, QUARANTINE_TO
 
 TRACK = ["movie_id", "track_id"]
-#: Rows of a track in the order of frames. All windows share this one, so one exchange and sort serves them.
-ALONG = Window.partitionBy(*TRACK).orderBy("frame")
-WHOLE = Window.partitionBy(*TRACK).orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = ALONG.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def along() -> WindowSpec:
+    """Rows of a track in the order of frames. All windows share this one, so one exchange and sort serves them."""
+    return Window.partitionBy(*TRACK).orderBy("frame")
+
+
+def whole() -> WindowSpec:
+    return along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far() -> WindowSpec:
+    return along().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def valid() -> Column:
@@ -44,4 +53,4 @@ def first_outcome() -> Column:
 
 def step() -> Column:
     """Distance from the row before, null in the first."""
-    return F.hypot(F.col("pos_x") - F.lag("pos_x").over(ALONG), F.col("pos_y") - F.lag("pos_y").over(ALONG))
+    return F.hypot(F.col("pos_x") - F.lag("pos_x").over(along()), F.col("pos_y") - F.lag("pos_y").over(along()))

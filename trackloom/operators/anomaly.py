@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALONG, TRACK, first_outcome, is_final, quarantined, step, valid
+from ..functions.columns import along, TRACK, first_outcome, is_final, quarantined, step, valid
 from ..schema import DEATH, EXIT, MITOSIS, Thresholds
 from . import lineage
 
 
 def track_flags(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """One pass over valid, non-quarantined rows: short, gap, jump and no_outcome of every track, its life and whether it ends in Mitosis."""
-    rows = df.where(valid() & ~quarantined()).withColumn("step", step()).withColumn("hop", F.col("frame") - F.lag("frame").over(ALONG))
+    rows = df.where(valid() & ~quarantined()).withColumn("step", step()).withColumn("hop", F.col("frame") - F.lag("frame").over(along()))
     per = rows.groupBy(*TRACK).agg(
         F.count("*").alias("n"),
         F.min("frame").alias("first_frame"),
@@ -113,8 +113,8 @@ def mass_balance(df: DataFrame, entries: DataFrame | None = None, threshold: int
 def relink_suggestions(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """For each gap, the other track nearest to where the broken one should be in the first missing frame."""
     rows = df.where(valid()).select(*TRACK, "frame", "pos_x", "pos_y")
-    prev = lambda c: F.col(c) - F.lag(c).over(ALONG)
-    gaps = rows.withColumns({"next": F.lead("frame").over(ALONG), "vx": F.coalesce(prev("pos_x"), F.lit(0.0)), "vy": F.coalesce(prev("pos_y"), F.lit(0.0))}).where(F.col("next") > F.col("frame") + 1).where(~quarantined())
+    prev = lambda c: F.col(c) - F.lag(c).over(along())
+    gaps = rows.withColumns({"next": F.lead("frame").over(along()), "vx": F.coalesce(prev("pos_x"), F.lit(0.0)), "vy": F.coalesce(prev("pos_y"), F.lit(0.0))}).where(F.col("next") > F.col("frame") + 1).where(~quarantined())
     gaps = gaps.select(*TRACK, (F.col("frame") + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"), (F.col("pos_x") + F.col("vx")).alias("expected_x"), (F.col("pos_y") + F.col("vy")).alias("expected_y"))
     other = rows.select("movie_id", F.col("track_id").alias("candidate"), F.col("frame").alias("gap_start"), "pos_x", "pos_y")
     dist = F.hypot(F.col("pos_x") - F.col("expected_x"), F.col("pos_y") - F.col("expected_y"))
@@ -125,7 +125,7 @@ def relink_suggestions(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
 
 def gap_fills(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Missing frames of gaps of at most ``max_gap_fill`` frames, with the linearly interpolated position."""
-    lead = lambda c: F.lead(c).over(ALONG)
+    lead = lambda c: F.lead(c).over(along())
     rows = df.where(valid()).select(*TRACK, "frame", "pos_x", "pos_y").withColumns({"next": lead("frame"), "x1": lead("pos_x"), "y1": lead("pos_y")})
     gaps = rows.where((F.col("next") > F.col("frame") + 1) & (F.col("next") - F.col("frame") - 1 <= t.max_gap_fill))
     part = (F.col("at") - F.col("frame")) / (F.col("next") - F.col("frame"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALONG, TRACK, WHOLE, has_outcome, step, valid
+from ..functions.columns import along, TRACK, whole, has_outcome, step, valid
 from ..schema import EXIT, MITOSIS, NON_FLAG, START_MARKERS, TRANSLATIONS, Thresholds
 
 
@@ -69,7 +69,7 @@ def flag_border_exits(df: DataFrame, **how) -> DataFrame:
 
 def propagate_outcome(df: DataFrame) -> DataFrame:
     """Every row gets the last outcome of its track, '' without any."""
-    return df.withColumn("outcome", F.coalesce(F.last(F.when(has_outcome(), F.col("outcome")), ignorenulls=True).over(WHOLE), F.lit("")))
+    return df.withColumn("outcome", F.coalesce(F.last(F.when(has_outcome(), F.col("outcome")), ignorenulls=True).over(whole()), F.lit("")))
 
 
 def adaptive_thresholds(df: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def curation_progress(df: DataFrame) -> DataFrame:
 
 def repair_failures(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """(movie_id, track_id) of short, broken or jumping tracks, whatever their outcome."""
-    rows = df.where(valid()).withColumn("step", step()).withColumn("hop", F.col("frame") - F.lag("frame").over(ALONG))
+    rows = df.where(valid()).withColumn("step", step()).withColumn("hop", F.col("frame") - F.lag("frame").over(along()))
     bad = (F.count("*") < t.min_valid_frames) | F.coalesce(F.max("hop") > t.gap_tolerance, F.lit(False)) | F.coalesce(F.max("step") > t.max_jump_px, F.lit(False))
     return rows.groupBy(*TRACK).agg(bad.alias("bad")).where("bad").select(*TRACK)
 

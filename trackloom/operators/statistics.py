@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALONG, SO_FAR, TRACK, first_outcome, valid
+from ..functions.columns import along, so_far, TRACK, first_outcome, valid
 from ..schema import MITOSIS
 
 
@@ -41,7 +41,7 @@ def divisions(df: DataFrame) -> DataFrame:
 
 def ensemble_msd(df: DataFrame, max_lag: int = 20) -> DataFrame:
     """Mean over tracks of each track's mean squared displacement, by lag in rows."""
-    rows = df.where(valid()).withColumns({f"d{k}": F.pow(F.lead("pos_x", k).over(ALONG) - F.col("pos_x"), 2) + F.pow(F.lead("pos_y", k).over(ALONG) - F.col("pos_y"), 2) for k in range(1, max_lag + 1)})
+    rows = df.where(valid()).withColumns({f"d{k}": F.pow(F.lead("pos_x", k).over(along()) - F.col("pos_x"), 2) + F.pow(F.lead("pos_y", k).over(along()) - F.col("pos_y"), 2) for k in range(1, max_lag + 1)})
     per = rows.groupBy(*TRACK).agg(*(F.avg(f"d{k}").alias(f"d{k}") for k in range(1, max_lag + 1)))
     long = per.select("movie_id", F.posexplode(F.array(*(f"d{k}" for k in range(1, max_lag + 1)))).alias("p", "msd")).where("msd is not null")
     return long.groupBy("movie_id", (F.col("p") + 1).cast("long").alias("lag")).agg(F.avg("msd").alias("msd"), F.count("*").alias("n"))
@@ -63,40 +63,40 @@ def aggregated(df: DataFrame, x: str, y: str, how: str = "mean", group: str | No
 def moving_average(df: DataFrame, y: str, k: int) -> DataFrame:
     """Sum of the k rows around each over k, so that the ends shrink; shorter tracks stay as they are."""
     lo = (k - 1) // 2
-    w = ALONG.rowsBetween(-(k - 1 - lo), lo)
+    w = along().rowsBetween(-(k - 1 - lo), lo)
     n = F.count("*").over(Window.partitionBy(*TRACK))
     return df.withColumn("smooth", F.when(n >= k, F.sum(y).over(w) / k).otherwise(F.col(y)))
 
 
 def cumulative_change(df: DataFrame, y: str) -> DataFrame:
-    return df.withColumn("delta", F.coalesce(F.abs(F.col(y) - F.lag(y).over(ALONG)), F.lit(0.0))).withColumn("cumulative", F.sum("delta").over(SO_FAR)).drop("delta")
+    return df.withColumn("delta", F.coalesce(F.abs(F.col(y) - F.lag(y).over(along())), F.lit(0.0))).withColumn("cumulative", F.sum("delta").over(so_far())).drop("delta")
 
 
 def spider(df: DataFrame) -> DataFrame:
     """Positions relative to the first of the track."""
-    return df.withColumn("dx", F.col("pos_x") - F.first("pos_x").over(SO_FAR)).withColumn("dy", F.col("pos_y") - F.first("pos_y").over(SO_FAR))
+    return df.withColumn("dx", F.col("pos_x") - F.first("pos_x").over(so_far())).withColumn("dy", F.col("pos_y") - F.first("pos_y").over(so_far()))
 
 
 def rolling(df: DataFrame, y: str, size: int) -> DataFrame:
     """Mean, spread, range and slope by row number in centred windows, clamped at the ends, of three rows and more."""
     h = max(1, size // 2)
-    w = ALONG.rowsBetween(-h, h)
-    rows = df.withColumn("rn", F.row_number().over(ALONG).cast("double"))
+    w = along().rowsBetween(-h, h)
+    rows = df.withColumn("rn", F.row_number().over(along()).cast("double"))
     rows = rows.withColumns({"n": F.count("*").over(w), "mean": F.avg(y).over(w), "std": F.stddev_pop(y).over(w), "lowest": F.min(y).over(w), "highest": F.max(y).over(w), "slope": F.regr_slope(y, "rn").over(w)})
     return rows.where("n >= 3").withColumn("cv", F.when(F.col("mean") != 0, F.col("std") / F.col("mean")))
 
 
 def track_series(df: DataFrame, interval: float = 1.0) -> DataFrame:
     """speed (null first), cum_distance, displacement and directionality along every track."""
-    step = F.hypot(F.col("pos_x") - F.lag("pos_x").over(ALONG), F.col("pos_y") - F.lag("pos_y").over(ALONG))
-    rows = spider(df.withColumn("step", step)).withColumn("cum_distance", F.sum(F.coalesce("step", F.lit(0.0))).over(SO_FAR)).withColumn("displacement", F.hypot("dx", "dy"))
+    step = F.hypot(F.col("pos_x") - F.lag("pos_x").over(along()), F.col("pos_y") - F.lag("pos_y").over(along()))
+    rows = spider(df.withColumn("step", step)).withColumn("cum_distance", F.sum(F.coalesce("step", F.lit(0.0))).over(so_far())).withColumn("displacement", F.hypot("dx", "dy"))
     return rows.withColumn("speed", F.col("step") / interval).withColumn("directionality", F.when(F.col("cum_distance") > 0, F.col("displacement") / F.col("cum_distance")))
 
 
 def whole_windows(df: DataFrame, size: int) -> DataFrame:
     """net, path, persistence and area_slope over windows of exactly ``size`` rows that lie in the track, by their first row."""
-    w, inner = ALONG.rowsBetween(0, size - 1), ALONG.rowsBetween(1, size - 1)
-    step = F.hypot(F.col("pos_x") - F.lag("pos_x").over(ALONG), F.col("pos_y") - F.lag("pos_y").over(ALONG))
+    w, inner = along().rowsBetween(0, size - 1), along().rowsBetween(1, size - 1)
+    step = F.hypot(F.col("pos_x") - F.lag("pos_x").over(along()), F.col("pos_y") - F.lag("pos_y").over(along()))
     rows = df.withColumn("step", step).withColumns({"n": F.count("*").over(w), "path": F.sum("step").over(inner), "x1": F.last("pos_x").over(w), "y1": F.last("pos_y").over(w), "area_slope": F.regr_slope("area_px", "frame").over(w)})
     out = rows.where(F.col("n") == size).withColumn("net", F.hypot(F.col("x1") - F.col("pos_x"), F.col("y1") - F.col("pos_y")))
     return out.withColumn("persistence", F.when(F.col("path") > 0, F.col("net") / F.col("path"))).select(*TRACK, "frame", "net", "path", "persistence", "area_slope")

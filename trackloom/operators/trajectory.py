@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALONG, SO_FAR, TRACK, first_outcome, quarantined, step, valid
+from ..functions.columns import along, so_far, TRACK, first_outcome, quarantined, step, valid
 from ..schema import MITOSIS
 
 E_INVERSE = 0.36787944117144233
@@ -18,17 +18,17 @@ def step_features(df: DataFrame, pixel_size: float = 1.0) -> DataFrame:
     """step_disp (0 in the first row), cum_path, and net_disp from the first row, for valid, non-quarantined rows."""
     px = F.lit(float(pixel_size))
     rows = df.where(valid() & ~quarantined()).withColumn("step_disp", F.coalesce(step(), F.lit(0.0)) * px)
-    net = F.hypot(F.col("pos_x") - F.first("pos_x").over(SO_FAR), F.col("pos_y") - F.first("pos_y").over(SO_FAR)) * px
-    return rows.withColumn("cum_path", F.sum("step_disp").over(SO_FAR)).withColumn("net_disp", net)
+    net = F.hypot(F.col("pos_x") - F.first("pos_x").over(so_far()), F.col("pos_y") - F.first("pos_y").over(so_far())) * px
+    return rows.withColumn("cum_path", F.sum("step_disp").over(so_far())).withColumn("net_disp", net)
 
 
 def speed(df: DataFrame, interval: float = 0.5, times: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
     """dt, speed and gap_antes by the clock of ``times`` (movie_id, frame, tempo_h, modal_h), or else by the frame interval."""
     if times is not None:
         df = df.join(F.broadcast(times.select("movie_id", "frame", "tempo_h", "modal_h")), ["movie_id", "frame"], "left")
-        dt, modal = F.col("tempo_h") - F.lag("tempo_h").over(ALONG), F.col("modal_h")
+        dt, modal = F.col("tempo_h") - F.lag("tempo_h").over(along()), F.col("modal_h")
     else:
-        dt, modal = (F.col("frame") - F.lag("frame").over(ALONG)) * F.lit(float(interval)), F.lit(float(interval))
+        dt, modal = (F.col("frame") - F.lag("frame").over(along())) * F.lit(float(interval)), F.lit(float(interval))
     out = df.withColumn("dt", dt).withColumn("speed", F.when(F.col("dt") > 0, F.col("step_disp") / F.col("dt")))
     return out.withColumn("gap_antes", F.coalesce(F.col("dt") > modal + tolerance, F.lit(False)))
 
@@ -44,7 +44,7 @@ def joined_features(df: DataFrame, *tables: DataFrame) -> DataFrame:
 def middle_lifetime(df: DataFrame, interval: float = 0.5) -> DataFrame:
     """lifetime_h on the middle row of each track, null elsewhere."""
     whole = Window.partitionBy(*TRACK)
-    place, n = F.row_number().over(ALONG) - 1, F.count("*").over(whole)
+    place, n = F.row_number().over(along()) - 1, F.count("*").over(whole)
     life = (F.max("frame").over(whole) - F.min("frame").over(whole) + 1) * F.lit(float(interval))
     return df.withColumn("lifetime_h", F.when(place == F.floor(n / 2), life))
 
@@ -52,7 +52,7 @@ def middle_lifetime(df: DataFrame, interval: float = 0.5) -> DataFrame:
 def sliding_windows(features: DataFrame, size: int = 5, measures: tuple[str, ...] = ("area_px",)) -> DataFrame:
     """Centred windows of rows, clamped at the ends of a track, of two rows and more; needs ``step_disp``."""
     h = max(1, size // 2)
-    w, inner = ALONG.rowsBetween(-h, h), ALONG.rowsBetween(-h + 1, h)
+    w, inner = along().rowsBetween(-h, h), along().rowsBetween(-h + 1, h)
     at = lambda f, c: f(c).over(w)
     rows = features.withColumn("n_rows", F.count("*").over(w))
     path = F.sum("step_disp").over(inner)  # without the step into the window's first row; a track's first step is 0
@@ -80,9 +80,9 @@ def confinement(net: Column, total: Column, n: Column) -> Column:
 def motility(df: DataFrame, interval: float = 1.0, max_lag: int = 10) -> DataFrame:
     """Per track: confinement_ratio, mean_turning_angle, diffusion_coeff, anomalous_exponent, persistence_time. Lags count rows."""
     rows = df.where(valid())
-    dx, dy = F.col("pos_x") - F.lag("pos_x").over(ALONG), F.col("pos_y") - F.lag("pos_y").over(ALONG)
-    rows = rows.select(*TRACK, "frame", "pos_x", "pos_y", dx.alias("dx"), dy.alias("dy"), F.row_number().over(ALONG).alias("rn"))
-    rows = rows.withColumns({"len": F.hypot("dx", "dy"), "dx0": F.lag("dx").over(ALONG), "dy0": F.lag("dy").over(ALONG)}).withColumn("len0", F.lag("len").over(ALONG))
+    dx, dy = F.col("pos_x") - F.lag("pos_x").over(along()), F.col("pos_y") - F.lag("pos_y").over(along())
+    rows = rows.select(*TRACK, "frame", "pos_x", "pos_y", dx.alias("dx"), dy.alias("dy"), F.row_number().over(along()).alias("rn"))
+    rows = rows.withColumns({"len": F.hypot("dx", "dy"), "dx0": F.lag("dx").over(along()), "dy0": F.lag("dy").over(along())}).withColumn("len0", F.lag("len").over(along()))
     cos = (F.col("dx") * F.col("dx0") + F.col("dy") * F.col("dy0")) / (F.col("len") * F.col("len0"))
     angle = F.when((F.col("len") > 0) & (F.col("len0") > 0), F.abs(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     base = rows.withColumn("angle", angle).groupBy(*TRACK).agg(
@@ -91,7 +91,7 @@ def motility(df: DataFrame, interval: float = 1.0, max_lag: int = 10) -> DataFra
         F.hypot(F.max_by("pos_x", "rn") - F.min_by("pos_x", "rn"), F.max_by("pos_y", "rn") - F.min_by("pos_y", "rn")).alias("net"),
         F.avg("angle").alias("mean_turning_angle"),
     )
-    lags = rows.withColumns({f"d{k}": F.pow(F.lead("pos_x", k).over(ALONG) - F.col("pos_x"), 2) + F.pow(F.lead("pos_y", k).over(ALONG) - F.col("pos_y"), 2) for k in range(1, max_lag + 1)})
+    lags = rows.withColumns({f"d{k}": F.pow(F.lead("pos_x", k).over(along()) - F.col("pos_x"), 2) + F.pow(F.lead("pos_y", k).over(along()) - F.col("pos_y"), 2) for k in range(1, max_lag + 1)})
     msd = lags.groupBy(*TRACK).agg(*(F.avg(f"d{k}").alias(f"d{k}") for k in range(1, max_lag + 1)))
     long = msd.select(*TRACK, F.posexplode(F.array(*(F.col(f"d{k}") for k in range(1, max_lag + 1)))).alias("p", "msd")).where("msd is not null").withColumn("lag", (F.col("p") + 1) * F.lit(float(interval)))
     ln = lambda c: F.when(F.col("msd") > 0, F.ln(c))
@@ -100,7 +100,7 @@ def motility(df: DataFrame, interval: float = 1.0, max_lag: int = 10) -> DataFra
         F.when(F.count_if(F.col("msd") > 0) >= 2, F.regr_slope(ln("msd"), ln("lag"))).alias("anomalous_exponent"),
     )
     moving = rows.where("len > 0").select(*TRACK, "frame", (F.col("dx") / F.col("len")).alias("ux"), (F.col("dy") / F.col("len")).alias("uy"))
-    corr = moving.withColumns({f"c{k}": F.lead("ux", k).over(ALONG) * F.col("ux") + F.lead("uy", k).over(ALONG) * F.col("uy") for k in range(1, max_lag + 1)})
+    corr = moving.withColumns({f"c{k}": F.lead("ux", k).over(along()) * F.col("ux") + F.lead("uy", k).over(along()) * F.col("uy") for k in range(1, max_lag + 1)})
     ac = corr.groupBy(*TRACK).agg(F.count("*").alias("m"), *(F.avg(f"c{k}").alias(f"c{k}") for k in range(1, max_lag + 1)))
     first_below = F.coalesce(*(F.when(F.col(f"c{k}") < E_INVERSE, F.lit(float(k))) for k in range(1, max_lag + 1)))
     ac = ac.where("m >= 3").select(*TRACK, (first_below * F.lit(float(interval))).alias("persistence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALONG, TRACK, first_outcome, is_final, quarantined, step, valid
+from ..functions.columns import along, TRACK, first_outcome, is_final, quarantined, step, valid
 from ..schema import DEATH, EXIT, PENALTIES, Thresholds
 from .anomaly import track_flags
 
@@ -46,7 +46,7 @@ def deviation(value: Column, center: Column, scale: Column) -> Column:
 def _traces(df: DataFrame) -> DataFrame:
     """What the end and the areas of every track say about its outcome."""
     back = F.row_number().over(Window.partitionBy(*TRACK).orderBy(F.col("frame").desc()))
-    before = F.lag("area_px").over(ALONG)
+    before = F.lag("area_px").over(along())
     rows = df.where(valid() & ~quarantined()).withColumn("back", back).withColumn("turn", F.abs(F.col("area_px") - before) / F.greatest(before, F.lit(1.0)))
     ends = df.where(valid()).groupBy("movie_id").agg(F.max("frame").alias("movie_end"))
     per = rows.groupBy(*TRACK).agg(
