@@ -2,9 +2,9 @@
 
 A state is a context of up to ``DEPTH`` words. Candidates are the contexts that make up at least ``LEAST``
 of the training tokens, so that each depth has at most ``1 / LEAST`` of them, whatever the corpus; a
-candidate stays if its next-word distribution diverges enough from the one of the longest shorter suffix that stayed. A
-state's distribution is smoothed with that of its suffix: next words seen once lend their mass to it,
-``P(x | s) = (c(s, x) + a(s) P(x | suffix of s)) / (c(s) + a(s))`` with ``a(s)`` half of one more than their number
+candidate stays if its next-word distribution diverges enough from the one of the longest shorter suffix that stayed,
+each occurrence being judged by the counts without it, so that chance does not look like divergence. A state's distribution is smoothed with that of its suffix: next words seen once lend their mass to it,
+``P(x | s) = (c(s, x) + a(s) P(x | suffix of s)) / (c(s) + a(s))`` with ``a(s)`` their number and a half
 and ``c`` without them; the root is the smoothed unigram distribution of the contract. A token is scored
 by the longest suffix state before it.
 
@@ -171,15 +171,15 @@ def _sums(depth: int, parts: list[int], least: float, states: list[States], toke
         teach = seq.teaches[where]
         at, c = where[teach], count[number][teach]
         context, of = np.unique(seq.keys(depth - 1, at - 1), return_inverse=True)
-        of, many = of.ravel(), c > 1
-        sums = [np.bincount(of, x, len(context)) for x in (many, ~many, np.where(many, np.log(np.maximum(c, 1)) - np.log(chance[at]), 0.0))]
+        of, many, firm = of.ravel(), c > 1, c > 2
+        sums = [np.bincount(of, x, len(context)) for x in (many, ~many, np.where(firm, np.log(np.maximum(c - 1, 1)) - np.log(chance[at]), 0.0), firm)]
         n = len(context)
         rows = _sent(seq, batch, depth + 1, *levels[depth + 1][1:4], then_parts) if then_parts is not None and len(levels) > depth + 1 else []
         none = lambda k, t: pa.nulls(k, t)
         return pa.table(
             {
                 "state": pa.chunked_array([pa.array(context.view(np.int64)), none(len(rows), pa.int64())]),
-                **{k: pa.chunked_array([pa.array(v.astype(float)), none(len(rows), pa.float64())]) for k, v in zip(("kept", "once", "gain"), sums, strict=True)},
+                **{k: pa.chunked_array([pa.array(v.astype(float)), none(len(rows), pa.float64())]) for k, v in zip(("kept", "once", "gain", "firm"), sums, strict=True)},
                 "batch": pa.chunked_array([none(n, pa.int32()), pa.array([r[0] for r in rows], pa.int32())]),
                 "part": pa.chunked_array([none(n, pa.int32()), pa.array([r[1] for r in rows], pa.int32())]),
                 "keys": pa.chunked_array([none(n, pa.binary()), pa.array([r[2] for r in rows], pa.binary())]),
@@ -193,16 +193,18 @@ def _sums(depth: int, parts: list[int], least: float, states: list[States], toke
 def _kept_states(sums: DataFrame, least: float, divergence: float) -> States:
     """The candidates that stay; there are at most ``1 / LEAST`` candidates."""
     total = F.col("kept") + F.col("once")
+    # each occurrence is judged by the counts without it: what then was seen once or never gets what the state lends
+    lent = (total - F.col("firm")) * F.log((F.col("once") + 0.5) / (total + 0.5))
     rows = (
         sums.where("state is not null")
         .groupBy("state")
-        .agg(*(F.sum(c).alias(c) for c in ("kept", "once", "gain")))
-        .where((total >= least) & (F.col("kept") > 0) & (F.col("gain") - F.col("kept") * F.log(total) >= divergence * total))
+        .agg(*(F.sum(c).alias(c) for c in ("kept", "once", "gain", "firm")))
+        .where((total >= least) & (F.col("kept") > 0) & (F.col("gain") - F.col("firm") * F.log(total) + lent >= divergence * total))
         .toPandas()
     )
     key = rows["state"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return States(key[order], rows["kept"].to_numpy(float)[order], (0.5 + 0.5 * rows["once"].to_numpy(float))[order])
+    return States(key[order], rows["kept"].to_numpy(float)[order], (0.5 + rows["once"].to_numpy(float))[order])
 
 
 def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, least_share: float = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
@@ -228,7 +230,7 @@ def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH,
     for d in range(1, depth + 1):
         then = parts[d + 1] if d < depth else None
         work = _sums(d, parts[: d + 1], least, list(states), tokens, words, then)
-        both = staged(passed(table, answers, work, "state long, kept double, once double, gain double, batch int, part int, keys binary, counts binary"), "states")
+        both = staged(passed(table, answers, work, "state long, kept double, once double, gain double, firm double, batch int, part int, keys binary, counts binary"), "states")
         states.append(_kept_states(both, least, divergence))
         if then is not None:
             sent = both.where("part is not null").select("batch", "part", "keys", "counts")
