@@ -122,10 +122,16 @@ class Words:
         return np.repeat(np.arange(len(self.texts)), self.counts())
 
 
+def column(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column as ``column.field``."""
+    name, *fields = path.split(".")
+    return pc.struct_field(batch.column(name), fields) if fields else batch.column(name)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about ``size`` bytes of text."""
     for batch in batches:
-        n = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        n = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False)
         cut = np.concatenate([[0], np.cumsum(n)])
         a = 0
         while a < batch.num_rows:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .packing import PLAIN, Texts, blocks
+from .packing import PLAIN, Texts, blocks, column
 from .shared import staged
 
 #: Labelled rows that are taken to the driver at most: those with the smallest hashes of the doc_id.
@@ -120,13 +120,13 @@ def text_statistics(texts: Texts) -> dict[str, np.ndarray]:
     return found
 
 
-def with_statistics(docs: DataFrame, *carried: str) -> DataFrame:
-    """The carried columns and the statistics of the whole text."""
-    kept = docs.select(*carried, "text")
+def with_statistics(docs: DataFrame, *carried: str, text: str = "text") -> DataFrame:
+    """The carried columns and the statistics of the whole text, a column or a field of a carried struct."""
+    kept = docs.select(*carried) if "." in text else docs.select(*carried, text)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            found = text_statistics(Texts.of(block.column("text")))
+        for block in blocks(batches, text):
+            found = text_statistics(Texts.of(column(block, text)))
             yield pa.RecordBatch.from_arrays([*(block.column(k) for k in carried), *(pa.array(found[k].astype(float)) for k in STATISTICS)], [*carried, *STATISTICS])
 
     return kept.mapInArrow(measure, StructType([*kept.select(*carried).schema, *(StructField(k, DoubleType()) for k in STATISTICS)]))
@@ -259,5 +259,5 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     """The documents, with all their columns, whose score reaches the threshold."""
     known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     model = learnt(staged(with_statistics(known, "doc_id"), "statistics"), labels, label)
-    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("document"), "text"), "document")
+    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("document")), "document", text="document.text")
     return rows.where(model.score() >= threshold).select("document.*")

@@ -29,7 +29,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in a batch that goes to a Python worker: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of the corpus; the session then hands rows to Python in batches of ``BATCH_ROWS``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
