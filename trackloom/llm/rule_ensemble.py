@@ -240,24 +240,38 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def learnt(measured: DataFrame, labels: DataFrame, label: str, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> RuleModel:
-    """The ensemble fitted to the labelled rows of ``measured`` (doc_id and statistics) outside the held-out fold."""
-    taught = labels.where(F.col(label).isin(0, 1) & (bucket(F.col("doc_id"), folds) != held)).select(F.col("doc_id").alias("of"), F.col(label).cast("double").alias("y"))
-    rows = measured.join(taught, measured["doc_id"] == taught["of"]).orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "y").limit(sample).select(*STATISTICS, "y").toPandas()
+def lessons(docs: DataFrame, labels: DataFrame, label: str, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
+    """of, y: usable labels of ``docs`` outside the held-out fold, of documents with the smallest hashes where there are many.
+
+    The hash bound keeps ``sample`` labels and a margin of six standard deviations, so that what follows never
+    orders or sends more than that.
+    """
+    taught = labels.where(F.col(label).isin(0, 1) & (bucket(F.col("doc_id"), folds) != held)).select(F.col("doc_id").cast("long").alias("of"), F.col(label).cast("double").alias("y"))
+    n = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(taught, F.col("doc_id") == F.col("of")).count()
+    if n <= sample:
+        return taught
+    share = (sample + 6 * sample**0.5) / n
+    return taught.where(F.xxhash64("of") < F.lit(int(-(2**63) + min(share, 0.999) * 2**64)))
+
+
+def learnt(measured: DataFrame, taught: DataFrame, sample: int = SAMPLE) -> RuleModel:
+    """The ensemble fitted to the rows of ``measured`` (doc_id and statistics) that ``taught`` labels."""
+    rows = measured.join(taught, measured["doc_id"] == taught["of"]).orderBy(F.xxhash64("of"), "of", *STATISTICS, "y").limit(sample).select(*STATISTICS, "y").toPandas()
     return fit(rows[STATISTICS].to_numpy(float).reshape(-1, len(STATISTICS)), rows["y"].to_numpy(float), STATISTICS)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of documents in the held-out fold teach nothing."""
     measured = staged(with_statistics(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), "statistics")
-    model = learnt(measured, labels, label, folds, held, sample)
+    model = learnt(measured, lessons(measured, labels, label, folds, held, sample), sample)
     score = measured.select("doc_id", F.coalesce(bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """The documents, with all their columns, whose score reaches the threshold."""
-    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = learnt(staged(with_statistics(known, "doc_id"), "statistics"), labels, label)
+    taught = lessons(docs, labels, label)
+    known = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(taught.select(F.col("of").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    model = learnt(staged(with_statistics(known, "doc_id"), "statistics"), taught)
     rows = with_statistics(docs.select(F.struct(*docs.columns).alias("document")), "document", text="document.text")
     return rows.where(model.score() >= threshold).select("document.*")
