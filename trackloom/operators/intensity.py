@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pixels import OBJECT, city_distance, eroded, rings
+from .pixels import OBJECT, around, city_distance, ellipse_rings, eroded, rings
 
 PIXEL = ["movie_id", "frame", "y", "x"]
 
@@ -24,9 +24,9 @@ def background(channel: DataFrame, mask: DataFrame, frames: DataFrame, how: str
     return total.join(outside, key, "left").select(*key, F.coalesce("bg", F.lit(0.0)).alias("bg"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("free"))
 
 
-def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
-    """Statistics of background-corrected values in nucleus, ring and both, one row for each object, and their ratios."""
-    ring = rings(mask, gap, width)
+def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: int = 1, width: int = 3, ellipse: bool = False) -> DataFrame:
+    """Statistics of background-corrected values in nucleus, ring (of the contour or of an ellipse) and both, one row for each object, and their ratios."""
+    ring = (ellipse_rings if ellipse else rings)(mask, gap, width)
     parts = mask.select(*OBJECT, "y", "x", F.array(F.lit("nuc"), F.lit("cell")).alias("p")).unionByName(ring.select(*OBJECT, "y", "x", F.array(F.lit("ring"), F.lit("cell")).alias("p")))
     values = channel.join(F.broadcast(bg.select("movie_id", "channel", "frame", "bg")), ["movie_id", "channel", "frame"]).withColumn("v", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
     rows = parts.join(values, PIXEL).select("channel", *OBJECT, F.explode("p").alias("part"), "v")
@@ -42,17 +42,24 @@ def crowded(bg: DataFrame, least: float = 0.02) -> DataFrame:
     return bg.where(F.col("free") < least)
 
 
-def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple[int, ...] = (2, 3, 4, 6), frames: int = 8) -> DataFrame:
-    """Median ratio, ring size and share of missing ratios by ring width on evenly spaced frames."""
+def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple[int, ...] = (2, 3, 4, 6, 8, 10, 12), gap: int = 1, frames: int = 8) -> DataFrame:
+    """Median ratio, sizes and share of missing ratios by ring width on evenly spaced frames of each movie; distances are found once."""
     order = Window.partitionBy("movie_id").orderBy("frame")
-    ids = mask.select("movie_id", "frame").distinct().withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("movie_id")))
-    some = F.broadcast(ids.where((F.col("n") <= frames) | (F.col("i") % F.ceil(F.col("n") / frames) == 0)).select("movie_id", "frame"))
-    mask, channel = mask.join(some, ["movie_id", "frame"], "left_semi"), channel.join(some, ["movie_id", "frame"], "left_semi")
-    out = None
-    for w in widths:
-        row = compartment_stats(channel, mask, bg, 1, w).groupBy("channel", F.lit(w).cast("long").alias("width")).agg(F.median("cn").alias("cn"), F.median("ring_px").alias("ring_px"), F.avg(F.col("cn").isNull().cast("double")).alias("missing"), F.count("*").alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    ids = bg.select("movie_id", "frame").distinct().withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("movie_id"))})
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.floor(k * (F.col("n") - 1) / max(1, frames - 1)))
+    some = F.broadcast(ids.where((F.col("n") <= frames) | F.array_contains(spaced, F.col("i").cast("long"))).select("movie_id", "frame"))
+    mask = mask.join(some, ["movie_id", "frame"], "left_semi")
+    values = channel.join(some, ["movie_id", "frame"], "left_semi").join(F.broadcast(bg.select("movie_id", "channel", "frame", "bg")), ["movie_id", "channel", "frame"])
+    values = values.select("channel", *PIXEL, F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)).alias("v"))
+    key = ["channel", *OBJECT]
+    every = F.array(*(F.lit(int(w)).cast("long") for w in widths))
+    near = around(mask, gap + max(widths)).where(F.col("distance") > gap).join(values, PIXEL)
+    ring = near.select(*key, "v", F.explode(F.filter(every, lambda w: F.col("distance") <= w + gap)).alias("width"))
+    ring = ring.groupBy(*key, "width").agg(F.median("v").alias("ring"), F.count("*").alias("ring_px"))
+    nuc = mask.join(values, PIXEL).groupBy(*key).agg(F.median("v").alias("nuc"), F.count("*").alias("nuc_px")).withColumn("width", F.explode(every))
+    cn = F.when((F.col("ring") > 0) & (F.col("nuc") > 0), F.col("ring") / F.col("nuc"))
+    rows = nuc.join(ring, [*key, "width"], "left").withColumns({"cn": cn, "ring_px": F.coalesce("ring_px", F.lit(0))})
+    return rows.groupBy("movie_id", "channel", "width").agg(F.median("cn").alias("cn"), F.median("ring_px").alias("ring_px"), F.median("nuc_px").alias("nuc_px"), F.avg(F.col("cn").isNull().cast("double")).alias("missing"), F.count("*").alias("n"))
 
 
 def quantised(channel: DataFrame, mask: DataFrame, levels: int = 8) -> DataFrame:

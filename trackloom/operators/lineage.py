@@ -134,6 +134,15 @@ def ranked_families(df: DataFrame, max_families: int = 60, max_nodes: int = 400)
     return rows.withColumn("broken", broken).where("rank = 1 OR broken = 0").select("movie_id", "root_id", "size", F.col("rank").cast("long").alias("rank"))
 
 
+def generations(df: DataFrame, max_families: int = 60, max_nodes: int = 400) -> DataFrame:
+    """Members of the ranked families with their depth and parent, null at the root."""
+    chosen = ranked_families(df, max_families, max_nodes).select("movie_id", "root_id")
+    members = roots(df).join(chosen, ["movie_id", "root_id"], "left_semi")
+    depth = labels(df).select(*TRACK, "generation")
+    parents = parent_map(df).select("movie_id", F.col("child").alias("track_id"), "parent")
+    return members.join(depth, TRACK, "left").join(parents, TRACK, "left").select("movie_id", "root_id", "track_id", "generation", "parent")
+
+
 def next_unreviewed(df: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Per movie, the track that begins first among the lineages whose root is not in ``reviewed`` (movie_id, root_id)."""
     open_ = roots(df).join(reviewed, ["movie_id", "root_id"], "left_anti").join(spans(df), TRACK)

@@ -167,6 +167,38 @@ def rings(mask: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
     return out.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti").select(*OBJECT, "y", "x")
 
 
+def around(mask: DataFrame, radius: int) -> DataFrame:
+    """Pixels outside all nuclei up to L1 distance ``radius`` from a nucleus, with the distance to it."""
+    away = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(abs(dy) + abs(dx)).alias("d")) for dy in range(-radius, radius + 1) for dx in range(-radius + abs(dy), radius - abs(dy) + 1)))
+    seen = boundary(mask).select(*OBJECT, "y", "x", F.explode(away).alias("o")).select(*OBJECT, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.d").alias("d"))
+    near = seen.groupBy(*OBJECT, "y", "x").agg(F.min("d").alias("distance"))
+    return near.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti")
+
+
+def ellipse_rings(mask: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
+    """Pixels between two ellipses around each nucleus, outside all nuclei: the ellipse of its moments grown by ``gap`` and by ``gap + width``.
+
+    A nucleus without extent along one axis (a line or a single pixel) has the ring of its contour instead.
+    """
+    vx, vy, cov = F.col("vx"), F.col("vy"), F.col("cov")
+    root = F.sqrt(F.pow(vy - vx, 2) + 4 * cov * cov)
+    shape = mask.groupBy(*OBJECT).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cov"))
+    shape = shape.withColumns({"root": root, "l2": F.greatest((vx + vy - root) / 2, F.lit(0.0))})
+    flat = F.col("l2") <= 1e-9
+    # the axes enter by the double angle's sine and cosine, so that no angle is computed
+    turn = lambda v: F.when(F.col("root") > 0, v / F.col("root")).otherwise(0.0)
+    sized = shape.where(~flat).select(*OBJECT, "cx", "cy", (2 * F.sqrt((vx + vy + F.col("root")) / 2)).alias("a"), (2 * F.sqrt("l2")).alias("b"), turn(vy - vx).alias("c2"), turn(2 * cov).alias("s2"))
+    side = lambda c: F.sequence(F.ceil(F.col(c) - F.col("a") - (gap + width)), F.floor(F.col(c) + F.col("a") + (gap + width)))
+    box = sized.withColumn("y", F.explode(side("cy"))).withColumn("x", F.explode(side("cx")))
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    box = box.withColumn("major", (dx * dx * (1 - F.col("c2")) + dy * dy * (1 + F.col("c2"))) / 2 + dx * dy * F.col("s2")).withColumn("minor", dx * dx + dy * dy - F.col("major"))
+    within = lambda k: F.col("major") / F.pow(F.col("a") + k, 2) + F.col("minor") / F.pow(F.col("b") + k, 2) <= 1
+    found = box.where(within(gap + width))
+    found = found.where(~within(gap)) if gap else found
+    found = found.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti").select(*OBJECT, "y", "x")
+    return found.unionByName(rings(mask.join(shape.where(flat).select(*OBJECT), OBJECT, "left_semi"), gap, width).join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti"))
+
+
 def inside() -> Column:
     """Over pixels joined to ``frames``: within the image."""
     return (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))

@@ -80,6 +80,16 @@ QUERIES = {
             recursive=True,
         ),
     ),
+    "l11_generations": (
+        lambda s, d: ln.generations(fx.tracks(s, d)),
+        duck(
+            _ROOTS
+            + ", f AS (SELECT movie_id, root_id, count(*) AS size FROM roots GROUP BY ALL HAVING count(*) > 1), r AS (SELECT *, row_number() OVER w AS rank, sum(size) OVER w AS nodes FROM f WINDOW w AS (PARTITION BY movie_id ORDER BY size DESC, root_id))"
+            + ", b AS (SELECT *, max((rank > 60 OR nodes > 400)::INT) OVER (PARTITION BY movie_id ORDER BY rank) AS broken FROM r), steps AS (SELECT track_id, count(*) - 1 AS generation FROM walk GROUP BY track_id)"
+            + " SELECT roots.movie_id, roots.root_id, roots.track_id, generation, parent FROM roots JOIN b ON b.root_id = roots.root_id AND (rank = 1 OR broken = 0) JOIN steps USING (track_id) LEFT JOIN pm ON pm.child = roots.track_id",
+            recursive=True,
+        ),
+    ),
     "l12_next_unreviewed": (
         lambda s, d: ln.next_unreviewed(fx.tracks(s, d), fx.tracks(s, d).where("track_id < 4").select("movie_id", F.col("track_id").alias("root_id")).distinct()),
         duck(_ROOTS + _SPAN + " SELECT roots.movie_id, arg_min(roots.track_id, first_frame * 1000000000 + roots.track_id) AS track_id FROM roots JOIN span USING (track_id) WHERE root_id >= 4 GROUP BY ALL", recursive=True),

@@ -24,6 +24,15 @@ ring AS (SELECT * FROM far ANTI JOIN nea USING (frame, label, y, x)), ring2 AS (
 _STATS = _RING + _BG + """, parts AS (SELECT frame, label, y, x, 'nuc' AS part FROM mask_pixels UNION ALL SELECT frame, label, y, x, 'ring' FROM ring2),
 vals AS (SELECT p.frame, p.label, part, greatest(value - bg, 0) AS v FROM parts p JOIN channel_pixels c USING (frame, y, x) JOIN bg USING (frame)),
 st AS (SELECT frame, label, avg(v) FILTER (part = 'nuc') AS nuc_mean, median(v) FILTER (part = 'nuc') AS nuc_median, stddev_pop(v) FILTER (part = 'nuc') AS nuc_std, quantile_cont(v, 0.9) FILTER (part = 'nuc') AS nuc_p90, count(*) FILTER (part = 'nuc') AS nuc_px, avg(v) FILTER (part = 'ring') AS ring_mean, median(v) FILTER (part = 'ring') AS ring_median, count(*) FILTER (part = 'ring') AS ring_px, sum(v) AS cell_sum FROM vals GROUP BY ALL)"""
+_TEXTURE = """, iv AS (SELECT frame, label, y, x, value FROM channel_pixels JOIN mask_pixels USING (frame, y, x)), e AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM iv),
+q AS (SELECT frame, label, y, x, (round_even(greatest(0, least(1, (value - lo) / (hi - lo))) * 6, 0) + 1)::BIGINT AS q FROM iv CROSS JOIN e), o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) t(a, dy, dx)),
+pr AS (SELECT m.frame, m.label, a, unnest([m.q, n.q]) AS i, unnest([n.q, m.q]) AS j FROM q m CROSS JOIN o JOIN q n ON m.frame = n.frame AND m.label = n.label AND n.y = m.y + dy AND n.x = m.x + dx),
+c AS (SELECT frame, label, a, i, j, count(*) AS n FROM pr GROUP BY ALL), tp AS (SELECT *, n / sum(n) OVER (PARTITION BY frame, label, a) AS p FROM c),
+s AS (SELECT frame, label, a, sum(p * (i - j) * (i - j)) AS contrast, sqrt(sum(p * p)) AS energy, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(-p * log2(p)) AS entropy FROM tp GROUP BY ALL), z AS (SELECT frame, label, count(*) AS px FROM mask_pixels GROUP BY ALL)"""
+_ELLIPSE = """, mo AS (SELECT frame, label, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS cov FROM mask_pixels GROUP BY ALL), el AS (SELECT *, sqrt(power(vy - vx, 2) + 4 * cov * cov) AS r FROM mo),
+ax AS (SELECT frame, label, cx, cy, 2 * sqrt((vx + vy + r) / 2) AS a, 2 * sqrt((vx + vy - r) / 2) AS b, CASE WHEN r > 0 THEN atan2(2 * cov, vy - vx) / 2 ELSE 0 END AS t FROM el),
+pp AS (SELECT g.frame, ax.label, g.y, g.x, a, b, power((g.x - cx) * sin(t) + (g.y - cy) * cos(t), 2) AS u, power((g.x - cx) * cos(t) - (g.y - cy) * sin(t), 2) AS v FROM dense g JOIN ax ON g.frame = ax.frame WHERE g.label IS NULL),
+er AS (SELECT frame, label, y, x FROM pp WHERE u / power(a + 4, 2) + v / power(b + 4, 2) <= 1 AND NOT u / power(a + 1, 2) + v / power(b + 1, 2) <= 1)"""
 _CN = "CASE WHEN ring_median > 0 AND nuc_median > 0 THEN ring_median / nuc_median END"
 
 
@@ -61,6 +70,7 @@ SELECT 0::BIGINT AS movie_id, frame, label, """ + ", ".join(f"round({c}, 6) AS {
         duck(", c(frame, label, y, x, part) AS (SELECT frame, label, y, x, y * 1000000 + x FROM mask_pixels UNION SELECT n.frame, n.label, n.y, n.x, c.part FROM c JOIN mask_pixels n ON c.frame = n.frame AND c.label = n.label AND abs(c.x - n.x) <= 1 AND abs(c.y - n.y) <= 1 WHERE c.part < n.y * 1000000 + n.x), p AS (SELECT frame, label, y, x, min(part) AS part FROM c GROUP BY ALL), z AS (SELECT frame, label, part, count(*) AS n FROM p GROUP BY ALL) SELECT frame, label, part, n, row_number() OVER (PARTITION BY frame, label ORDER BY n DESC, part) = 1 AS keeps FROM z", True, True),
     ),
     "g12_rings": (lambda s, d: px.rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("frame", "label").agg(F.count("*").alias("n")), duck(_RING + " SELECT frame, label, count(*) AS n FROM ring2 WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 95 GROUP BY ALL", True)),
+    "g13_ellipse_rings": (lambda s, d: px.ellipse_rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("frame", "label").agg(F.count("*").alias("n"), F.sum(F.col("y") * 96 + F.col("x")).alias("places")), duck(_ELLIPSE + " SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places FROM er GROUP BY ALL", True)),
     "g14_background": (
         lambda s, d: rounded(it.background(fx.channel_pixels(s, d), fx.mask_pixels(s, d), fx.frames(s, d), "far_from_cells", 6).select("frame", "bg", "free"), "bg", "free"),
         duck(_BG + ", ds AS (SELECT c.frame, c.y, c.x, any_value(c.value) AS value, min(abs(c.x - m.x) + abs(c.y - m.y)) AS d FROM channel_pixels c JOIN mask_pixels m ON c.frame = m.frame GROUP BY ALL), fb AS (SELECT frame, median(value) FILTER (d > 6) AS b, count(*) FILTER (d > 6) / count(*) AS free FROM ds GROUP BY frame) SELECT fb.frame, round(coalesce(b, bg), 6) AS bg, round(free, 6) AS free FROM fb JOIN bg USING (frame)", True),
@@ -71,21 +81,32 @@ SELECT 0::BIGINT AS movie_id, frame, label, """ + ", ".join(f"round({c}, 6) AS {
     ),
     "g16_g23_ratios": (lambda s, d: rounded(it.readout(_stats(s, d)).select("frame", "track_id", "cn", "nc"), "cn", "nc"), duck(_STATS + f" SELECT frame, label AS track_id, round({_CN}, 6) AS cn, round(1 / ({_CN}), 6) AS nc FROM st", True)),
     "g17_crowded": (lambda s, d: it.crowded(it.background(fx.channel_pixels(s, d), fx.mask_pixels(s, d), fx.frames(s, d)), 0.78).select("frame"), duck(_BG + " SELECT frame FROM bg WHERE n / (40 * 96) < 0.78", True)),
+    "g18_ring_sweep": (
+        lambda s, d: rounded(it.ring_sweep(fx.channel_pixels(s, d), fx.mask_pixels(s, d), it.background(fx.channel_pixels(s, d), fx.mask_pixels(s, d), fx.frames(s, d))), "cn", "missing"),
+        duck(_BOUND + _BG + """, fs AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i, count(*) OVER () AS n FROM bg), sf AS (SELECT frame, i FROM fs WHERE n <= 8 OR i IN (SELECT k * ((SELECT count(*) FROM bg) - 1) // 7 FROM (SELECT unnest(range(8)) AS k))),
+off AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-13, 14)) AS i) a CROSS JOIN (SELECT unnest(range(-13, 14)) AS i) b WHERE abs(a.i) + abs(b.i) <= 13),
+ds AS (SELECT frame, label, y + dy AS y, x + dx AS x, min(abs(dy) + abs(dx)) AS d FROM bd JOIN sf USING (frame) CROSS JOIN off GROUP BY ALL), ou AS (SELECT * FROM ds ANTI JOIN mask_pixels USING (frame, y, x)),
+ws AS (SELECT unnest([2, 3, 4, 6, 8, 10, 12])::BIGINT AS width), cv AS (SELECT frame, y, x, greatest(value - bg, 0) AS v FROM channel_pixels JOIN bg USING (frame) JOIN sf USING (frame)),
+rg AS (SELECT frame, label, width, median(v) AS ring, count(*) AS ring_px FROM ou JOIN ws ON d > 1 AND d <= width + 1 JOIN cv USING (frame, y, x) GROUP BY ALL), nu AS (SELECT frame, label, median(v) AS nuc, count(*) AS nuc_px FROM mask_pixels JOIN cv USING (frame, y, x) GROUP BY ALL),
+al AS (SELECT width, coalesce(ring_px, 0) AS ring_px, nuc_px, CASE WHEN ring > 0 AND nuc > 0 THEN ring / nuc END AS cn FROM nu CROSS JOIN ws LEFT JOIN rg USING (frame, label, width))
+SELECT 0::BIGINT AS movie_id, 'gfp' AS channel, width, round(median(cn), 6) AS cn, median(ring_px)::DOUBLE AS ring_px, median(nuc_px)::DOUBLE AS nuc_px, round(avg((cn IS NULL)::INT::DOUBLE), 6) AS missing, count(*) AS n FROM al GROUP BY width""", True),
+    ),
     "g19_quantised": (
         lambda s, d: it.quantised(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).groupBy("frame", "label", F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n")),
         duck(", iv AS (SELECT frame, label, value FROM channel_pixels JOIN mask_pixels USING (frame, y, x)), e AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM iv) SELECT frame, label, (round_even(greatest(0, least(1, (value - lo) / (hi - lo))) * 6, 0) + 1)::BIGINT AS q, count(*) AS n FROM iv CROSS JOIN e GROUP BY ALL", True),
     ),
     "g20_haralick": (
         lambda s, d: rounded(it.haralick(it.quantised(fx.channel_pixels(s, d), fx.mask_pixels(s, d))).select("frame", "label", "contrast", "energy", "homogeneity", "entropy"), "contrast", "energy", "homogeneity", "entropy"),
-        duck(""", iv AS (SELECT frame, label, y, x, value FROM channel_pixels JOIN mask_pixels USING (frame, y, x)), e AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM iv),
-q AS (SELECT frame, label, y, x, (round_even(greatest(0, least(1, (value - lo) / (hi - lo))) * 6, 0) + 1)::BIGINT AS q FROM iv CROSS JOIN e), o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) t(a, dy, dx)),
-pr AS (SELECT m.frame, m.label, a, unnest([m.q, n.q]) AS i, unnest([n.q, m.q]) AS j FROM q m CROSS JOIN o JOIN q n ON m.frame = n.frame AND m.label = n.label AND n.y = m.y + dy AND n.x = m.x + dx),
-c AS (SELECT frame, label, a, i, j, count(*) AS n FROM pr GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY frame, label, a) AS p FROM c),
-s AS (SELECT frame, label, a, sum(p * (i - j) * (i - j)) AS contrast, sqrt(sum(p * p)) AS energy, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(-p * log2(p)) AS entropy FROM p GROUP BY ALL), z AS (SELECT frame, label, count(*) AS px FROM mask_pixels GROUP BY ALL)
+        duck(_TEXTURE + """
 SELECT z.frame, z.label, round(CASE WHEN any_value(px) >= 8 THEN sum(contrast) / 4 END, 6) AS contrast, round(CASE WHEN any_value(px) >= 8 THEN sum(energy) / 4 END, 6) AS energy, round(CASE WHEN any_value(px) >= 8 THEN sum(homogeneity) / 4 END, 6) AS homogeneity, round(CASE WHEN any_value(px) >= 8 THEN sum(entropy) / 4 END, 6) AS entropy FROM z LEFT JOIN s ON s.frame = z.frame AND s.label = z.label GROUP BY ALL""", True),
     ),
     "g21_lbp": (lambda s, d: rounded(it.local_binary_patterns(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("frame", "label", "localmax", "localmin", "entropy"), "localmax", "localmin", "entropy"), None),
     "g22_signal_drift": (lambda s, d: rounded(it.signal_drift(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("frame", "median", "drift"), "drift"), duck(", p AS (SELECT frame, median(value) AS median FROM channel_pixels JOIN mask_pixels USING (frame, y, x) GROUP BY frame) SELECT frame, median, round(median / (SELECT arg_min(median, frame) FROM p WHERE median > 0), 6) AS drift FROM p", True)),
+    "g24_foci": (
+        lambda s, d: rounded(it.foci(_stats(s, d), it.haralick(it.quantised(fx.channel_pixels(s, d), fx.mask_pixels(s, d))), it.signal_drift(fx.channel_pixels(s, d), fx.mask_pixels(s, d))).select("frame", "label", "nuc_median", "cv", "contrast", "drift"), "nuc_median", "cv", "contrast", "drift"),
+        duck(_STATS + _TEXTURE + """, tx AS (SELECT z.frame, z.label, CASE WHEN any_value(px) >= 8 THEN sum(contrast) / 4 END AS contrast FROM z LEFT JOIN s USING (frame, label) GROUP BY ALL), dr AS (SELECT frame, median(value) AS median FROM channel_pixels JOIN mask_pixels USING (frame, y, x) GROUP BY frame)
+SELECT st.frame, st.label, round(nuc_median, 6) AS nuc_median, round(nuc_std / nullif(nuc_median, 0), 6) AS cv, round(contrast, 6) AS contrast, round(dr.median / (SELECT arg_min(median, frame) FROM dr WHERE median > 0), 6) AS drift FROM st LEFT JOIN tx USING (frame, label) LEFT JOIN dr USING (frame)""", True),
+    ),
     "g25_clipped_source": (lambda s, d: it.clipped_source(fx.channel_pixels(s, d)), duck("SELECT movie_id, channel, max(value) <= 255 AND avg((value <= 0)::INT) > 0.01 AND avg((value >= 255)::INT) > 0.01 AS clipped FROM channel_pixels GROUP BY ALL", True)),
     "a6_shape_outliers": (
         lambda s, d: anomaly.area_outliers(px.morphometry(fx.mask_pixels(s, d)), anomaly.Thresholds(area_mad_k=1.0, max_eccentricity=0.75)),
