@@ -393,3 +393,13 @@ def test_pipeline(spark):
         if name != "sharding":
             assert docs.columns == before.columns
     assert docs.count() > 0 and cp.STAGES[0][1](spark, before.limit(0), d).count() == 0
+
+
+def test_labels_are_bounded_by_hash_before_texts_are_read(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("quality"))
+    usable = {i for i in range(4000) if i % 3 < 2 and zlib.crc32(str(i).encode()) % 4 != 2}
+    few = {r.of for r in rule_ensemble.lessons(docs, labels, "quality", sample=500).collect()}
+    assert few < usable and 500 <= len(few) <= 800
+    assert {r.of for r in rule_ensemble.lessons(docs, labels, "quality").collect()} == usable
+    assert rule_ensemble.lessons(docs.limit(0), labels, "quality", sample=0).join(docs.limit(0), F.col("of") == F.col("doc_id")).count() == 0
