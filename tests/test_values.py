@@ -122,3 +122,16 @@ def test_foreign_labels(spark):
 def test_frames_by_name(spark):
     ref, cand = clock(spark, ["r/a.tif", "r/b.tif"]), clock(spark, ["1/a.tif", "2/a.tif"])
     assert [r.match for r in tables.matched_frames(ref, cand).orderBy("frame").collect()] == ["1/a.tif", None]
+
+
+def test_harmonised_splits_blobs_and_names_pixels_by_track(spark):
+    df = tracks(spark, [(1, 0, 0, -1, "Mitosis"), (9, 0, 5, -1, "")]).withColumn("continuous_label", F.when(F.col("track_id") == 9, 2).otherwise(1).cast("long"))
+    rows, mask = edits.harmonised(df, square(spark, block(1, 0, 0, 3) + block(1, 0, 6, 2) + block(2, 6, 6, 2)), F.lit("treated"))
+    got = {r.track_id: (r.outcome, r.pos_x, r.fase, r.continuous_label) for r in rows.collect()}
+    assert got == {1: ("Mitosis", 0.0, "control", 1), 9: ("", 5.0, "control", 9), 3: ("Unknown", None, "treated", 3)}
+    assert {r.label: r["count"] for r in mask.groupBy("label").count().collect()} == {1: 9, 3: 4, 9: 4}
+
+
+def test_a_line_has_the_ring_of_its_contour(spark):
+    line = square(spark, [(0, 0, 5, x, 1) for x in range(4)])
+    assert {(r.y, r.x) for r in pixels.ellipse_rings(line).collect()} == {(r.y, r.x) for r in pixels.rings(line).collect()}

@@ -5,11 +5,12 @@ Edits of one batch must not overlap (no track twice on the same side); overlappi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TRACK
-from ..schema import MITOSIS, QUARANTINE_FROM
+from ..schema import MITOSIS, QUARANTINE_FROM, UNKNOWN
+from ..sources.work import stored
 from . import anomaly, lineage, pixels
 
 
@@ -153,6 +154,26 @@ def rescued_orphans(df: DataFrame, mask: DataFrame) -> DataFrame:
     return minted_ids(taken, orphans.select("movie_id", "ord")).join(orphans, ["movie_id", "ord"]).select("movie_id", "frame", "label", F.col("new_id").alias("track_id"), F.col("x").alias("pos_x"), F.col("y").alias("pos_y"))
 
 
+def harmonised(df: DataFrame, mask: DataFrame, fase: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every label one blob with the id of its track: smaller blobs get new ids and rows of unknown outcome without a position.
+
+    Then pixels with the ``continuous_label`` of a row take its track_id, all at once (of several rows the largest id); the two
+    columns agree afterwards. ``fase`` is the phase of the new rows as an expression over ``frame``.
+    """
+    parted = pixels.components(mask)
+    blob = [*pixels.OBJECT, "part"]
+    order = Window.partitionBy(*pixels.OBJECT).orderBy(F.col("n").desc(), "part")
+    small = parted.groupBy(*blob).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where("r > 1")
+    small = small.select(*blob, F.row_number().over(Window.partitionBy("movie_id").orderBy("frame", "label", "part")).cast("long").alias("ord"))
+    taken = df.select("movie_id", "track_id", "parent_id").union(mask.select("movie_id", "label", F.lit(-1).cast("long")).distinct())
+    new = stored(minted_ids(taken, small.select("movie_id", "ord")).join(small, ["movie_id", "ord"]).select(*blob, "new_id"), "blobs")
+    named = df.where("continuous_label <> track_id").groupBy("movie_id", "frame", F.col("continuous_label").alias("label")).agg(F.max("track_id").alias("to"))
+    pix = parted.join(new, blob, "left").join(named, pixels.OBJECT, "left").select("movie_id", "frame", "y", "x", F.coalesce("new_id", "to", "label").alias("label"))
+    rows = new.select("movie_id", "frame", F.col("new_id").alias("track_id"), F.lit(-1).cast("long").alias("parent_id"), F.lit(UNKNOWN).alias("outcome"), *([fase.alias("fase")] if fase is not None else []))
+    both = df.unionByName(rows, allowMissingColumns=True)
+    return both.withColumn("continuous_label", F.col("track_id")).select(*df.columns), pix
+
+
 def cut_ghosts(df: DataFrame) -> DataFrame:
     """Rows of a mother from the first linked frame of her daughters on go to a new id, without parent and outcome."""
     since = df.where("parent_id > 0").groupBy("movie_id", F.col("parent_id").alias("track_id")).agg(F.min("frame").alias("since"))

@@ -34,6 +34,13 @@ def _observed(s, d) -> DataFrame:
     return rows.union(c.select("movie_id", "frame", F.lit(99).cast("long"), F.lit(-1).cast("long")).distinct())
 
 
+def _labelled(s, d) -> DataFrame:
+    """Centroids as observations; label 7 belongs to track 107 in even frames."""
+    c = px.centroids(fx.mask_pixels(s, d))
+    track = F.when((F.col("label") == 7) & (F.col("frame") % 2 == 0), 107).otherwise(F.col("label"))
+    return c.select("movie_id", "frame", track.alias("track_id"), F.col("label").alias("continuous_label"), F.lit(-1).cast("long").alias("parent_id"), F.lit("").alias("outcome"), F.col("x").alias("pos_x"), F.col("y").alias("pos_y"))
+
+
 _DISSOLVE = """, sp AS (SELECT track_id, min(frame) AS f FROM {t} GROUP BY track_id), bad AS (SELECT l.parent_id AS p FROM (SELECT DISTINCT parent_id, track_id FROM {t} WHERE parent_id > 0 AND parent_id <> track_id) l LEFT JOIN sp c ON c.track_id = l.track_id LEFT JOIN sp m ON m.track_id = l.parent_id GROUP BY l.parent_id HAVING bool_or(m.f IS NULL OR c.f <= m.f))"""
 _AFTER = " SELECT event_id, track_id, CASE WHEN parent_id = track_id OR parent_id IN (SELECT p FROM bad) THEN -1 ELSE parent_id END AS parent_id, CASE WHEN outcome = 'Mitosis' AND track_id IN (SELECT p FROM bad) THEN '' ELSE outcome END AS outcome FROM {t}"
 _FREE = ", used AS (SELECT DISTINCT track_id AS id FROM tracks UNION SELECT parent_id FROM tracks WHERE parent_id > 0), free AS (SELECT id, row_number() OVER (ORDER BY id) AS ord FROM (SELECT unnest(range(1, 100000)) AS id) WHERE id NOT IN (SELECT id FROM used))"
@@ -55,6 +62,10 @@ QUERIES = {
         lambda s, d: ed.repoint(_t(s, d), _some(s, d, "track_id = 2").select("movie_id", F.col("track_id").alias("old"), F.lit(5).cast("long").alias("new"))).select(*_KEYS),
         duck(" SELECT event_id, track_id, CASE WHEN parent_id = 2 THEN CASE WHEN track_id = 5 THEN -1 ELSE 5 END ELSE parent_id END AS parent_id, outcome FROM tracks"),
     ),
+    "e12_harmonised": (
+        lambda s, d: ed.harmonised(_labelled(s, d), fx.mask_pixels(s, d))[1].groupBy("frame", "label").agg(F.count("*").alias("n"), F.sum(F.col("y") * 96 + F.col("x")).alias("places")),
+        duck(", c(frame, label, y, x, part) AS (SELECT frame, label, y, x, y * 1000000 + x FROM mask_pixels UNION SELECT n.frame, n.label, n.y, n.x, c.part FROM c JOIN mask_pixels n ON c.frame = n.frame AND c.label = n.label AND abs(c.x - n.x) <= 1 AND abs(c.y - n.y) <= 1 WHERE c.part < n.y * 1000000 + n.x), p AS (SELECT frame, label, y, x, min(part) AS part FROM c GROUP BY ALL), z AS (SELECT frame, label, part, count(*) AS n FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY frame, label ORDER BY n DESC, part) AS r FROM z), e AS (SELECT frame, label, part, row_number() OVER (ORDER BY frame, label, part) AS ord FROM k WHERE r > 1), fi AS (SELECT id, row_number() OVER (ORDER BY id) AS ord FROM (SELECT unnest(range(13, 100000)) AS id) WHERE id <> 107), m AS (SELECT p.frame, coalesce(id, CASE WHEN p.label = 7 AND p.frame % 2 = 0 THEN 107 END, p.label)::BIGINT AS label, y, x FROM p LEFT JOIN e USING (frame, label, part) LEFT JOIN fi USING (ord)) SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places FROM m GROUP BY ALL", True, True),
+    ),
     "e5_dissolve_invalid": (lambda s, d: ed.dissolve_invalid(_t(s, d)).select(*_KEYS), duck(_DISSOLVE.format(t="tracks") + _AFTER.format(t="tracks"))),
     "e6_merge": (
         lambda s, d: ed.merge(_t(s, d), _no_mask(s, d), _some(s, d, "track_id IN (6, 9)").select("movie_id", F.col("track_id").alias("a"), (F.col("track_id") + 20).alias("b")))[0].select(*_KEYS),
