@@ -135,3 +135,13 @@ def test_harmonised_splits_blobs_and_names_pixels_by_track(spark):
 def test_a_line_has_the_ring_of_its_contour(spark):
     line = square(spark, [(0, 0, 5, x, 1) for x in range(4)])
     assert {(r.y, r.x) for r in pixels.ellipse_rings(line).collect()} == {(r.y, r.x) for r in pixels.rings(line).collect()}
+
+
+def test_problems_of_a_measurement_source(spark):
+    plane = [(f, y, x, float((x * x * 7 + y * y * 3 + x * y) % 23)) for f in range(2) for y in range(20) for x in range(24)]
+    kind = "movie_id long, channel string, frame long, y long, x long, value double"
+    reference = spark.createDataFrame([(0, "ref", *p) for p in plane], kind)
+    moved = [(0, "moved", f, y, (x + 4) % 24, v) for f, y, x, v in plane]
+    channel = spark.createDataFrame([(0, "good", *p) for p in plane] + moved + [(0, "short", *p) for p in plane if p[0] == 0], kind)
+    frames = spark.createDataFrame([(0, f, 20, 24) for f in range(2)], "movie_id long, frame long, height long, width long")
+    assert {(r.channel, r.problem) for r in intensity.source_problems(channel, reference, frames).collect()} == {("moved", "misaligned"), ("short", "number of frames")}

@@ -42,12 +42,17 @@ def crowded(bg: DataFrame, least: float = 0.02) -> DataFrame:
     return bg.where(F.col("free") < least)
 
 
+def spaced_frames(rows: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` evenly spaced frames of each movie, the first and the last among them."""
+    order = Window.partitionBy("movie_id").orderBy("frame")
+    ids = rows.select("movie_id", "frame").distinct().withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("movie_id"))})
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("n") - 1) / max(1, n - 1)))
+    return ids.where((F.col("n") <= n) | F.array_contains(places, F.col("i").cast("long"))).select("movie_id", "frame")
+
+
 def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple[int, ...] = (2, 3, 4, 6, 8, 10, 12), gap: int = 1, frames: int = 8) -> DataFrame:
     """Median ratio, sizes and share of missing ratios by ring width on evenly spaced frames of each movie; distances are found once."""
-    order = Window.partitionBy("movie_id").orderBy("frame")
-    ids = bg.select("movie_id", "frame").distinct().withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("movie_id"))})
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.floor(k * (F.col("n") - 1) / max(1, frames - 1)))
-    some = F.broadcast(ids.where((F.col("n") <= frames) | F.array_contains(spaced, F.col("i").cast("long"))).select("movie_id", "frame"))
+    some = F.broadcast(spaced_frames(bg, frames))
     mask = mask.join(some, ["movie_id", "frame"], "left_semi")
     values = channel.join(some, ["movie_id", "frame"], "left_semi").join(F.broadcast(bg.select("movie_id", "channel", "frame", "bg")), ["movie_id", "channel", "frame"])
     values = values.select("channel", *PIXEL, F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)).alias("v"))
@@ -142,3 +147,35 @@ def clipped_source(channel: DataFrame) -> DataFrame:
     """Channels of 8-bit values with over 1 % at both ends: a sign of a processed export."""
     per = channel.groupBy("movie_id", "channel").agg(F.max("value").alias("top"), F.avg((F.col("value") <= 0).cast("double")).alias("zero"), F.avg((F.col("value") >= 255).cast("double")).alias("full"))
     return per.select("movie_id", "channel", ((F.col("top") <= 255) & (F.col("zero") > 0.01) & (F.col("full") > 0.01)).alias("clipped"))
+
+
+def alignment(channel: DataFrame, reference: DataFrame, probes: int = 5, reach: int = 8) -> DataFrame:
+    """The shift (dy, dx) of a channel against the movie's reference on some frames, and its length: the whole-pixel shift within
+    ``reach`` along each axis with the largest correlation over half of the frame at least; of equal ones the shortest.
+
+    A shift beyond ``reach`` shows as a long one in most images, but not as its true length.
+    """
+    some = F.broadcast(spaced_frames(reference, probes))
+    ref = reference.join(some, ["movie_id", "frame"], "left_semi").select(*PIXEL, F.col("value").alias("was"))
+    total = ref.groupBy("movie_id", "frame").agg(F.count("*").alias("all"))
+    away = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)))
+    asked = ref.select("movie_id", "frame", "y", "x", "was", F.explode(away).alias("o")).select("movie_id", "frame", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "was", "o.dy", "o.dx")
+    fit = asked.join(channel.join(some, ["movie_id", "frame"], "left_semi"), PIXEL).groupBy("movie_id", "channel", "frame", "dy", "dx").agg(F.corr("was", "value").alias("fit"), F.count("*").alias("n"))
+    fit = fit.join(F.broadcast(total), ["movie_id", "frame"]).where("2 * n >= all AND fit IS NOT NULL AND NOT isnan(fit)").withColumn("offset", F.hypot(F.col("dy").cast("double"), F.col("dx").cast("double")))
+    best = fit.groupBy("movie_id", "channel", "frame").agg(F.max_by(F.struct("dy", "dx", "offset"), F.struct(F.round("fit", 9), -F.col("offset"), "dy", "dx")).alias("o"))
+    return best.select("movie_id", "channel", "frame", F.col("o.dy").cast("long").alias("dy"), F.col("o.dx").cast("long").alias("dx"), "o.offset")
+
+
+def source_problems(channel: DataFrame, reference: DataFrame, frames: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """What speaks against measuring a channel, as (movie_id, channel, problem): another number of frames or another size than the mask's, or a shift."""
+    per = channel.groupBy("movie_id", "channel").agg(F.countDistinct("frame").alias("n"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    want = frames.groupBy("movie_id").agg(F.countDistinct("frame").alias("frames"), F.max("height").alias("height"), F.max("width").alias("width"))
+    off = alignment(channel, reference).groupBy("movie_id", "channel").agg(F.max("offset").alias("offset"))
+    same_size = (F.col("h") == F.col("height")) & (F.col("w") == F.col("width"))
+    rows = per.join(want, "movie_id").join(off, ["movie_id", "channel"], "left")
+    kinds = F.array_compact(F.array(
+        F.when(F.col("n") != F.col("frames"), F.lit("number of frames")),
+        F.when(~same_size, F.lit("frame size")),
+        F.when(same_size & (F.col("n") == F.col("frames")) & (F.col("offset") > tolerance), F.lit("misaligned")),
+    ))
+    return rows.select("movie_id", "channel", F.explode(kinds).alias("problem"))

@@ -108,6 +108,13 @@ SELECT z.frame, z.label, round(CASE WHEN any_value(px) >= 8 THEN sum(contrast) /
 SELECT st.frame, st.label, round(nuc_median, 6) AS nuc_median, round(nuc_std / nullif(nuc_median, 0), 6) AS cv, round(contrast, 6) AS contrast, round(dr.median / (SELECT arg_min(median, frame) FROM dr WHERE median > 0), 6) AS drift FROM st LEFT JOIN tx USING (frame, label) LEFT JOIN dr USING (frame)""", True),
     ),
     "g25_clipped_source": (lambda s, d: it.clipped_source(fx.channel_pixels(s, d)), duck("SELECT movie_id, channel, max(value) <= 255 AND avg((value <= 0)::INT) > 0.01 AND avg((value >= 255)::INT) > 0.01 AS clipped FROM channel_pixels GROUP BY ALL", True)),
+    "g26_alignment": (
+        lambda s, d: it.alignment(fx.channel_pixels(s, d).withColumns({"y": F.col("y") + 1, "x": F.col("x") + F.when(F.col("frame") % 2 == 0, 3).otherwise(0)}), fx.channel_pixels(s, d), 5, 4).select("frame", "dy", "dx", F.round("offset", 6).alias("offset")),
+        duck(""", fs AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i, count(*) OVER () AS n FROM fr), sf AS (SELECT frame FROM fs WHERE n <= 5 OR i IN (SELECT k * ((SELECT count(*) FROM fr) - 1) // 4 FROM (SELECT unnest(range(5)) AS k))),
+o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-4, 5)) AS i) a CROSS JOIN (SELECT unnest(range(-4, 5)) AS i) b), mv AS (SELECT frame, y + 1 AS y, x + CASE WHEN frame % 2 = 0 THEN 3 ELSE 0 END AS x, value FROM channel_pixels JOIN sf USING (frame)),
+q AS (SELECT r.frame, r.y + dy AS y, r.x + dx AS x, dy, dx, r.value AS was FROM channel_pixels r JOIN sf USING (frame) CROSS JOIN o), ft AS (SELECT frame, dy, dx, corr(was, value) AS f FROM q JOIN mv USING (frame, y, x) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(f, 9) DESC, dy * dy + dx * dx, dy DESC, dx DESC) AS r FROM ft) SELECT frame, dy, dx, round(sqrt(dy * dy + dx * dx), 6) AS offset FROM rk WHERE r = 1""", True),
+    ),
     "a6_shape_outliers": (
         lambda s, d: anomaly.area_outliers(px.morphometry(fx.mask_pixels(s, d)), anomaly.Thresholds(area_mad_k=1.0, max_eccentricity=0.75)),
         duck(""", mo AS (SELECT frame, label, count(*)::DOUBLE AS area, var_pop(y) + 1.0 / 12 AS a, var_pop(x) + 1.0 / 12 AS c, covar_pop(x, y) AS b FROM mask_pixels GROUP BY ALL),
