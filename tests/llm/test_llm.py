@@ -224,6 +224,21 @@ def test_contaminated_documents(spark, docs, none, rows, block, monkeypatch):
     assert positional_index.contaminated_documents(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_item_blocks_change_no_row(spark, docs, monkeypatch):
+    """Items in several blocks give what one block gives, also for rows with a null doc_id or that share doc_id and number of words."""
+    long = words(texts()[5])
+    more = [(None, " ".join(long[10:40])), (900, " ".join(long[:30])), (900, "clean " * 30), (900, " ".join(long[15:45]))]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    benchmark = spark.createDataFrame(items(), "item_id string, text string")
+    real, found = positional_index.item_blocks, []
+    for block in (1 << 20, 40):
+        monkeypatch.setattr(positional_index, "item_blocks", lambda b, block=block: real(b, block))
+        got = positional_index.contaminated_documents(docs, benchmark).collect()
+        found.append(Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got))
+    assert found[0] == found[1]
+    assert (900, 30, 0, (), False) in found[1] and any(k[0] is None and k[2] for k in found[1])
+
+
 def test_proximity(spark):
     index = positional_index.build_index(spark.createDataFrame([(1, "c x a y b"), (2, "a b"), (3, "c z z z z a b"), (4, None)], "doc_id long, text string"))
     found = positional_index.search(index, [("q", "a b c")], slop=2).where(F.size("items") > 0)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -28,7 +29,7 @@ from pyspark.sql.types import LongType
 from .packing import ALNUM, Texts, blocks
 from .shared import staged
 
-INDEX = "doc_ids binary, n_words binary, terms binary, lengths binary, gaps binary"
+INDEX = "shard long, doc_ids binary, n_words binary, terms binary, lengths binary, gaps binary"
 #: Bytes of item texts that are looked for at a time, and so the most that is sent to every task.
 ITEM_BLOCK = 8 << 20
 
@@ -39,7 +40,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """A row for each shard: its documents, its terms and the gaps between the positions of each term.
+    """A row for each shard: its number, its documents, its terms and the gaps between the positions of each term.
 
     Position of a word: its number in the shard plus the number of documents before its own, so that no
     phrase crosses documents. ``terms``, sorted term hashes, restricts the index to words that queries
@@ -47,7 +48,8 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        task = TaskContext.get().partitionId() << 32
+        for number, block in enumerate(blocks(batches)):
             words = Texts.of(block.column("text")).lowered().words(ALNUM)
             term = words.hashes()
             position = (np.arange(len(words)) + words.doc()).astype(np.int32)
@@ -62,7 +64,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
             gaps = np.diff(position, prepend=np.int32(0))
             gaps[starts] = position[starts]
             row = [_ids(block.column("doc_id")), words.counts().astype(np.int64), term[starts], np.diff(np.r_[starts, len(term)]).astype(np.int32), gaps.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in row], ["doc_ids", "n_words", "terms", "lengths", "gaps"])
+            yield pa.RecordBatch.from_arrays([pa.array([task + number]), *(pa.array([x.tobytes()]) for x in row)], ["shard", "doc_ids", "n_words", "terms", "lengths", "gaps"])
 
     return docs.select("doc_id", "text").mapInArrow(shards, INDEX)
 
@@ -144,7 +146,7 @@ def _covered(shard: Shard, spans: list[tuple[np.ndarray, int]]) -> tuple[np.ndar
 
 
 def search(index: DataFrame, items: list[tuple[str, str]], n: int = 13, slop: int | None = None) -> DataFrame:
-    """A row for each document: ``doc_id, n_words, items`` (ids found) and the hit words as ``starts`` and ``ends``.
+    """A row for each document: ``shard`` and ``place`` in it, ``doc_id, n_words, items`` (ids found) and the hit words as ``starts`` and ``ends``.
 
     Exact windows of ``n`` words; with ``slop``, also windows all of whose words stand within ``n + slop`` words.
     """
@@ -176,9 +178,10 @@ def search(index: DataFrame, items: list[tuple[str, str]], n: int = 13, slop: in
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x - base, pa.int64()))  # noqa: E731, B023
                 ids = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == -(2**63))
                 found = pa.array([sorted(by_doc.get(d, ())) for d in range(len(shard.doc_ids))], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(shard.n_words), found, lists(starts), lists(ends)], ["doc_id", "n_words", "items", "starts", "ends"])
+                own = [pa.array(np.full(len(ids), row["shard"], np.int64)), pa.array(np.arange(len(ids), dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, ids, pa.array(shard.n_words), found, lists(starts), lists(ends)], ["shard", "place", "doc_id", "n_words", "items", "starts", "ends"])
 
-    return index.mapInArrow(find, "doc_id long, n_words long, items array<string>, starts array<long>, ends array<long>")
+    return index.mapInArrow(find, "shard long, place long, doc_id long, n_words long, items array<string>, starts array<long>, ends array<long>")
 
 
 @F.pandas_udf(LongType())
@@ -215,8 +218,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, s
             rows = staged(rows.where(F.size("items") > 0), "matches")
             found = rows if found is None else found.unionByName(rows)
         every = search(index, [], n)
-        merged = found.groupBy("doc_id", "n_words").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "starts", "ends")))
-        found = every.select("doc_id", "n_words").join(merged, ["doc_id", "n_words"], "left")
+        merged = found.groupBy("shard", "place").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "starts", "ends")))
+        found = every.select("shard", "place", "doc_id", "n_words").join(merged, ["shard", "place"], "left")
         found = found.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("items", "array<string>"), ("starts", "array<long>"), ("ends", "array<long>"))})
         found = found.withColumn("items", F.array_sort(F.array_distinct("items")))
     n_hit = F.when(F.size("starts") > 0, _union_length("starts", "ends")).otherwise(F.lit(0))
