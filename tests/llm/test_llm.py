@@ -275,6 +275,16 @@ def test_language_model_learns_contexts(spark):
     assert found[1001].score > found[1002].score > found[1004].score
 
 
+def test_language_model_keeps_rare_contexts_of_large_inputs(spark):
+    """A context seen six times in 100,000 tokens is a state as it is in a small input."""
+    rng = random.Random(3)
+    filler = [(d, " ".join(f"w{rng.randrange(50)}" for _ in range(500))) for d in range(200)]
+    rare = [(1000 + d, "q z") for d in range(6)]
+    for made in (rare + filler[:1], rare + filler):
+        found = {r.doc_id: r for r in suffix_tree.scored(spark.createDataFrame(made, "doc_id long, text string"), folds=1_000_000).collect()}
+        assert found[1000].score > found[1000].base_score + 1
+
+
 def test_shards(docs, none, rows):
     got = collected(histogram_sort.shard_documents(docs, 4))
     want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _ in rows)

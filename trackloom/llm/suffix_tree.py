@@ -1,15 +1,15 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-A state is a context of up to ``DEPTH`` words. Candidates are the contexts that make up at least ``LEAST``
-of the training tokens, so that each depth has at most ``1 / LEAST`` of them, whatever the corpus; a
-candidate stays if its next-word distribution diverges enough from the one of the longest shorter suffix that stayed,
+A state is a context of up to ``DEPTH`` words. Candidates are the contexts seen ``LEAST`` times or more, below
+which none can pass the test that follows, so states grow with the corpus; a candidate stays if its next-word distribution diverges enough from the one of the longest shorter suffix that stayed,
 each occurrence being judged by the counts without it, so that chance does not look like divergence. A state's distribution is smoothed with that of its suffix: next words seen once lend their mass to it,
 ``P(x | s) = (c(s, x) + a(s) P(x | suffix of s)) / (c(s) + a(s))`` with ``a(s)`` their number and a half
 and ``c`` without them; the root is the smoothed unigram distribution of the contract. A token is scored
 by the longest suffix state before it.
 
 Counts of words and of candidate contexts with their next words are taken over all training documents by
-packed exchanges, depth by depth.
+packed exchanges, depth by depth. States are never in one place: the part of the key space that owns a context decides
+whether it stays and answers each batch that holds it.
 
 Defined results: a null or empty text is the end alone; without training tokens both scores are those of
 an empty table of counts; rows that repeat a doc_id are counted and scored one by one; a null doc_id is held
@@ -18,8 +18,6 @@ out by no fold and trains; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +28,9 @@ from .exchange import PART, batched, narrow, opened, parts_of, passed, squeezed,
 from .packing import PLAIN, Rolling, Texts
 from .shared import staged
 
-DEPTH, LEAST = 3, 1e-4
+DEPTH = 3
+#: Occurrences of a candidate: a context gains only by a next word seen three times or more.
+LEAST = 3
 #: Nats by which a state's distribution must diverge from its suffix's, on average over its occurrences.
 DIVERGENCE = 0.02
 #: Added to the count of every word, and of one unseen word, at the root.
@@ -40,15 +40,6 @@ END = np.uint64(0x5851F42D4C957F2D)
 KEY_BYTES = [8, 6, 6, 6]
 
 
-@dataclass
-class States:
-    """The states that stayed at one depth: sorted hashes of their words, kept counts and smoothing mass."""
-
-    key: np.ndarray
-    kept: np.ndarray
-    mass: np.ndarray
-
-
 class Sequence:
     """The tokens of a batch: words and an end for each document."""
 
@@ -70,7 +61,13 @@ class Sequence:
 
     def keys(self, depth: int, where: np.ndarray) -> np.ndarray:
         """Hashes of the ``depth`` words before each place and its token."""
-        return self.token[where] if depth == 0 else self.rolling.runs(where - depth, where + 1)
+        key = self.token[where] if depth == 0 else self.rolling.runs(where - depth, where + 1)
+        return key if KEY_BYTES[depth] == 8 else key & np.uint64((1 << 8 * KEY_BYTES[depth]) - 1)
+
+    def contexts(self, depth: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts of ``depth`` words before places, and the number of each place's."""
+        distinct, number = np.unique(self.keys(depth - 1, where - 1), return_inverse=True)
+        return distinct, number.ravel()
 
 
 def _answered(seq: Sequence, answers: pa.Table | None, depths: int, parts: list[int], least: float):
@@ -86,8 +83,6 @@ def _answered(seq: Sequence, answers: pa.Table | None, depths: int, parts: list[
         if depth:
             where = where[frequent[where - 1]]
         key = seq.keys(depth, where)
-        if KEY_BYTES[depth] < 8:
-            key = key & np.uint64((1 << 8 * KEY_BYTES[depth]) - 1)
         distinct, number = np.unique(key, return_inverse=True)
         count = None
         if answers is not None:
@@ -137,7 +132,7 @@ def _totals(depth: int):
 ANSWER = "batch int, depth int, part int, counts binary, tokens long, words long"
 
 
-def _smoothed(seq: Sequence, levels, states: list[States], tokens: int, words: int):
+def _smoothed(seq: Sequence, levels, answers: pa.Table | None, parts: list[int], tokens: int, words: int):
     """log of the root's and of the longest state's probability at every place, and the counts of the words."""
     base = chance = known = None
     for depth, where, number, _, count in levels:
@@ -146,72 +141,75 @@ def _smoothed(seq: Sequence, levels, states: list[States], tokens: int, words: i
             base = (c + ROOT) / (tokens + ROOT * (words + 1))
             chance, known = base.copy(), c
             continue
-        if depth > len(states):
-            break
-        s = states[depth - 1]
-        if not len(s.key):
-            continue
-        context = seq.keys(depth - 1, where - 1)
-        at = np.minimum(np.searchsorted(s.key, context), len(s.key) - 1)
-        stays = s.key[at] == context
-        w, at, c = where[stays], at[stays], c[stays]
-        chance[w] = (np.where(c > 1, c, 0) + s.mass[at] * chance[w]) / (s.kept[at] + s.mass[at])
+        context, of = seq.contexts(depth, where)
+        mine = answers.filter(pc.equal(answers.column("depth"), -depth))
+        got = dict(zip(mine.column("part").to_pylist(), mine.column("counts").to_pylist(), strict=True))
+        state = np.zeros((2, len(context)))
+        for p, at in parts_of(context, parts[depth]):
+            state[:, at] = opened(got[p], "<i8").reshape(2, -1)
+        kept, once = state[:, of]
+        stays = kept > 0
+        w, c, kept, mass = where[stays], c[stays], kept[stays], 0.5 + once[stays]
+        chance[w] = (np.where(c > 1, c, 0) + mass * chance[w]) / (kept + mass)
     return base, chance, known
 
 
-def _sums(depth: int, parts: list[int], least: float, states: list[States], tokens: int, words: int, then_parts: int | None):
-    """What a batch adds to the candidates of a depth, and its keys of the next depth if there is one."""
+SENT = "batch int, part int, keys binary, counts binary, gain binary"
+
+
+def _sums(depth: int, parts: list[int], least: float, tokens: int, words: int, last: bool):
+    """What a batch adds to the candidates of a depth (with their gain), and its keys of the next depth if there is one."""
 
     def work(table: pa.Table, answers: pa.Table | None) -> pa.Table:
         seq = Sequence(table)
-        levels = list(_answered(seq, answers, depth + (1 if then_parts is None else 2), [*parts, then_parts or 1], least))
+        levels = list(_answered(seq, answers, depth + (1 if last else 2), parts, least))
         batch = table.column("batch")[0].as_py() if table.num_rows else 0
-        _, chance, _ = _smoothed(seq, [x for x in levels if x[0] < depth], states, tokens, words)
+        _, chance, _ = _smoothed(seq, [x for x in levels if x[0] < depth], answers, parts, tokens, words)
         _, where, number, distinct, count = levels[depth]
+        context, of = seq.contexts(depth, where)
         teach = seq.teaches[where]
-        at, c = where[teach], count[number][teach]
-        context, of = np.unique(seq.keys(depth - 1, at - 1), return_inverse=True)
-        of, many, firm = of.ravel(), c > 1, c > 2
-        sums = [np.bincount(of, x, len(context)) for x in (many, ~many, np.where(firm, np.log(np.maximum(c - 1, 1)) - np.log(chance[at]), 0.0), firm)]
-        n = len(context)
-        rows = _sent(seq, batch, depth + 1, *levels[depth + 1][1:4], then_parts) if then_parts is not None and len(levels) > depth + 1 else []
-        none = lambda k, t: pa.nulls(k, t)
-        return pa.table(
-            {
-                "state": pa.chunked_array([pa.array(context.view(np.int64)), none(len(rows), pa.int64())]),
-                **{k: pa.chunked_array([pa.array(v.astype(float)), none(len(rows), pa.float64())]) for k, v in zip(("kept", "once", "gain", "firm"), sums, strict=True)},
-                "batch": pa.chunked_array([none(n, pa.int32()), pa.array([r[0] for r in rows], pa.int32())]),
-                "part": pa.chunked_array([none(n, pa.int32()), pa.array([r[1] for r in rows], pa.int32())]),
-                "keys": pa.chunked_array([none(n, pa.binary()), pa.array([r[2] for r in rows], pa.binary())]),
-                "counts": pa.chunked_array([none(n, pa.binary()), pa.array([r[3] for r in rows], pa.binary())]),
-            }
-        )
+        at, of, c = where[teach], of[teach], count[number][teach]
+        firm = c > 2
+        own = np.stack([np.bincount(of, x, len(context)) for x in (c > 1, c == 1, firm)]).astype(np.int32)
+        gain = np.bincount(of, np.where(firm, np.log(np.maximum(c - 1, 1)) - np.log(chance[at]), 0.0), len(context)).astype(np.float32)
+        rows = [(batch, p, narrow(context[x], KEY_BYTES[depth - 1]), squeezed(own[:, x]), squeezed(gain[x])) for p, x in parts_of(context, parts[depth])]
+        if len(levels) > depth + 1:
+            rows += [(*r, None) for r in _sent(seq, batch, depth + 1, *levels[depth + 1][1:4], parts[depth + 1])]
+        kinds = (("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("gain", pa.binary()))
+        return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds)})
 
     return work
 
 
-def _kept_states(sums: DataFrame, least: float, divergence: float) -> States:
-    """The candidates that stay; there are at most ``1 / LEAST`` candidates."""
-    total = F.col("kept") + F.col("once")
-    # each occurrence is judged by the counts without it: what then was seen once or never gets what the state lends
-    lent = (total - F.col("firm")) * F.log((F.col("once") + 0.5) / (total + 0.5))
-    rows = (
-        sums.where("state is not null")
-        .groupBy("state")
-        .agg(*(F.sum(c).alias(c) for c in ("kept", "once", "gain", "firm")))
-        .where((total >= least) & (F.col("kept") > 0) & (F.col("gain") - F.col("firm") * F.log(total) + lent >= divergence * total))
-        .toPandas()
-    )
-    key = rows["state"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return States(key[order], rows["kept"].to_numpy(float)[order], (0.5 + rows["once"].to_numpy(float))[order])
-
-
-def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, least_share: float = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+def _staying(depth: int, least: float, divergence: float):
+    """Answers each batch's contexts with what is kept and what is seen once of those that stay, and with 0 for the others."""
+    width = KEY_BYTES[depth - 1]
+
+    def decide(table: pa.Table) -> pa.Table:
+        keys = [widen(x, width) for x in table.column("keys").to_pylist()]
+        own = np.concatenate([opened(x, "<i4").reshape(3, -1) for x in table.column("counts").to_pylist()], axis=1)
+        gain = np.concatenate([opened(x, "<f4") for x in table.column("gain").to_pylist()])
+        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+        number = number.ravel()
+        kept, once, firm, gain = (np.bincount(number, x, len(distinct)) for x in (*own, gain))
+        total = kept + once
+        # each occurrence is judged by the counts without it: what then was seen once or never gets what the state lends
+        lent = (total - firm) * np.log((once + 0.5) / (total + 0.5))
+        stays = (total >= least) & (kept > 0) & (gain - firm * np.log(np.maximum(total, 1)) + lent >= divergence * total)
+        state = (np.stack([kept, once]) * stays).astype(np.int64)
+        cut = np.cumsum([0, *map(len, keys)])
+        back = [squeezed(state[:, number[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        none = pa.array(np.zeros(table.num_rows, np.int64))
+        return pa.table({"batch": table.column("batch"), "depth": pa.array(np.full(table.num_rows, -depth, np.int32)), "part": table.column("part"), "counts": pa.array(back, pa.binary()), "tokens": none, "words": none})
+
+    return decide
+
+
+def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the fold ``held`` does not teach."""
     table, size = batched(docs)
     table = table.withColumn("held", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False)))
-    parts = [max(1, -(-size // 30 // PART)), *[max(1, -(-size // 15 // PART))] * depth]
+    parts = [max(1, -(-size // 30 // PART)), *[max(1, -(-size // 6 // PART))] * depth]
 
     def first(t: pa.Table, _: pa.Table | None) -> pa.Table:
         seq = Sequence(t)
@@ -222,24 +220,21 @@ def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH,
     sent = passed(table, None, first, "batch int, part int, keys binary, counts binary")
     answers = staged(sent.groupBy("part").applyInArrow(_totals(0), ANSWER), "counts")
     tokens, words = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    least = max(2.0, least_share * tokens)
-    states: list[States] = []
+    least = max(LEAST, least_share * tokens)
     if depth:
         only = passed(table, answers, _next_only(parts, least), "batch int, part int, keys binary, counts binary")
         answers = answers.unionByName(staged(only.groupBy("part").applyInArrow(_totals(1), ANSWER), "counts"))
     for d in range(1, depth + 1):
-        then = parts[d + 1] if d < depth else None
-        work = _sums(d, parts[: d + 1], least, list(states), tokens, words, then)
-        both = staged(passed(table, answers, work, "state long, kept double, once double, gain double, firm double, batch int, part int, keys binary, counts binary"), "states")
-        states.append(_kept_states(both, least, divergence))
-        if then is not None:
-            sent = both.where("part is not null").select("batch", "part", "keys", "counts")
+        both = staged(passed(table, answers, _sums(d, parts, least, tokens, words, d == depth), SENT), "sums")
+        states = both.where("gain is not null").groupBy("part").applyInArrow(_staying(d, least, divergence), ANSWER)
+        answers = answers.unionByName(staged(states, "states"))
+        if d < depth:
+            sent = both.where("gain is null").select("batch", "part", "keys", "counts")
             answers = answers.unionByName(staged(sent.groupBy("part").applyInArrow(_totals(d + 1), ANSWER), "counts"))
-    model = docs.sparkSession.sparkContext.broadcast(states)
 
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
         seq = Sequence(t)
-        base, chance, known = _smoothed(seq, _answered(seq, a, depth + 1, parts, least), model.value, tokens, words)
+        base, chance, known = _smoothed(seq, _answered(seq, a, depth + 1, parts, least), a, parts, tokens, words)
         start = seq.ends - seq.n
         add = lambda x: np.add.reduceat(x, start) if len(start) else x[:0]
         return pa.table(
