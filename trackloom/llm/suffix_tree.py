@@ -105,9 +105,8 @@ def _sent(seq: Sequence, batch: int, depth: int, where: np.ndarray, number: np.n
 
 
 def _totals(depth: int):
-    width = KEY_BYTES[depth]
-
     def add(table: pa.Table) -> pa.Table:
+        width = KEY_BYTES[depth]
         keys = [widen(x, width) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([opened(x, "<i8") for x in table.column("counts").to_pylist()])
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
@@ -205,6 +204,18 @@ def _staying(depth: int, least: float, divergence: float):
     return decide
 
 
+def _decided(depth: int, least: float, divergence: float):
+    """States of a depth and counts of the next one, from one exchange."""
+    states, counts = _staying(depth, least, divergence), _totals(depth + 1)
+
+    def work(table: pa.Table) -> pa.Table:
+        is_state = pc.is_valid(table.column("gain"))
+        found = [f(t) for f, t in ((states, table.filter(is_state)), (counts, table.filter(pc.invert(is_state)))) if t.num_rows]
+        return pa.concat_tables(found)
+
+    return work
+
+
 def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; the fold ``held`` does not teach."""
     table, size = batched(docs)
@@ -225,12 +236,8 @@ def scored(docs: DataFrame, folds: int = 10, held: int = 0, depth: int = DEPTH,
         only = passed(table, answers, _next_only(parts, least), "batch int, part int, keys binary, counts binary")
         answers = answers.unionByName(staged(only.groupBy("part").applyInArrow(_totals(1), ANSWER), "counts"))
     for d in range(1, depth + 1):
-        both = staged(passed(table, answers, _sums(d, parts, least, tokens, words, d == depth), SENT), "sums")
-        states = both.where("gain is not null").groupBy("part").applyInArrow(_staying(d, least, divergence), ANSWER)
-        answers = answers.unionByName(staged(states, "states"))
-        if d < depth:
-            sent = both.where("gain is null").select("batch", "part", "keys", "counts")
-            answers = answers.unionByName(staged(sent.groupBy("part").applyInArrow(_totals(d + 1), ANSWER), "counts"))
+        both = passed(table, answers, _sums(d, parts, least, tokens, words, d == depth), SENT)
+        answers = answers.unionByName(staged(both.groupBy("part").applyInArrow(_decided(d, least, divergence), ANSWER), "answers"))
 
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
         seq = Sequence(t)
