@@ -42,6 +42,11 @@ def test_hierarchical_labels(spark):
     assert {r.track_id: r.label for r in lineage.labels(df).collect()} == {5: "1", 8: "1.1", 9: "1.2", 20: "1.1.1", 30: "2", 31: "2.1"}
 
 
+def test_labels_reach_every_depth(spark):
+    df = tracks(spark, [(t, t, 0, t - 1 if t > 1 else -1, "Mitosis") for t in range(1, 69)])
+    assert {r.track_id: r.generation for r in lineage.labels(df).collect()} == {t: t - 1 for t in range(1, 69)}
+
+
 def test_root_of_a_parent_known_at_birth_only(spark):
     df = tracks(spark, [(1, 0, 0, -1, ""), (11, 1, 0, 1, ""), (11, 2, 0, -1, ""), (11, 3, 0, -1, "")])
     assert {r.track_id: r.root_id for r in lineage.roots(df).collect()} == {1: 1, 11: 1}

@@ -76,7 +76,7 @@ def lineage_roots(df: DataFrame) -> DataFrame:
     return top.union(kinds.where("role = 'single'").select(*TRACK)).union(of_mothers).distinct()
 
 
-def labels(df: DataFrame, max_depth: int = 64) -> DataFrame:
+def labels(df: DataFrame) -> DataFrame:
     """movie_id, track_id, label, generation: roots numbered by (first frame, id), children ``.k`` by (birth, id)."""
     first = spans(df).select(*TRACK, "first_frame")
     edges = parent_map(df)
@@ -86,7 +86,7 @@ def labels(df: DataFrame, max_depth: int = 64) -> DataFrame:
     order = Window.partitionBy("movie_id", "parent").orderBy(far, "child")
     ranked = stored(edges.join(first.withColumnRenamed("track_id", "child"), ["movie_id", "child"], "left").withColumn("k", F.row_number().over(order)).select("movie_id", "parent", "child", "k"), "siblings")
     out = level
-    for _ in range(max_depth):
+    while True:  # a track has one parent and a root none, so no cycle is entered
         level = stored(level.join(ranked, (ranked["movie_id"] == level["movie_id"]) & (ranked["parent"] == level["track_id"])).select(level["movie_id"], ranked["child"].alias("track_id"), F.concat_ws(".", "label", "k").alias("label"), (F.col("generation") + 1).alias("generation")), "labels")
         if level.isEmpty():
             break
