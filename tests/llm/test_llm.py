@@ -44,6 +44,7 @@ def texts():
             for _ in range(rng.randint(1, 4)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
         out.append(" ".join(words))
+    out += [" ".join(base).upper(), " ".join(w.capitalize() for w in base)]
     out.append(" ".join(rng.choice(vocabulary) for _ in range(20_000)))
     return out
 
@@ -146,7 +147,7 @@ def test_longest_previous_factor():
 def test_near_duplicates(docs, none, rows):
     sets = []
     for _, t, _ in rows:
-        w = words(t)
+        w = words((t or "").translate(LOWER))
         sets.append(frozenset([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []))
     label = list(range(len(rows)))
     changed = True
@@ -165,6 +166,12 @@ def test_near_duplicates(docs, none, rows):
     assert hamming_minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_that_differ_in_case(spark):
+    made = [(1, "The Cat Sat On The Mat Today"), (2, "the cat sat on the mat today"), (3, "É x y z w v"), (4, "é x y z w v")]
+    found = hamming_minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(collected(found)) == [(1, 3, 1, True), (2, 3, 1, False), (3, 2, 3, True), (4, 2, 4, True)]
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]

@@ -15,7 +15,8 @@ such node at all, and, for two nodes near the same hub, the shingles of the hub
 plus those outside it that occur elsewhere. So a large group of near copies makes rows in proportion to its
 size. Every link is confirmed on the full sets.
 
-Shingles are runs of 5 words, fewer words count as one shingle; a shingle is a 48-bit hash of its words.
+Words are those between white space, ``A-Z`` lower-cased. Shingles are runs of 5 words, fewer words count as one
+shingle; a shingle is a 48-bit hash of its words.
 
 Defined results: without words, or with a null text, a document has no shingles and is a component alone;
 rows that repeat a doc_id are told apart by their sets; component_id is the smallest doc_id of a component (null
@@ -45,7 +46,7 @@ _LOW = np.uint64((1 << 48) - 1)
 
 def shingle_sets(texts: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each document, ascending, as one array and the bounds of the documents in it."""
-    words = texts.words(PLAIN)
+    words = texts.lowered().words(PLAIN)
     hashes = words.hashes()
     count = words.counts()
     runs = np.where(count >= n, count - n + 1, np.minimum(count, 1))
