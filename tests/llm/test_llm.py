@@ -172,7 +172,10 @@ def test_near_duplicates_that_differ_in_case(spark):
     assert sorted(collected(found)) == [(1, 3, 1, True), (2, 3, 1, False), (3, 2, 3, True), (4, 2, 4, True)]
 
 
-def test_hot_group_of_near_copies(spark):
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_hot_group_of_near_copies(spark, hot, monkeypatch):
+    """``hot`` of 5 splits every key of the joins that has more than a few rows."""
+    monkeypatch.setattr(hamming_minhash, "HOT", hot)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     made = []

@@ -16,7 +16,7 @@ plus those outside it that occur elsewhere. So a large group of near copies make
 size. Every link is confirmed on the full sets.
 
 Words are those between white space, ``A-Z`` lower-cased. Shingles are runs of 5 words, fewer words count as one
-shingle; a shingle is a 48-bit hash of its words.
+shingle; a shingle is a 64-bit hash of its words.
 
 Defined results: without words, or with a null text, a document has no shingles and is a component alone;
 rows that repeat a doc_id are told apart by their sets; component_id is the smallest doc_id of a component (null
@@ -41,7 +41,10 @@ THRESHOLD = 2 * (SYMBOLS // CHUNK) - 1
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Keys that one task sorts at a time, nodes of one key compared at a time, and the most ids that are broadcast.
 PART_KEYS, GROUP_BLOCK, BROADCAST_IDS = 2_000_000, 2048, 500_000
-_LOW = np.uint64((1 << 48) - 1)
+#: Rows of one key from which on a join may split them.
+HOT = 20_000
+#: Nodes of one key in a batch from which on only the smallest of them goes to the key's part.
+LOCAL = 3
 
 
 def shingle_sets(texts: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +56,18 @@ def shingle_sets(texts: Texts, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(texts)), runs)
     first = np.repeat(words.of[:-1] - np.r_[0, np.cumsum(runs)[:-1]], runs) + np.arange(runs.sum())
     last = np.minimum(first + n, words.of[doc + 1])
-    value = Rolling(hashes).runs(first, last) & _LOW
+    value = Rolling(hashes).runs(first, last)
     found = []
     for a in range(0, len(texts), 1 << 16):  # the document's number fits in the upper 16 bits
         lo, hi = np.searchsorted(doc, [a, a + (1 << 16)])
-        key = np.sort(((doc[lo:hi] - a).astype(np.uint64) << np.uint64(48)) | value[lo:hi])
-        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-        found.append((key & _LOW, (key >> np.uint64(48)).astype(np.int64) + a))
+        x, d = value[lo:hi], doc[lo:hi]
+        key = ((d - a).astype(np.uint64) << np.uint64(48)) | (x >> np.uint64(16))
+        order = np.argsort(key)
+        if len(key) and ((key[order][1:] == key[order][:-1]) & (x[order][1:] != x[order][:-1])).any():
+            order = np.lexsort((x, d))  # two shingles that agree in 48 bits
+        x, d = x[order], d[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])] if len(x) else np.zeros(0, bool)
+        found.append((x[new], d[new]))
     value = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
     doc = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
     return value, np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -83,7 +91,7 @@ def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if it is empty), signature."""
+    """doc_id, row, n_shingles, node (hash of the set, null if it is empty), signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -96,11 +104,11 @@ def signed(docs: DataFrame, n: int = 5) -> DataFrame:
                 for i, s in zip(have.tolist(), signatures(value, at), strict=True):
                     sig[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "node", "signature"],
+                [block.column("doc_id").cast(pa.int64()), block.column("row"), pa.array(size.astype(np.int64)), pa.array(node, mask=size == 0), pa.array(sig, pa.binary())],
+                ["doc_id", "row", "n_shingles", "node", "signature"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node long, signature binary")
+    return docs.select("doc_id", "row", "text").mapInArrow(sign, "doc_id long, row long, n_shingles long, node long, signature binary")
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
@@ -116,59 +124,112 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     return keys.reshape(n, -1)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: which are the first of their kind, and how many there are of each one's kind."""
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    size = np.diff(np.r_[np.flatnonzero(first), len(keys)])
+    return first, np.repeat(size, size)
+
+
+def _stars(nodes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of the first node of a key and another one of it."""
+    hub, other = nodes[first][np.cumsum(first) - 1][~first], nodes[~first]
+    order = np.lexsort((other, hub))
+    hub, other = hub[order], other[order]
+    new = np.r_[True, (hub[1:] != hub[:-1]) | (other[1:] != other[:-1])] if len(hub) else np.zeros(0, bool)
+    return hub[new], other[new]
+
+
+DEALT = "part int, keys binary, nodes binary, more binary, hubs binary, others binary"
+
+
 def _dealt(nodes: DataFrame, parts: int) -> DataFrame:
-    """Keys with their nodes, packed by part of the key space."""
+    """Keys with their nodes, packed by part of the key space.
+
+    Of a key that ``LOCAL`` nodes of a batch have, only the smallest node goes to the part, marked as one of
+    ``more``; the batch itself pairs the others with it and passes them on under a part number of its own,
+    from ``parts`` on. So a key that a third of all nodes have comes to its part once a batch.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = batch.column("node").to_numpy(zero_copy_only=False)
-            symbols = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-            keys = chunk_keys(symbols)
+            keys = chunk_keys(_symbols(batch.column("signature")))
             owner = np.repeat(node, keys.shape[1])
             keys = keys.ravel()
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
+            first, size = _runs(keys)
+            many = size >= LOCAL
+            held = many & ~first
+            if held.any():
+                hubs, others = _stars(owner[many], first[many])
+                own = parts + int(mix(owner[:1].view(np.uint64))[0] % np.uint64(parts))
+                yield _packed([(own, keys[held], owner[held], np.zeros(0, bool), hubs, others)])
+            keys, owner, many = keys[~held], owner[~held], many[~held]
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, keys[i].tobytes(), owner[i].tobytes()) for p in range(parts) if len(i := order[cut[p] : cut[p + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["part", "keys", "nodes"])
+            none = np.zeros(0, np.int64)
+            yield _packed([(p, keys[i], owner[i], many[i], none, none) for p in range(parts) if len(i := order[cut[p] : cut[p + 1]])])
 
-    return nodes.select("node", "signature").mapInArrow(deal, "part int, keys binary, nodes binary")
+    return nodes.select("node", "signature").mapInArrow(deal, DEALT)
 
 
-def _groups(dealt: DataFrame) -> DataFrame:
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in DEALT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in range(1, 6))], names)
+
+
+def _groups(dealt: DataFrame, parts: int) -> DataFrame:
     """Keys of two nodes and more: hub (the smallest) and member pairs; and all members of keys of three and more."""
 
     def group(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        starts = np.flatnonzero(first)
-        size = np.diff(np.r_[starts, len(keys)])
-        which = np.repeat(np.arange(len(starts)), size)
-        hub = nodes[starts][which]
-        pair = np.flatnonzero(~first)
-        stars = np.unique(np.stack([hub[pair], nodes[pair]], 1), axis=0) if len(pair) else np.zeros((0, 2), np.int64)
-        large = size[which] > 2
-        none = pa.nulls(len(stars), pa.int64())
+        keys, nodes, more, hubs, others = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("keys", "u8"), ("nodes", "i8"), ("more", "?"), ("hubs", "i8"), ("others", "i8")))
+        if table.column("part")[0].as_py() < parts:
+            order = np.lexsort((nodes, keys))
+            keys, nodes, more = keys[order], nodes[order], more[order]
+            first, size = _runs(keys)
+            hubs, others = _stars(nodes, first)
+            of = np.cumsum(first) - 1
+            large = (size > 2) | (np.bincount(of, more)[of] > 0)
+            keys, nodes = keys[large], nodes[large]
         return pa.table(
             {
-                "key": pa.chunked_array([none, pa.array(keys[large].view(np.int64))]),
-                "hub": pa.chunked_array([pa.array(stars[:, 0]), pa.nulls(int(large.sum()), pa.int64())]),
-                "node": pa.chunked_array([pa.array(stars[:, 1]), pa.array(nodes[large])]),
+                "key": pa.chunked_array([pa.nulls(len(hubs), pa.int64()), pa.array(keys.view(np.int64))]),
+                "hub": pa.chunked_array([pa.array(hubs), pa.nulls(len(keys), pa.int64())]),
+                "node": pa.chunked_array([pa.array(others), pa.array(nodes)]),
             }
         )
 
     return dealt.groupBy("part").applyInArrow(group, "key long, hub long, node long")
 
 
+def spread(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each ``key``; rows of a hot key are split by ``by``.
+
+    Hot is a key with more than ``HOT`` rows and a ten-thousandth of all, so at most 10,000 keys are hot and their
+    list is broadcast. A hot key's row of ``side`` is sent once for each such share of its rows.
+    """
+    share = F.greatest(F.lit(HOT), F.col("all") / 10_000)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > HOT).crossJoin(F.broadcast(rows.agg(F.count("*").alias("all")))).where(F.col("n") > share)
+    hot = staged(hot.select(key, F.ceil(F.col("n") / share).cast("int").alias("split")), "hot")
+    if hot.isEmpty():
+        return rows.join(side, key, how)
+    hot = F.broadcast(hot)
+    split = F.coalesce("split", F.lit(1))
+    many = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), split).cast("int")).drop("split")
+    copies = side.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), split - 1))).drop("split")
+    return many.join(copies, [key, "salt"], how).drop("salt")
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) whose signatures are under the threshold and whose set sizes allow a link."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("signature").alias(f"sig_{k}"), F.col("n_shingles").alias(f"n_{k}"))
-    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = spread(staged(pairs.distinct(), "pairs"), side("a"), "a", "b").join(side("b"), "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +242,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node and its whole set (6 bytes a shingle, ascending) for the wanted nodes."""
+    """node and its whole set (8 bytes a shingle, ascending) for the wanted nodes."""
     ids = nodes.join(wanted, "node").select("doc_id")
     ids = staged(ids.distinct(), "wanted")
     by = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -193,17 +254,15 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) ->
             if not len(value):
                 continue
             node = set_hashes(value, at)
-            packed = np.ascontiguousarray(value).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            packed = value.tobytes()
             have = np.flatnonzero(np.diff(at) > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([packed[6 * at[i] : 6 * at[i + 1]] for i in have], pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([packed[8 * at[i] : 8 * at[i + 1]] for i in have], pa.binary())], ["node", "members"])
 
     return some.mapInArrow(sets, "node long, members binary").dropDuplicates(["node"])
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(packed, np.uint64)
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -225,7 +284,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return staged(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(confirm, "a long, b long"), "links")
+    return staged(spread(pairs, side("a"), "a", "b").join(side("b"), "b").mapInArrow(confirm, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,10 +308,10 @@ def _unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """key, node, label, n (nodes of the key) for the keys whose nodes lie in different components."""
     members = groups.where(F.col("key").isNotNull()).select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    return members.join(mixed, "key")
+    return spread(staged(members, "members"), mixed, "key", "node")
 
 
-def _symbols(column: pa.ChunkedArray) -> np.ndarray:
+def _symbols(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
@@ -303,7 +362,8 @@ def _near_hubs(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """node, home (the hub that it was compared with most often), which of the hub's shingles it holds, and its others."""
     told = stars.groupBy("node", "hub").count().union(stars.groupBy(F.col("hub").alias("node"), "hub").count())
     homes = told.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("home"))
-    rows = homes.join(sets, "node").join(sets.select(F.col("node").alias("home"), F.col("members").alias("hub_members")), "home")
+    hubs = sets.select(F.col("node").alias("home"), F.col("members").alias("hub_members"))
+    rows = spread(staged(homes, "homes"), hubs, "home", "node").join(sets, "node")
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +372,7 @@ def _near_hubs(stars: DataFrame, sets: DataFrame) -> DataFrame:
                 mine, hub = _unpacked(mine.as_py()), _unpacked(hub.as_py())
                 held.append(np.packbits(np.isin(hub, mine, assume_unique=True)).tobytes())
                 other = mine[~np.isin(mine, hub, assume_unique=True)]
-                others.append(np.ascontiguousarray(other).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                others.append(other.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("home"), pa.array(held, pa.binary()), pa.array(others, pa.binary())], ["node", "home", "held", "members"])
 
     return rows.mapInArrow(relate, "node long, home long, held binary, members binary")
@@ -390,13 +450,18 @@ def _across(unsettled: DataFrame, nodes: DataFrame, shared: DataFrame, homes: Da
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; documents are linked at ``percent`` of shingles in common."""
+    return judged(docs.withColumn("row", F.lit(None).cast("long")), n, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, ``row`` (a long that the caller gives each row), n_shingles, label (of the component, null without words), component_id, kept."""
     signed_docs = staged(signed(docs, n), "signed")
     nodes = staged(
         signed_docs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
         "nodes",
     )
     parts = max(1, -(-nodes.count() * SYMBOLS // PART_KEYS))
-    groups = staged(_groups(_dealt(nodes, parts)), "groups")
+    groups = staged(_groups(_dealt(nodes, parts), parts), "groups")
     stars = groups.where(F.col("key").isNull()).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = staged(_near(stars, nodes, percent), "near-pairs")
     links = _confirmed(pairs, _sets_of(docs, nodes, pairs, n), percent)
@@ -424,9 +489,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         open_keys = staged(_unsettled(groups, labels), "unsettled")
         pairs = staged(_across(open_keys, nodes, shared, homes, percent).distinct(), "near-pairs")
         labels = components(links.unionByName(_confirmed(pairs, sets, percent)))
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = staged(nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = staged(named.select("node", "label").join(smallest, "label").select("node", "component_id"), "components")
-    found = signed_docs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = staged(spread(named.select("node", "label"), smallest, "label", "node").select("node", "label", "component_id"), "components")
+    found = signed_docs.select("doc_id", "row", "n_shingles", "node")
+    alone = found.where("node is null").withColumns({"label": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    found = spread(found.where("node is not null"), named, "node", "doc_id").unionByName(alone)
+    return found.select("doc_id", "row", "n_shingles", "label", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
