@@ -369,6 +369,12 @@ def test_toxicity(spark, none):
     assert found[500].score == found[501].score and 0 <= found[500].score <= 1
     assert {r.score for r in gated_recurrent.scored(table, labels.limit(0)).collect()} == {0.5}
     assert gated_recurrent.scored(none, labels).count() == 0
+    # repeated rows score alike, clashing columns change nothing, and long texts teach and are scored whole
+    longest = [(600 + i, " ".join(w for _, t in made[i::60] for w in t.split()) * 40) for i in range(8)]
+    wide = table.unionByName(spark.createDataFrame([*longest, *made[:3]], "doc_id long, text string")).withColumns({"of": F.lit(1), "y": F.lit(1), "score": F.lit("s")})
+    again = gated_recurrent.scored(wide, labels.unionByName(spark.createDataFrame([(600 + i, int(i % 4 == 0)) for i in range(8)], "doc_id long, toxic int"))).collect()
+    assert len(again) == 242 + 11 and len({(r.doc_id, round(r.score, 6)) for r in again}) == 250
+    assert all(r.predicted == 1 for r in again if r.doc_id in (600, 604))
 
 
 def test_gradient():
@@ -415,6 +421,59 @@ def test_nearest(spark):
     assert hash_forest.nearest(table.limit(0), table, 10).count() == 0
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with small labels and benchmark."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items(), "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_stages_decide_row_by_row(spark, docs, none, corpus):
+    """Each stage against a brute-force version, on nulls, repeated rows and columns with clashing names."""
+    import corpus_pipeline as cp
+
+    stages = dict(cp.STAGES)
+    again = docs.where("doc_id = 6").limit(1)  # a third equal row; and a unique text under the doc_id of a copy
+    more = spark.createDataFrame([(7, "nothing like the others at all in here", "en", "s1", 1, "x", "y", 3, 4), (None, None, None, None, None, None, None, None, None)], SCHEMA)
+    table = docs.unionByName(again).unionByName(more).withColumns({"row": F.lit(1), "text_hash": F.lit("t"), "document": F.lit("d"), "copy": F.lit(2)})
+    given = collected(table)
+    sets = []
+    for r in given:
+        w = words((r[1] or "").translate(LOWER))
+        sets.append(frozenset([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []))
+    label = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    left = stages["MinHash near-dedup"](spark, table, corpus)
+    assert left.columns == table.columns
+    got = Counter(collected(left))
+    assert not got - Counter(given)
+    for x in set(label):
+        group = [given[i] for i in range(len(given)) if label[i] == x]
+        smallest = min((r[0] for r in group if r[0] is not None), default=None)
+        assert sum(got[r] for r in {r for r in group if r[0] == smallest}) >= 1
+    assert sum(got.values()) == len(set(label))
+    clean = []
+    for r in given:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r[1] or "").translate(LOWER))
+        hit = {i + k for _, win in windows_of() for i in range(len(w) - len(win) + 1) if tuple(w[i : i + len(win)]) == win for k in range(len(win))}
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(r)
+    assert Counter(collected(stages["benchmark decontamination"](spark, table, corpus))) == Counter(clean) != Counter(given)
+    good = rule_ensemble.scored(table, spark.read.parquet(f"{corpus}/labels.parquet")).where("predicted = 1")
+    assert sorted(str(r[0]) for r in collected(stages["quality classifier"](spark, table, corpus))) == sorted(str(r[0]) for r in collected(good))
+    mixed = Counter(collected(stages["mixing"](spark, table, corpus)))
+    assert all(0 < n <= 2 * Counter(given)[r] for r, n in mixed.items())
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, none, corpus).count() == 0, name
+    empty = spark.createDataFrame([], "item_id string, text string")
+    assert not collected(positional_index.contaminated_documents(table.select("doc_id", "text"), empty).where("contaminated"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
@@ -422,12 +481,9 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("size", F.lit("clash"))
     for name, stage in cp.STAGES:
         before, docs = docs, stage(spark, docs, d)
-        if name == "MinHash near-dedup":
-            found = hamming_minhash.near_duplicates(before).where("kept").select("doc_id")
-            assert sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(r[0] for r in found.collect())
         if name != "sharding":
             assert docs.columns == before.columns
-    assert docs.count() > 0 and cp.STAGES[0][1](spark, before.limit(0), d).count() == 0
+    assert docs.count() > 0
 
 
 def test_labels_are_bounded_by_hash_before_texts_are_read(spark):

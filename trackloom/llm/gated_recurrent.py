@@ -6,7 +6,7 @@ words is read forwards and backwards by gated recurrent units; attention weighs
 unit scores it. Every overlapping window of a whole text is scored, and a second logistic unit joins the windows'
 scores to one for the document. Words are those between white space, ``A-Z`` lower-cased.
 
-Training takes a bounded sample of labelled documents. Only documents are labelled, so the windows that
+Training takes a bounded sample of labelled documents, long ones among them. Only documents are labelled, so the windows that
 teach are chosen by naive Bayes log-odds of their words: the strongest two of each toxic document; the strongest
 and one other of each clean one.
 
@@ -23,14 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import PLAIN, Rolling, Texts, Words, blocks, mix
+from .packing import PLAIN, Rolling, Texts, Words, blocks
+from .rule_ensemble import bucket, lessons
 
-#: Labels (those with the smallest hashes) whose documents one task trains on at most, and the longest of these documents in bytes.
-SAMPLE, SAMPLE_BYTES = 10_000, 1 << 15
-WINDOW, STRIDE = 48, 36
+#: Labelled documents (those with the smallest hashes) that one task trains on at most. Of a text of more than ``SAMPLE_BYTES``,
+#: ``PIECES`` runs of characters, spread evenly over all of it, teach; scoring reads whole texts.
+SAMPLE, SAMPLE_BYTES, PIECES = 10_000, 1 << 15, 8
+WINDOW, STRIDE = 48, 24
 WIDTH, HIDDEN, ATTENTION = 8, 8, 8
 #: Labelled documents that must hold a word or a run of bytes before it gets an embedding; the others share one.
 SEEN = 4
@@ -341,14 +343,21 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 25
     return Model(net, *_logistic(joined(logit, doc, len(texts))[rows], y[rows]))
 
 
+def teaching(text: str) -> Column:
+    """What training reads of a text: all of it, or of a long one its pieces."""
+    size = SAMPLE_BYTES // PIECES
+    step = (F.length(text) - size) / (PIECES - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(F.col(text), (1 + i * step).cast("int"), F.lit(size)))
+    return F.when(F.octet_length(text) <= SAMPLE_BYTES, F.col(text)).otherwise(F.array_join(pieces, " "))
+
+
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of documents in the held-out fold teach nothing."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fold = lambda c: F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
-    taught = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != held)).select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("y"))
-    chosen = F.broadcast(taught.orderBy(F.xxhash64("of"), "of", "y").limit(sample))  # bounded: the texts are not moved for it
-    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.join(chosen, short["doc_id"] == chosen["of"]).select("doc_id", "text", "y").limit(sample)
+    taught = lessons(docs, labels, label, folds, held, sample)
+    known = taught.join(docs.select("doc_id"), F.col("of") == F.col("doc_id"), "left_semi").distinct()  # bounded like ``lessons``: the texts are not moved for it
+    rows = docs.where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("of"))
+    rows = rows.select("doc_id", teaching("text").alias("text"), F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "y").limit(sample)
 
     def fitted(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("y").to_numpy(), table.column("doc_id").to_numpy()))
@@ -364,4 +373,4 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(model.value.scores(Texts.of(block.column("text"))).astype(float))], ["doc_id", "score"])
 
     found = docs.mapInArrow(score, "doc_id long, score double")
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(bucket(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one where that is unset (local runs and tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a new temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -43,8 +45,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids``; null is an id like any other."""
-    ids = staged(ids.select(F.col("doc_id").alias("gone")).distinct(), "ids")
-    by = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(by, docs["doc_id"].eqNullSafe(by["gone"]), "left_anti")
+def row_hash(docs: DataFrame) -> Column:
+    """A 64-bit hash of a whole row; nulls count as values of their own."""
+    return F.xxhash64(*(x for c in docs.columns for x in (F.col(c), F.col(c).isNull())))
+
+
+def without(docs: DataFrame, rows: DataFrame, gone: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose hash is not among ``rows`` (a column ``row``), or with ``gone`` false, those that are."""
+    rows = staged(rows.select(F.col("row").alias("judged_row")).distinct(), "rows")
+    by = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    return docs.join(by, row_hash(docs) == by["judged_row"], "left_anti" if gone else "left_semi")
