@@ -295,7 +295,9 @@ def test_language_model_keeps_rare_contexts_of_large_inputs(spark):
         assert found[1000].score > found[1000].base_score + 1
 
 
-def test_shards(docs, none, rows):
+@pytest.mark.parametrize("probes", [1 << 16, 300])
+def test_shards(docs, none, rows, probes, monkeypatch):
+    monkeypatch.setattr(histogram_sort, "PROBES", probes)
     got = collected(histogram_sort.shard_documents(docs, 4))
     want = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, _ in rows)
     assert Counter(r[:3] for r in got) == want

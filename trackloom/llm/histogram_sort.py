@@ -1,8 +1,9 @@
 """Histogram sort: exact counts below candidate key boundaries fix the splitters, then rows move once.
 
 Every row has a hexadecimal key. A round counts bytes and rows in the cells that hold an unresolved
-splitter, each cell cut into 4096 by three more digits of the key; cells are pre-aggregated in each task,
-so a round moves a few thousand counters however many rows there are and however uneven the keys.
+splitter, each cell cut by up to three more digits of the key, fewer where many splitters are open, so that the
+driver gets at most ``PROBES`` counters a round however many rows there are and however uneven the keys.
+Cells are pre-aggregated in each task.
 DataFrame functions only.
 
 Defined results: a null text has 8 bytes and CRC-32 0, like an empty one; a null ``doc_id`` sorts first;
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-DIGITS = 3
+#: Digits by which a cell is cut at most, and counters of a round (so that 4096 open splitters are cut by one digit).
+DIGITS, PROBES = 3, 1 << 16
 
 
 @dataclass
@@ -69,24 +71,24 @@ def find_splitters(keys: DataFrame, wanted: list[tuple[str, float, float]], size
     """Boundaries whose ``size`` or ``rows`` below come as near as ``tolerance`` allows to the wanted amounts.
 
     ``wanted`` holds (``"size"`` or ``"rows"``, amount, tolerance). With tolerance 0 a splitter ends at the nearest
-    boundary between two different keys. The driver gets one counter for each probe: 4096 for each
-    splitter that is still open, a few thousand in all.
+    boundary between two different keys. The driver gets one counter for each probe, ``PROBES`` at most.
     """
     found: list[Splitter | None] = [None] * len(wanted)
     cells = {i: _Cell("", None, 0, 0, size, rows) for i in range(len(wanted))}
     width = 0
     while cells:
         active = sorted({c.prefix for c in cells.values()})
+        digits = max([d for d in range(1, DIGITS + 1) if len(active) * 16**d <= PROBES], default=1)
         probes = (
             keys.where(_inside(active, width))
-            .groupBy(F.substring("key", 1, width + DIGITS).alias("cell"))
+            .groupBy(F.substring("key", 1, width + digits).alias("cell"))
             .agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
             .collect()
         )
-        width += DIGITS
+        width += digits
         under: dict[str, list] = {}
         for p in sorted(probes, key=lambda r: r["cell"]):
-            under.setdefault(p["cell"][: width - DIGITS], []).append(p)
+            under.setdefault(p["cell"][: width - digits], []).append(p)
         cut: dict[str, list[_Cell]] = {}
         for parent in {c.prefix: c for c in cells.values()}.values():
             below, n, kids = parent.size_below, parent.rows_below, under.get(parent.prefix, [])
