@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -48,6 +49,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the number of each value among them; by hashing, as most values repeat."""
+    number, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[number]
+
+
 class Rolling:
     """Hashes of any runs of a sequence of 64-bit values, from one prefix sum."""
 

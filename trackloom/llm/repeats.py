@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .exchange import PART, batched, narrow, opened, parts_of, passed, squeezed, widen
-from .packing import PLAIN, Rolling, Texts
+from .packing import PLAIN, Rolling, Texts, numbered
 from .shared import staged
 
 GRAM = 16
@@ -99,8 +99,7 @@ def anchors(units: Units, length: int, rolling: Rolling) -> Anchors:
 
 def _distinct(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the number of each occurrence's key, and whether several documents of the batch hold a key."""
-    keys, number = np.unique(a.key, return_inverse=True)
-    number = number.ravel()
+    keys, number = numbered(a.key)
     lo, hi = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
     np.minimum.at(lo, number, a.doc)
     np.maximum.at(hi, number, a.doc)
@@ -111,8 +110,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """Which keys of each batch occur in more than one document of the corpus."""
     keys = [widen(x, KEY_BYTES) for x in table.column("keys").to_pylist()]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(table.column("several").to_pylist(), keys, strict=True)])
-    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-    number = number.ravel()
+    distinct, number = numbered(np.concatenate(keys))
     shared = (np.bincount(number, minlength=len(distinct)) > 1) | (np.bincount(number, several, len(distinct)) > 0)
     cut = np.cumsum([0, *map(len, keys)])
     back = [np.packbits(shared[number[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]

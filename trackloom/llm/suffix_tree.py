@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import PART, batched, narrow, opened, parts_of, passed, squeezed, widen
-from .packing import PLAIN, Rolling, Texts
+from .packing import PLAIN, Rolling, Texts, numbered
 from .shared import staged
 
 DEPTH = 3
@@ -64,26 +64,25 @@ class Sequence:
         key = self.token[where] if depth == 0 else self.rolling.runs(where - depth, where + 1)
         return key if KEY_BYTES[depth] == 8 else key & np.uint64((1 << 8 * KEY_BYTES[depth]) - 1)
 
-    def contexts(self, depth: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct contexts of ``depth`` words before places, and the number of each place's."""
-        distinct, number = np.unique(self.keys(depth - 1, where - 1), return_inverse=True)
-        return distinct, number.ravel()
-
 
 def _answered(seq: Sequence, answers: pa.Table | None, depths: int, parts: list[int], least: float):
-    """For each depth: the places counted, the number of distinct key of each, the keys, and the counts of the keys if known.
+    """For each depth: the places counted, the number of distinct key of each, the keys, the counts of the keys if known,
+    the distinct contexts (keys of the depth before) and the number of each place's.
 
     A place is counted at a depth if the words before it are a candidate: the sequence that ends one place
     earlier was counted ``least`` times or more.
     """
     places = np.arange(len(seq.token))
-    frequent = None
+    frequent = context = of = None
     for depth in range(depths):
         where = places if depth == 0 else places[(seq.place >= depth)]
         if depth:
             where = where[frequent[where - 1]]
-        key = seq.keys(depth, where)
-        distinct, number = np.unique(key, return_inverse=True)
+            of = number_at[where - 1]
+            used = np.zeros(len(distinct), bool)
+            used[of] = True
+            context, of = distinct[used], (np.cumsum(used) - 1)[of]
+        distinct, number = numbered(seq.keys(depth, where))
         count = None
         if answers is not None:
             mine = answers.filter(pc.equal(answers.column("depth"), depth))
@@ -92,11 +91,12 @@ def _answered(seq: Sequence, answers: pa.Table | None, depths: int, parts: list[
                 got = dict(zip(mine.column("part").to_pylist(), mine.column("counts").to_pylist(), strict=True))
                 for p, at in parts_of(distinct, parts[depth]):
                     count[at] = opened(got[p], "<i8")
-        yield depth, where, number.ravel(), distinct, count
+        yield depth, where, number, distinct, count, context, of
         if count is None:
             return
-        frequent = np.zeros(len(seq.token), bool)
-        frequent[where] = count[number.ravel()] >= least
+        frequent, number_at = np.zeros(len(seq.token), bool), np.zeros(len(seq.token), np.int64)
+        frequent[where] = count[number] >= least
+        number_at[where] = number
 
 
 def _sent(seq: Sequence, batch: int, depth: int, where: np.ndarray, number: np.ndarray, distinct: np.ndarray, parts: int) -> list[tuple]:
@@ -109,8 +109,8 @@ def _totals(depth: int):
         width = KEY_BYTES[depth]
         keys = [widen(x, width) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([opened(x, "<i8") for x in table.column("counts").to_pylist()])
-        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number.ravel(), counts, len(distinct)).astype(np.int64)
+        distinct, number = numbered(np.concatenate(keys))
+        total = np.bincount(number, counts, len(distinct)).astype(np.int64)
         cut = np.cumsum([0, *map(len, keys)])
         back = [squeezed(total[number[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         first = np.arange(table.num_rows) == 0
@@ -134,13 +134,12 @@ ANSWER = "batch int, depth int, part int, counts binary, tokens long, words long
 def _smoothed(seq: Sequence, levels, answers: pa.Table | None, parts: list[int], tokens: int, words: int):
     """log of the root's and of the longest state's probability at every place, and the counts of the words."""
     base = chance = known = None
-    for depth, where, number, _, count in levels:
+    for depth, where, number, _, count, context, of in levels:
         c = count[number]
         if depth == 0:
             base = (c + ROOT) / (tokens + ROOT * (words + 1))
             chance, known = base.copy(), c
             continue
-        context, of = seq.contexts(depth, where)
         mine = answers.filter(pc.equal(answers.column("depth"), -depth))
         got = dict(zip(mine.column("part").to_pylist(), mine.column("counts").to_pylist(), strict=True))
         state = np.zeros((2, len(context)))
@@ -164,8 +163,7 @@ def _sums(depth: int, parts: list[int], least: float, tokens: int, words: int, l
         levels = list(_answered(seq, answers, depth + (1 if last else 2), parts, least))
         batch = table.column("batch")[0].as_py() if table.num_rows else 0
         _, chance, _ = _smoothed(seq, [x for x in levels if x[0] < depth], answers, parts, tokens, words)
-        _, where, number, distinct, count = levels[depth]
-        context, of = seq.contexts(depth, where)
+        _, where, number, distinct, count, context, of = levels[depth]
         teach = seq.teaches[where]
         at, of, c = where[teach], of[teach], count[number][teach]
         firm = c > 2
@@ -188,8 +186,7 @@ def _staying(depth: int, least: float, divergence: float):
         keys = [widen(x, width) for x in table.column("keys").to_pylist()]
         own = np.concatenate([opened(x, "<i4").reshape(3, -1) for x in table.column("counts").to_pylist()], axis=1)
         gain = np.concatenate([opened(x, "<f4") for x in table.column("gain").to_pylist()])
-        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-        number = number.ravel()
+        distinct, number = numbered(np.concatenate(keys))
         kept, once, firm, gain = (np.bincount(number, x, len(distinct)) for x in (*own, gain))
         total = kept + once
         # each occurrence is judged by the counts without it: what then was seen once or never gets what the state lends
