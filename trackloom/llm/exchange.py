@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import mix
-from .shared import shared_dir
+from .shared import exchanges_freed, shared_dir
 
 #: Bytes of text in a batch, bytes of text in a file of the table, and entries that one part adds up, all about.
 BATCH, FILE, PART = 4 << 20, 32 << 20, 3_000_000
@@ -34,7 +34,8 @@ def batched(docs: DataFrame) -> tuple[DataFrame, int]:
     name = f"batches_{uuid.uuid4().hex}"
     rows = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).repartition(files, "batch")
     writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(files, "batch").sortBy("batch").saveAsTable(name)
+    with exchanges_freed(spark):
+        writer.bucketBy(files, "batch").sortBy("batch").saveAsTable(name)
     return spark.table(name), total
 
 
