@@ -44,14 +44,20 @@ def division_life_outliers(df: DataFrame, t: Thresholds = Thresholds()) -> DataF
 
 
 def area_outliers(morphometry: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """frame and label of areas far above or below the frame's median, or of elongated shapes, with the reasons."""
+    """Objects far larger than their frame's median by the robust scale, of low solidity or elongated, with the reasons.
+
+    Small areas are no outliers. ``morphometry`` has area and eccentricity, and solidity if that is to be judged.
+    """
     per = morphometry.groupBy("movie_id", "frame").agg(F.median("area").alias("med"), F.stddev_pop("area").alias("std"))
-    rows = morphometry.join(per, ["movie_id", "frame"]).withColumn("away", F.abs(F.col("area") - F.col("med")))
-    mads = rows.groupBy("movie_id", "frame").agg(F.median("away").alias("mad"))
+    rows = morphometry.join(per, ["movie_id", "frame"])
+    mads = rows.groupBy("movie_id", "frame").agg(F.median(F.abs(F.col("area") - F.col("med"))).alias("mad"))
+    above = F.col("area") - F.col("med")
+    far = F.when(F.col("mad") > 0, above / (1.4826 * F.col("mad")) > t.area_mad_k).when(F.col("std") > 0, above > t.area_mad_k * F.col("std"))
+    kinds = [F.when(far, F.lit("area outlier"))]
+    kinds += [F.when(F.col("solidity") < t.min_solidity, F.lit("low solidity"))] if "solidity" in morphometry.columns else []
+    kinds += [F.when(F.col("eccentricity") > t.max_eccentricity, F.lit("elongated"))]
     rows = rows.join(mads, ["movie_id", "frame"])
-    far = F.when(F.col("mad") > 0, F.col("away") / (1.4826 * F.col("mad")) > t.area_mad_k).otherwise(F.col("area") > F.col("med") + t.area_mad_k * F.col("std"))
-    reasons = F.array_compact(F.array(F.when(far & (F.col("std") > 0), F.lit("area outlier")), F.when(F.col("eccentricity") > t.max_eccentricity, F.lit("elongated"))))
-    return rows.select("movie_id", "frame", "label", F.concat_ws("; ", reasons).alias("reason")).where("reason <> ''")
+    return rows.select("movie_id", "frame", "label", F.concat_ws("; ", F.array_compact(F.array(*kinds))).alias("reason")).where("reason <> ''")
 
 
 def identity_swaps(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -134,10 +140,10 @@ def gap_fills(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """bin (from 0) and count over the range of the values; the maximum lies in the last bin."""
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    """bin (from 0) and count over the range of each movie's values; the maximum lies in the last bin."""
+    ends = df.groupBy("movie_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))).otherwise(0)
-    return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return df.where(F.col(value).isNotNull()).join(ends, "movie_id").groupBy("movie_id", place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def flagged_cells(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import stored
 from .pixels import OBJECT, around, city_distance, ellipse_rings, eroded, rings
 
 PIXEL = ["movie_id", "frame", "y", "x"]
@@ -28,7 +29,7 @@ def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: i
     """Statistics of background-corrected values in nucleus, ring (of the contour or of an ellipse) and both, one row for each object, and their ratios."""
     ring = (ellipse_rings if ellipse else rings)(mask, gap, width)
     parts = mask.select(*OBJECT, "y", "x", F.array(F.lit("nuc"), F.lit("cell")).alias("p")).unionByName(ring.select(*OBJECT, "y", "x", F.array(F.lit("ring"), F.lit("cell")).alias("p")))
-    values = channel.join(F.broadcast(bg.select("movie_id", "channel", "frame", "bg")), ["movie_id", "channel", "frame"]).withColumn("v", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
+    values = channel.join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"]).withColumn("v", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
     rows = parts.join(values, PIXEL).select("channel", *OBJECT, F.explode("p").alias("part"), "v")
     wide = rows.groupBy("channel", *OBJECT).pivot("part", ["nuc", "ring", "cell"]).agg(
         F.avg("v").alias("mean"), F.median("v").alias("median"), F.sum("v").alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.percentile("v", F.lit(0.9)).alias("p90"), F.count("v").alias("px"),
@@ -54,7 +55,7 @@ def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple
     """Median ratio, sizes and share of missing ratios by ring width on evenly spaced frames of each movie; distances are found once."""
     some = F.broadcast(spaced_frames(bg, frames))
     mask = mask.join(some, ["movie_id", "frame"], "left_semi")
-    values = channel.join(some, ["movie_id", "frame"], "left_semi").join(F.broadcast(bg.select("movie_id", "channel", "frame", "bg")), ["movie_id", "channel", "frame"])
+    values = channel.join(some, ["movie_id", "frame"], "left_semi").join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"])
     values = values.select("channel", *PIXEL, F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)).alias("v"))
     key = ["channel", *OBJECT]
     every = F.array(*(F.lit(int(w)).cast("long") for w in widths))
@@ -67,24 +68,29 @@ def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple
     return rows.groupBy("movie_id", "channel", "width").agg(F.median("cn").alias("cn"), F.median("ring_px").alias("ring_px"), F.median("nuc_px").alias("nuc_px"), F.avg(F.col("cn").isNull().cast("double")).alias("missing"), F.count("*").alias("n"))
 
 
-def quantised(channel: DataFrame, mask: DataFrame, levels: int = 8) -> DataFrame:
-    """In-mask pixels with their level from 1 to ``levels - 1`` between the 1st and 99th percentile of each movie and channel."""
+def quantised(channel: DataFrame, mask: DataFrame, bg: DataFrame | None = None, levels: int = 16) -> DataFrame:
+    """In-mask pixels with their level from 1 to ``levels - 1`` between the 1st and 99th percentile of each movie and channel.
+
+    With ``bg`` (see ``background``) it is taken from the values first, frame by frame, and what falls below it is 0.
+    """
     rows = channel.join(mask, PIXEL)
+    if bg is not None:
+        rows = rows.join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"]).withColumn("value", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
     ends = rows.groupBy("movie_id", "channel").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0])))
     level = F.when(F.col("p")[1] > F.col("p")[0], F.rint(share * (levels - 2)) + 1).otherwise(1).cast("int")
     return rows.join(F.broadcast(ends), ["movie_id", "channel"]).select("channel", *OBJECT, "y", "x", level.alias("q"))
 
 
-def haralick(levelled: DataFrame, levels: int = 8) -> DataFrame:
+def haralick(levelled: DataFrame) -> DataFrame:
     """Contrast, correlation, energy and homogeneity of the symmetric co-occurrences in four directions, averaged; entropy summed over 4."""
     key = ["channel", *OBJECT]
-    out = None
-    for k, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)]):
-        b = levelled.select(*key, (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("q").alias("q2"))
-        pair = levelled.join(b, [*key, "y", "x"]).select(*key, F.explode(F.array(F.struct(F.col("q").alias("i"), F.col("q2").alias("j")), F.struct(F.col("q2").alias("i"), F.col("q").alias("j")))).alias("p"))
-        cell = pair.groupBy(*key, "p.i", "p.j").agg(F.count("*").alias("n")).withColumn("angle", F.lit(k))
-        out = cell if out is None else out.unionByName(cell)
+    levelled = stored(levelled, "levels")
+    away = F.array(*(F.struct(F.lit(k).alias("angle"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)])))
+    asked = levelled.select(*key, F.col("q").alias("q2"), F.explode(away).alias("o"), "y", "x").select(*key, "o.angle", "q2", (F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x"))
+    both = F.array(F.struct(F.col("q").alias("i"), F.col("q2").alias("j")), F.struct(F.col("q2").alias("i"), F.col("q").alias("j")))
+    pair = asked.join(levelled, [*key, "y", "x"]).select(*key, "angle", F.explode(both).alias("p"))
+    out = pair.groupBy(*key, "angle", "p.i", "p.j").agg(F.count("*").alias("n"))
     total = out.groupBy(*key, "angle").agg(F.sum("n").alias("t"))
     p = out.join(total, [*key, "angle"]).withColumn("p", F.col("n") / F.col("t"))
     d = F.col("i") - F.col("j")

@@ -26,7 +26,7 @@ def areas(mask: DataFrame, px_area: float = 1.0) -> DataFrame:
 
 def correspondence(tracks: DataFrame, mask: DataFrame, frames: DataFrame) -> DataFrame:
     """Per movie, the share of in-bounds rows on whose own label they lie; 1 without such rows."""
-    rows = tracks.select("movie_id", "frame", "track_id", F.rint("pos_x").cast("long").alias("x"), F.rint("pos_y").cast("long").alias("y")).join(F.broadcast(frames), ["movie_id", "frame"])
+    rows = tracks.select("movie_id", "frame", "track_id", F.rint("pos_x").cast("long").alias("x"), F.rint("pos_y").cast("long").alias("y")).join(frames, ["movie_id", "frame"])
     rows = rows.where("x >= 0 AND y >= 0 AND x < width AND y < height").join(mask, ["movie_id", "frame", "y", "x"], "left")
     hit = rows.groupBy("movie_id").agg(F.avg((F.coalesce("label", F.lit(0)) == F.col("track_id")).cast("double")).alias("share"))
     return tracks.select("movie_id").distinct().join(hit, "movie_id", "left").select("movie_id", F.coalesce("share", F.lit(1.0)).alias("share"))
@@ -72,10 +72,14 @@ def radius_ratio(mask: DataFrame) -> DataFrame:
 
 
 def morphometry(mask: DataFrame) -> DataFrame:
-    """Shape of every label in every frame, from moments, boundary and bounding box; ``nii`` joins four of them."""
+    """Shape of every label in every frame, from moments, boundary and bounding box; ``nii`` joins four of them.
+
+    Axes are four times the roots of the eigenvalues of the plain central moments of pixel centres, as image libraries for
+    Python define them (no 1/12 for the extent of a pixel), and as in ``ellipse_rings``.
+    """
     m = mask.groupBy(*OBJECT).agg(
         F.count("*").cast("double").alias("area"),
-        (F.var_pop("y") + 1 / 12).alias("a"), (F.var_pop("x") + 1 / 12).alias("c"), F.covar_pop("x", "y").alias("b"),
+        F.var_pop("y").alias("a"), F.var_pop("x").alias("c"), F.covar_pop("x", "y").alias("b"),
         ((F.max("x") - F.min("x") + 1) * (F.max("y") - F.min("y") + 1)).cast("double").alias("box"),
     )
     half, root = (F.col("a") + F.col("c")) / 2, F.sqrt(4 * F.col("b") * F.col("b") + F.pow(F.col("a") - F.col("c"), 2)) / 2
@@ -91,6 +95,13 @@ def morphometry(mask: DataFrame) -> DataFrame:
     return m.withColumn("nii", F.col("aspect") - F.col("area_box") + F.col("radius_ratio") + F.col("roundness")).drop("a", "b", "c", "l1", "l2", "box")
 
 
+def morphology_series(mask: DataFrame) -> DataFrame:
+    """Area, perimeter and circularity of every label by frame; a perimeter of 0 has no circularity."""
+    rows = mask.groupBy(*OBJECT).agg(F.count("*").cast("double").alias("area_px")).join(perimeters(mask), OBJECT, "left").withColumn("perimeter", F.coalesce("perimeter", F.lit(0.0)))
+    circularity = F.when(F.col("perimeter") > 0, 4 * np.pi * F.col("area_px") / F.pow("perimeter", 2))
+    return rows.select("movie_id", "frame", F.col("label").alias("track_id"), "area_px", "perimeter", circularity.alias("circularity"))
+
+
 def solidity(mask: DataFrame) -> DataFrame:
     """Pixels over pixels of the convex hull. Only boundary pixels, one object at a time, go through numpy."""
 

@@ -30,38 +30,41 @@ tracks AS (
          k < 5 AS at_border, CAST(200 + k AS DOUBLE) AS area_px, event_id, event_type
   FROM ev1)"""
 
-#: Label pixels, dense intensities and frames of a generated movie of 40 x 96 pixels.
+#: Label pixels, dense intensities and frames: one object for each row of ``supplier``, twelve to a frame of 40 x 96
+#: pixels, in two movies by nation. Place, size and brightness come from the row's nation and balance.
+#: ``{frame}`` names a frame of a movie: its number in Spark, a number over all movies in the oracles.
 PIXELS = """
-fr AS (SELECT CAST(id AS BIGINT) AS frame FROM {frames}),
+sp0 AS (
+  SELECT CAST(s_nationkey % 2 AS BIGINT) AS movie_id, CAST(s_nationkey AS BIGINT) AS nation, CAST(floor(abs(s_acctbal)) AS BIGINT) AS balance,
+         CAST(row_number() OVER (PARTITION BY s_nationkey % 2 ORDER BY s_suppkey) - 1 AS BIGINT) AS i
+  FROM {supplier}),
+sp1 AS (SELECT movie_id, nation, balance, CAST(floor(i / 12.0) AS BIGINT) AS no, i % 12 + 1 AS label FROM sp0),
+obj AS (
+  SELECT movie_id, {frame} AS frame, no, label, balance, 4 + 14 * ((label - 1) % 6) + nation % 10 AS cx,
+         CAST(12 + 14 * floor((label - 1) / 6.0) AS BIGINT) + (label * nation) % 3 AS cy, 4 + balance % 3 AS a, 3 + balance % 4 AS b
+  FROM sp1),
+fr AS (SELECT DISTINCT movie_id, frame, no FROM obj),
 ys AS (SELECT CAST(id AS BIGINT) AS y FROM {ys}),
 xs AS (SELECT CAST(id AS BIGINT) AS x FROM {xs}),
-lb AS (SELECT CAST(id AS BIGINT) AS label FROM {labels}),
-grid AS (SELECT frame, y, x FROM fr CROSS JOIN ys CROSS JOIN xs),
-obj AS (
-  SELECT frame, label, 4 + 14 * ((label - 1) % 6) + frame % 10 AS cx, CAST(12 + 14 * floor((label - 1) / 6.0) AS BIGINT) + (label * frame) % 3 AS cy,
-         4 + label % 3 AS a, 3 + label % 4 AS b
-  FROM fr CROSS JOIN lb),
+grid AS (SELECT movie_id, frame, no, y, x FROM fr CROSS JOIN ys CROSS JOIN xs),
 hits AS (
-  SELECT g.frame, g.y, g.x, min(label) AS label
-  FROM grid g JOIN obj o ON g.frame = o.frame
-  WHERE (g.x - cx) * (g.x - cx) * b * b + (g.y - cy) * (g.y - cy) * a * a <= a * a * b * b GROUP BY g.frame, g.y, g.x),
+  SELECT g.movie_id, g.frame, g.y, g.x, min(label) AS label
+  FROM grid g JOIN obj o ON g.movie_id = o.movie_id AND g.frame = o.frame
+  WHERE (g.x - cx) * (g.x - cx) * b * b + (g.y - cy) * (g.y - cy) * a * a <= a * a * b * b GROUP BY g.movie_id, g.frame, g.y, g.x),
 dense AS (
-  SELECT g.frame, g.y, g.x, CASE WHEN g.frame % 4 = 3 AND g.y BETWEEN 2 AND 3 AND g.x BETWEEN 90 AND 91 THEN 12 ELSE h.label END AS label
-  FROM grid g LEFT JOIN hits h ON g.frame = h.frame AND g.y = h.y AND g.x = h.x),
-mask_pixels AS (SELECT CAST(0 AS BIGINT) AS movie_id, frame, y, x, CAST(label AS BIGINT) AS label FROM dense WHERE label IS NOT NULL),
+  SELECT g.movie_id, g.frame, g.no, g.y, g.x, CASE WHEN g.no % 4 = 3 AND g.y BETWEEN 2 AND 3 AND g.x BETWEEN 90 AND 91 THEN 12 ELSE h.label END AS label
+  FROM grid g LEFT JOIN hits h ON g.movie_id = h.movie_id AND g.frame = h.frame AND g.y = h.y AND g.x = h.x),
+mask_pixels AS (SELECT movie_id, frame, y, x, CAST(label AS BIGINT) AS label FROM dense WHERE label IS NOT NULL),
 channel_pixels AS (
-  SELECT CAST(0 AS BIGINT) AS movie_id, 'gfp' AS channel, frame, y, x,
-         CAST(100 + (x * 31 + y * 17 + frame * 7) % 64 + CASE WHEN label IS NULL THEN 0 ELSE 40 + (label * 13) % 50 + ((x + y) % 2) * 10 * (label % 3) END AS DOUBLE) AS value
-  FROM dense),
-frames AS (SELECT CAST(0 AS BIGINT) AS movie_id, frame, CAST(40 AS BIGINT) AS height, CAST(96 AS BIGINT) AS width FROM fr)"""
+  SELECT d.movie_id, 'gfp' AS channel, d.frame, d.y, d.x,
+         CAST(100 + (d.x * 31 + d.y * 17 + d.no * 7) % 64 + CASE WHEN d.label IS NULL THEN 0 ELSE 40 + coalesce(o.balance, 0) % 50 + ((d.x + d.y) % 2) * 10 * (coalesce(o.balance, 0) % 3) END AS DOUBLE) AS value
+  FROM dense d LEFT JOIN obj o ON d.movie_id = o.movie_id AND d.frame = o.frame AND d.label = o.label),
+frames AS (SELECT movie_id, frame, CAST(40 AS BIGINT) AS height, CAST(96 AS BIGINT) AS width FROM fr)"""
 
+#: Frames of a movie in the oracles: a join or group by ``frame`` there keeps movies apart.
+APART = 100_000
 DUCK_TRACKS = TRACKS.format(events="events")
-DUCK_PIXELS = PIXELS.format(
-    frames="(SELECT unnest(range((SELECT count(*) // 1000 FROM events))) AS id)",
-    ys="(SELECT unnest(range(40)) AS id)",
-    xs="(SELECT unnest(range(96)) AS id)",
-    labels="(SELECT unnest(range(1, 13)) AS id)",
-)
+DUCK_PIXELS = PIXELS.format(supplier="supplier", frame=f"movie_id * {APART} + no", ys="(SELECT unnest(range(40)) AS id)", xs="(SELECT unnest(range(96)) AS id)")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +77,8 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pixels(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    frames = spark.range(_events(spark, sf_dir).count() // 1000)
-    return spark.sql(f"WITH {PIXELS} SELECT * FROM {table}", frames=frames, ys=spark.range(40), xs=spark.range(96), labels=spark.range(1, 13))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return spark.sql(f"WITH {PIXELS.replace('{frame}', 'no')} SELECT * FROM {table}", supplier=supplier, ys=spark.range(40), xs=spark.range(96))
 
 
 def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +94,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duck(body: str, pixels: bool = False, recursive: bool = False) -> str:
-    """An oracle over ``tracks`` or, with ``pixels``, over the label image; ``body`` may begin with further tables."""
-    return f"WITH {'RECURSIVE ' if recursive else ''}{DUCK_PIXELS if pixels else DUCK_TRACKS}{body if body.lstrip().startswith(',') else ' ' + body}"
+    """An oracle over ``tracks`` or, with ``pixels``, over the label images; ``body`` may begin with further tables.
+
+    A result of ``pixels`` with a ``frame`` gets its ``movie_id`` and the frame's number in the movie back.
+    """
+    body = body if body.lstrip().startswith(",") else " " + body
+    if not pixels:
+        return f"WITH {'RECURSIVE ' if recursive else ''}{DUCK_TRACKS}{body}"
+    query = f"WITH {'RECURSIVE ' if recursive else ''}{DUCK_PIXELS}{body}"
+    return query if "movie_id" in body else f"SELECT (frame // {APART})::BIGINT AS movie_id, (frame % {APART})::BIGINT AS frame, * EXCLUDE (frame) FROM ({query})"

@@ -34,11 +34,11 @@ QUERIES = {
         duck("SELECT event_id, CASE WHEN outcome = '' AND track_id IN (SELECT parent_id FROM tracks WHERE parent_id > 0) THEN 'Mitosis' ELSE outcome END AS outcome FROM tracks"),
     ),
     "p4_area": (
-        lambda s, d: clean.with_area(_label_tracks(s, d), fx.mask_pixels(s, d)).select("frame", "track_id", "area_px"),
+        lambda s, d: clean.with_area(_label_tracks(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "track_id", "area_px"),
         duck("SELECT frame, label AS track_id, count(*)::DOUBLE AS area_px FROM mask_pixels GROUP BY ALL", pixels=True),
     ),
     "p5_border": (
-        lambda s, d: clean.with_border(_label_tracks(s, d), fx.mask_pixels(s, d), fx.frames(s, d)).select("frame", "track_id", "at_border"),
+        lambda s, d: clean.with_border(_label_tracks(s, d), fx.mask_pixels(s, d), fx.frames(s, d)).select("movie_id", "frame", "track_id", "at_border"),
         duck("SELECT frame, label AS track_id, bool_or(x = 0 OR y = 0 OR x = 95 OR y = 39) AS at_border FROM mask_pixels GROUP BY ALL", pixels=True),
     ),
     "p6_border_exits": (
