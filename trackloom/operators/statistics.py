@@ -26,7 +26,7 @@ def area_by_frame(mask: DataFrame) -> DataFrame:
 
 
 def outcomes(summary: DataFrame) -> DataFrame:
-    return summary.groupBy("final_outcome").agg(F.count("*").alias("n"))
+    return summary.groupBy("movie_id", "final_outcome").agg(F.count("*").alias("n"))
 
 
 def growth(df: DataFrame) -> DataFrame:
@@ -128,3 +128,9 @@ def final_outcomes(df: DataFrame, mothers_divide: bool = False) -> DataFrame:
     mothers = df.where("parent_id > 0").select("movie_id", F.col("parent_id").alias("track_id")).distinct().withColumn("m", F.lit(True))
     return per.join(mothers, TRACK, "left").select(*TRACK, F.when(F.col("m"), F.lit(MITOSIS)).otherwise(F.col("final_outcome")).alias("final_outcome"))
 
+
+def area_nii_points(df: DataFrame, morphometry: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """A point for each object and frame whose irregularity index is known: its area, the index and the fate of its track."""
+    fate = final_outcomes(df)
+    rows = morphometry.where("nii IS NOT NULL AND area IS NOT NULL").withColumnRenamed("label", "track_id").join(fate, TRACK, "left")
+    return rows.select("movie_id", "frame", "track_id", (F.col("area") * float(pixel_size) ** 2).alias("area"), "nii", F.coalesce("final_outcome", F.lit("none")).alias("final_outcome"))

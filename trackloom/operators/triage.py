@@ -95,7 +95,26 @@ def queue(scored: DataFrame) -> DataFrame:
 
 def validation_sample(accepted: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
     """The n tracks with the smallest seeded hashes: the same ones in every run."""
-    return accepted.orderBy(F.xxhash64(*TRACK, F.lit(seed)), *TRACK).limit(n)
+    return accepted.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *TRACK)), *TRACK).limit(n)
+
+
+# Actions that do not mean that the automatic annotation was wrong.
+NON_ERROR = ["validation_sample", "bulk_accept", "set_treatment", "shuffle", "harmonize"]
+
+
+def edit_log(sample: DataFrame, audit: DataFrame) -> DataFrame:
+    """movie_id, track_id, ts, action, detail: what was done to sampled tracks, from the log (movie_id, ts, action, ids, detail)."""
+    done = audit.where(~F.col("action").isin(NON_ERROR)).select("movie_id", "ts", "action", "detail", F.explode("ids").alias("track_id"))
+    return done.join(sample.select(*TRACK).distinct(), TRACK, "left_semi").select(*TRACK, "ts", "action", "detail")
+
+
+def tally(sample: DataFrame, audit: DataFrame, checked: DataFrame) -> DataFrame:
+    """Each sampled track with its number of edits, the latest of them, and whether it is pending, correct, modified or fixed."""
+    edits = edit_log(sample, audit).groupBy(*TRACK).agg(F.count("*").alias("edits"), F.max("ts").alias("last_edit"))
+    rows = sample.select(*TRACK).distinct().join(edits, TRACK, "left").join(checked.select(*TRACK).distinct().withColumn("checked", F.lit(True)), TRACK, "left")
+    seen, wrong = F.coalesce("checked", F.lit(False)), F.col("edits").isNotNull()
+    status = F.when(wrong & seen, "fixed").when(wrong, "modified").when(seen, "correct").otherwise("pending")
+    return rows.select(*TRACK, F.coalesce("edits", F.lit(0)).alias("edits"), "last_edit", status.alias("status"))
 
 
 def wilson(errors: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -108,16 +127,16 @@ def wilson(errors: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def calibration(scored: DataFrame, errors: DataFrame, bins: int = 5) -> DataFrame:
     """Error rate and number of tracks by score, in equal bins from just under the lowest score to 1."""
     rows = scored.join(errors.select(*TRACK).distinct().withColumn("wrong", F.lit(1.0)), TRACK, "left").withColumn("wrong", F.coalesce("wrong", F.lit(0.0)))
-    low = scored.agg((F.floor(F.least(F.lit(REVIEW_BELOW), F.min("score")) * 20) / 20).alias("low"))
+    low = scored.groupBy("movie_id").agg((F.floor(F.least(F.lit(REVIEW_BELOW), F.min("score")) * 20) / 20).alias("low"))
     place = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("low")) * bins / (1 - F.col("low")))).cast("long")
-    return rows.crossJoin(F.broadcast(low)).groupBy(place.alias("bin")).agg(F.avg("wrong").alias("error_rate"), F.count("*").alias("n"))
+    return rows.join(low, "movie_id").groupBy("movie_id", place.alias("bin")).agg(F.avg("wrong").alias("error_rate"), F.count("*").alias("n"))
 
 
 def reliability(scored: DataFrame, errors: DataFrame) -> DataFrame:
     """Error rates of the tracks with a low and with a high sub-score, by trait."""
     rows = scored.join(errors.select(*TRACK).distinct().withColumn("wrong", F.lit(1.0)), TRACK, "left").withColumn("wrong", F.coalesce("wrong", F.lit(0.0)))
-    long = rows.unpivot(["wrong"], ["s_area", "s_mobility", "s_lifetime", "s_outcome"], "trait", "s")
-    return long.groupBy(F.substring("trait", 3, 20).alias("trait"), (F.col("s") < REVIEW_BELOW).alias("low")).agg(F.avg("wrong").alias("error_rate"), F.count("*").alias("n"))
+    long = rows.unpivot(["movie_id", "wrong"], ["s_area", "s_mobility", "s_lifetime", "s_outcome"], "trait", "s")
+    return long.groupBy("movie_id", F.substring("trait", 3, 20).alias("trait"), (F.col("s") < REVIEW_BELOW).alias("low")).agg(F.avg("wrong").alias("error_rate"), F.count("*").alias("n"))
 
 
 def validated(df: DataFrame, roots: DataFrame, reviewed: DataFrame, cells: DataFrame) -> DataFrame:

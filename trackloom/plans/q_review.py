@@ -44,6 +44,20 @@ def _errors(s, d):
     return fx.tracks(s, d).where("track_id % 9 = 0").select("movie_id", "track_id")
 
 
+_ERROR = "event_type IN ('error', 'purchase') AND value > 150"
+
+
+def _some(s, d, where):
+    return fx.tracks(s, d).where(where).select("movie_id", "track_id").distinct()
+
+
+def _audit(s, d):
+    """Every event as an entry of the log: large errors and purchases are edits of the track, all else is bulk acceptance."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    action = F.when(F.expr(_ERROR), F.col("event_type")).otherwise("bulk_accept")
+    return e.select(F.lit(0).cast("long").alias("movie_id"), "ts", action.alias("action"), F.array(F.col("user_id") + 1).alias("ids"), F.col("event_id").cast("string").alias("detail"))
+
+
 def _wilson(s, d):
     rows = fx.tracks(s, d).groupBy("track_id").agg(F.count("*").alias("n"), F.count_if(F.col("at_border")).alias("errors"))
     point, upper = tg.wilson(F.col("errors"), F.col("n"))
@@ -90,7 +104,11 @@ SELECT movie_id, track_id, gap_start, gap_end, gap_end - gap_start + 1 AS missin
     ),
     "a12_displacement_histogram": (
         lambda s, d: an.histogram(fx.tracks(s, d).withColumn("step", step()), "step", 40),
-        duck(_STEP + ", b AS (SELECT min(step) AS lo, max(step) AS hi FROM st) SELECT least(39, floor((step - lo) * 40 / (hi - lo)))::BIGINT AS bin, count(*) AS n FROM st CROSS JOIN b WHERE step IS NOT NULL GROUP BY 1"),
+        duck(_STEP + ", b AS (SELECT min(step) AS lo, max(step) AS hi FROM st) SELECT 0::BIGINT AS movie_id, least(39, floor((step - lo) * 40 / (hi - lo)))::BIGINT AS bin, count(*) AS n FROM st CROSS JOIN b WHERE step IS NOT NULL GROUP BY ALL"),
+    ),
+    "a12_lifetime_histogram": (
+        lambda s, d: an.histogram(lineage.spans(fx.tracks(s, d)).withColumn("life", F.col("last_frame") - F.col("first_frame") + 1), "life", 30),
+        duck(", sp AS (SELECT max(frame) - min(frame) + 1 AS life FROM tracks GROUP BY track_id), b AS (SELECT min(life) AS lo, max(life) AS hi FROM sp) SELECT 0::BIGINT AS movie_id, least(29, floor((life - lo) * 30 / (hi - lo)))::BIGINT AS bin, count(*) AS n FROM sp CROSS JOIN b GROUP BY ALL"),
     ),
     "a13_flagged_cells": (
         lambda s, d: an.flagged_cells(fx.tracks(s, d)),
@@ -115,18 +133,28 @@ SELECT movie_id, track_id, gap_start, gap_end, gap_end - gap_start + 1 AS missin
         lambda s, d: tg.queue(_scores(s, d)).where("bucket = 'review'").withColumn("done", F.col("track_id") % 2 == 0).groupBy("movie_id").agg(F.count_if("done").alias("done"), F.count("*").alias("total")),
         duck(_FLAGS + _TRACES + f", q AS (SELECT *, {_SCORE} FROM sc) SELECT movie_id, count(*) FILTER (track_id % 2 = 0) AS done, count(*) AS total FROM q WHERE score < 0.85 GROUP BY movie_id"),
     ),
-    "t10_validation_sample": (lambda s, d: tg.validation_sample(tg.queue(_scores(s, d)).where("bucket = 'accept'")).select("movie_id", "track_id"), None),
+    "t10_validation_sample": (lambda s, d: tg.validation_sample(tg.queue(_scores(s, d)).where("bucket = 'accept'")).select("movie_id", "track_id"), duck(_FLAGS + _METRICS[len(_STEP):] + _POP + _TRACES + f""", q AS (SELECT *, {_SCORE} FROM sc), z AS (SELECT lg.movie_id, track_id, abs(value - center) / scale AS z FROM lg JOIN pop USING (movie_id, trait)),
+dv AS (SELECT movie_id, track_id, round_even(CASE WHEN z <= 1 THEN 1 ELSE exp(-0.5 * power((z - 1) / 1.25, 2)) END, 3) AS dv FROM z), de AS (SELECT track_id, round_even(greatest(0, 1 - sum(1 - dv)), 6) AS deviation FROM dv GROUP BY ALL)
+SELECT movie_id, track_id FROM q LEFT JOIN de USING (track_id) WHERE score >= 0.85 AND NOT coalesce(deviation < 0.5, false) ORDER BY md5('0:' || movie_id || ':' || track_id) LIMIT 50""")),
+    "t12_tally": (
+        lambda s, d: tg.tally(_some(s, d, "track_id % 5 = 0"), _audit(s, d), _some(s, d, "track_id % 2 = 0")),
+        duck(f", au AS (SELECT track_id, ts FROM ev1 WHERE {_ERROR}), ed AS (SELECT track_id, count(*) AS edits, max(ts) AS last_edit FROM au GROUP BY track_id) SELECT DISTINCT movie_id, track_id, coalesce(edits, 0) AS edits, last_edit, CASE WHEN edits > 0 AND track_id % 2 = 0 THEN 'fixed' WHEN edits > 0 THEN 'modified' WHEN track_id % 2 = 0 THEN 'correct' ELSE 'pending' END AS status FROM tracks LEFT JOIN ed USING (track_id) WHERE track_id % 5 = 0"),
+    ),
+    "t12_edit_log": (
+        lambda s, d: tg.edit_log(_some(s, d, "track_id % 5 = 0"), _audit(s, d)).select("track_id", "ts", "action", "detail"),
+        duck(f" SELECT track_id, ts, event_type AS action, event_id::VARCHAR AS detail FROM ev1 WHERE track_id % 5 = 0 AND {_ERROR}"),
+    ),
     "t11_wilson": (
         _wilson,
         duck(", w AS (SELECT track_id, count(*)::DOUBLE AS n, count(*) FILTER (at_border) / count(*)::DOUBLE AS p FROM tracks GROUP BY track_id) SELECT track_id, round(p, 4) AS point, round(least(1.0, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 4) AS upper FROM w"),
     ),
     "t13_calibration": (
         lambda s, d: rounded(tg.calibration(_scores(s, d), _errors(s, d)), "error_rate"),
-        duck(_FLAGS + _TRACES + f", q AS (SELECT *, {_SCORE} FROM sc), lo AS (SELECT floor(least(0.85, min(score)) * 20) / 20 AS low FROM q) SELECT least(4, floor((score - low) * 5 / (1 - low)))::BIGINT AS bin, round(avg((track_id % 9 = 0)::INT::DOUBLE), 6) AS error_rate, count(*) AS n FROM q CROSS JOIN lo GROUP BY 1"),
+        duck(_FLAGS + _TRACES + f", q AS (SELECT *, {_SCORE} FROM sc), lo AS (SELECT floor(least(0.85, min(score)) * 20) / 20 AS low FROM q) SELECT movie_id, least(4, floor((score - low) * 5 / (1 - low)))::BIGINT AS bin, round(avg((track_id % 9 = 0)::INT::DOUBLE), 6) AS error_rate, count(*) AS n FROM q CROSS JOIN lo GROUP BY ALL"),
     ),
     "t14_reliability": (
         lambda s, d: rounded(tg.reliability(_scores(s, d), _errors(s, d)), "error_rate"),
-        duck(_FLAGS + _TRACES + ", u AS (SELECT track_id, 'area' AS trait, s_area AS s FROM sc UNION ALL SELECT track_id, 'mobility', s_mobility FROM sc UNION ALL SELECT track_id, 'lifetime', s_lifetime FROM sc UNION ALL SELECT track_id, 'outcome', s_outcome FROM sc) SELECT trait, s < 0.85 AS low, round(avg((track_id % 9 = 0)::INT::DOUBLE), 6) AS error_rate, count(*) AS n FROM u GROUP BY ALL"),
+        duck(_FLAGS + _TRACES + ", u AS (SELECT track_id, 'area' AS trait, s_area AS s FROM sc UNION ALL SELECT track_id, 'mobility', s_mobility FROM sc UNION ALL SELECT track_id, 'lifetime', s_lifetime FROM sc UNION ALL SELECT track_id, 'outcome', s_outcome FROM sc) SELECT 0::BIGINT AS movie_id, trait, s < 0.85 AS low, round(avg((track_id % 9 = 0)::INT::DOUBLE), 6) AS error_rate, count(*) AS n FROM u GROUP BY ALL"),
     ),
     "t15_validated": (
         lambda s, d: tg.validated(fx.tracks(s, d), lineage.roots(fx.tracks(s, d)), fx.tracks(s, d).where("track_id < 5").select("movie_id", F.col("track_id").alias("root_id")).distinct(), _errors(s, d)),

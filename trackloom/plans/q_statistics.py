@@ -10,7 +10,7 @@ from ..operators import trajectory as tr
 from ..sources import tables as tb
 from . import fixtures as fx
 from .fixtures import duck
-from .q_trajectory import _STEP, _SUMMARY, rounded
+from .q_trajectory import _MOTILITY, _STEP, _SUMMARY, rounded
 
 _BOX = ["q1", "median", "q3"]
 _QB = "count(*) AS n, round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3"
@@ -42,14 +42,25 @@ def _names(s, d, k):
     return fx.tracks(s, d).select("frame").distinct().where(F.col("frame") % k == 0).select("frame", F.concat(F.lit(f"{k}/f"), "frame", F.lit(".tif")).alias("filename"))
 
 
+_MOTION = ["diffusion_coeff", "persistence_time", "mean_turning_angle", "confinement_ratio"]
+
+
+def _motility(s, d):
+    return tr.motility(fx.tracks(s, d))
+
+
 QUERIES = {
     "q1_lifetime_boxes": (lambda s, d: rounded(st.boxes(_summary(s, d), ["lifetime_h"], "fase", "is_mitotic"), *_BOX), duck(_SUMMARY + f" SELECT fase, is_mitotic, 'lifetime_h' AS metric, {_QB.format(v='lifetime_h')} FROM summary GROUP BY ALL")),
     "q2_migration_boxes": (
         lambda s, d: rounded(st.boxes(_summary(s, d), ["mean_speed", "net_displacement", "directionality"], "fase"), *_BOX),
         duck(_SUMMARY + ", u AS (UNPIVOT (SELECT fase, mean_speed, net_displacement, directionality FROM summary) ON mean_speed, net_displacement, directionality INTO NAME metric VALUE v) SELECT fase, metric, " + _QB.format(v="v") + " FROM u GROUP BY ALL"),
     ),
-    "q4_area_by_frame": (lambda s, d: rounded(st.area_by_frame(fx.mask_pixels(s, d)), "mean_area"), duck(" SELECT 0::BIGINT AS movie_id, frame, round(avg(n), 6) AS mean_area FROM (SELECT frame, label, count(*) AS n FROM mask_pixels GROUP BY ALL) GROUP BY frame", True)),
-    "q5_outcomes": (lambda s, d: st.outcomes(_summary(s, d)), duck(_SUMMARY + " SELECT final_outcome, count(*) AS n FROM summary GROUP BY ALL")),
+    "q3_motility_boxes": (
+        lambda s, d: rounded(st.boxes(rounded(_motility(s, d), *_MOTION).join(_summary(s, d).select("movie_id", "track_id", "fase"), ["movie_id", "track_id"]), _MOTION, "fase"), *_BOX),
+        f"WITH mot AS ({duck(_MOTILITY)}), ph AS ({duck(_SUMMARY + ' SELECT track_id, fase FROM summary')}), u AS (UNPIVOT (SELECT fase, {', '.join(c + '::DOUBLE AS ' + c for c in _MOTION)} FROM mot JOIN ph USING (track_id)) ON {', '.join(_MOTION)} INTO NAME metric VALUE v) SELECT fase, metric, {_QB.format(v='v')} FROM u GROUP BY ALL",
+    ),
+    "q4_area_by_frame": (lambda s, d: rounded(st.area_by_frame(fx.mask_pixels(s, d)), "mean_area"), duck(" SELECT frame, round(avg(n), 6) AS mean_area FROM (SELECT frame, label, count(*) AS n FROM mask_pixels GROUP BY ALL) GROUP BY frame", True)),
+    "q5_outcomes": (lambda s, d: st.outcomes(_summary(s, d)), duck(_SUMMARY + " SELECT movie_id, final_outcome, count(*) AS n FROM summary GROUP BY ALL")),
     "q6_growth": (lambda s, d: st.growth(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(DISTINCT track_id) AS n FROM tracks GROUP BY ALL")),
     "q7_divisions": (lambda s, d: st.divisions(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(*) AS n FROM (SELECT movie_id, track_id, min(frame) AS frame FROM tracks WHERE parent_id > 0 GROUP BY ALL) GROUP BY ALL")),
     "q8_ensemble_msd": (lambda s, d: rounded(st.ensemble_msd(fx.tracks(s, d)), "msd"), duck(_STEP + ", l AS (SELECT a.movie_id, a.track_id, b.rn - a.rn AS lag, avg(power(b.pos_x - a.pos_x, 2) + power(b.pos_y - a.pos_y, 2)) AS m FROM st a JOIN st b ON a.track_id = b.track_id AND b.rn - a.rn BETWEEN 1 AND 20 GROUP BY ALL) SELECT movie_id, lag, round(avg(m), 6) AS msd, count(*) AS n FROM l GROUP BY ALL")),
