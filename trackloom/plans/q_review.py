@@ -74,7 +74,10 @@ o AS (SELECT 0::BIGINT AS movie_id, a.frame, a.n AS n_prev, b.n AS n_curr, b.n -
 SELECT movie_id, frame, n_prev, n_curr, observed_delta, expected_delta, observed_delta - expected_delta AS residual, appeared, disappeared FROM o WHERE abs(observed_delta - expected_delta) >= 1 OR appeared <> '' OR disappeared <> ''"""
 
 QUERIES = {
-    "a1_short_tracks": _flags("short"),
+    "a1_short_tracks": (  # no track of the fixture is shorter than the default
+        lambda s, d: an.track_flags(fx.tracks(s, d), an.Thresholds(min_valid_frames=70)).where("short").select("movie_id", "track_id", "n"),
+        duck(_FLAGS + " SELECT movie_id, track_id, n FROM fl WHERE n < 70 AND no_outcome"),
+    ),
     "a2_temporal_gaps": _flags("gap"),
     "a3_impossible_jumps": _flags("jump"),
     "a4_no_outcome": _flags("no_outcome"),
