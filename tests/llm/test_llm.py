@@ -97,8 +97,9 @@ def runs(marks):
     return starts, [next((j for j in range(i, len(marks)) if not marks[j]), len(marks)) for i in starts]
 
 
-def test_substring_dedup(docs, none, rows):
-    got = Counter((r.doc_id, r.n_words, tuple(r.starts), tuple(r.ends), bytes(r.kept)) for r in suffix_automaton.substring_dedup(docs).collect())
+@pytest.mark.parametrize("hot", [8192, 1, 0])  # no anchor split, all in pieces or run by run, all run by run
+def test_substring_dedup(docs, none, rows, hot):
+    got = Counter((r.doc_id, r.n_words, tuple(r.starts), tuple(r.ends), bytes(r.kept)) for r in suffix_automaton.substring_dedup(docs, hot=hot).collect())
     units = [(i, words(t)) for i, t, _ in rows]
     want = Counter((i, len(w), *map(tuple, runs(m)), " ".join(x for x, g in zip(w, m) if not g).encode()) for (i, w), m in zip(units, removed(units, 50)))
     assert got == want
@@ -106,9 +107,10 @@ def test_substring_dedup(docs, none, rows):
     assert suffix_automaton.substring_dedup(none).count() == 0
 
 
-def test_suffix_array_dedup(docs, none, rows):
+@pytest.mark.parametrize("hot", [8192, 1, 0])
+def test_suffix_array_dedup(docs, none, rows, hot):
     short = [(i, t, s) for i, t, s in rows if len(t or "") < 20_000]
-    got = Counter((r.doc_id, r.n_bytes, tuple(r.starts), tuple(r.ends), bytes(r.kept)) for r in previous_factor.suffix_array_dedup(docs).collect() if r.n_bytes < 20_000)
+    got = Counter((r.doc_id, r.n_bytes, tuple(r.starts), tuple(r.ends), bytes(r.kept)) for r in previous_factor.suffix_array_dedup(docs, hot=hot).collect() if r.n_bytes < 20_000)
     units = [(i, (t or "").encode()) for i, t, _ in rows]
     marks = removed(units, 50)
     want = Counter((i, len(b), *map(tuple, runs(m)), bytes(x for x, g in zip(b, m) if not g)) for (i, b), m in zip(units, marks) if len(b) < 20_000)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import first_of_each, without_repeats
+from .repeats import HOT, first_of_each, without_repeats
 
 
 def sorted_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def match_bytes(length: int):
     return match
 
 
-def suffix_array_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed runs of bytes, kept."""
-    found = without_repeats(docs, "bytes", match_bytes(length), length)
+    found = without_repeats(docs, "bytes", match_bytes(length), length, hot)
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "starts", "ends", "kept")

@@ -6,6 +6,11 @@ anchors, at most 84 units each, go to the part of the key space that owns the an
 their smallest doc_id. There a matcher compares units, not hashes, and answers which runs start in an
 earlier document; a document then takes away all that its answered runs cover. All passes are linear in the corpus.
 
+A phrase that very many documents hold with different neighbours would give its one anchor a part's work without bound. The
+runs around an anchor with more than ``hot`` occurrences are therefore dealt apart, by the place of the anchor in them: in
+``PIECES`` pieces, each owned by the units that all its runs share, and with ``FAR`` times as many occurrences run by run,
+each owned by its own units. Equal runs still meet, as they hold the anchor at the same place and share these units.
+
 Order of documents: doc_id, null first; rows that share a doc_id do not count against each other.
 """
 
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .exchange import PART, batched, narrow, opened, parts_of, passed, squeezed, widen
-from .packing import PLAIN, Rolling, Texts, numbered
+from .packing import PLAIN, Rolling, Texts, mix, numbered
 from .shared import staged
 
 GRAM = 16
@@ -27,6 +32,8 @@ KEY_BYTES = 6
 _MASK = np.uint64((1 << 8 * KEY_BYTES) - 1)
 #: Bytes of surroundings that one part compares, about.
 PART_BYTES = 3 << 20
+#: Occurrences of an anchor above which its surroundings are split, pieces of the first split, and the factor of the second.
+HOT, PIECES, FAR = 8192, 4, 16
 #: (doc ids, surroundings, units in each) of a part to (for each surrounding, a mark for each run in it), laid end to end.
 Matcher = Callable[[np.ndarray, list[bytes]], list[np.ndarray]]
 
@@ -67,12 +74,35 @@ class Units:
 
 @dataclass
 class Anchors:
-    """Occurrences of anchors: key, document, and the first and last start of the runs that they stand for."""
+    """Occurrences of anchors: key, document, the first and last start of the runs that they stand for, and the anchor's place."""
 
     key: np.ndarray
     doc: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    at: np.ndarray
+
+    def taken(self, where: np.ndarray) -> Anchors:
+        return Anchors(*(getattr(self, k)[where] for k in ("key", "doc", "first", "last", "at")))
+
+    def split(self, pieces: int, length: int, rolling: Rolling) -> Anchors:
+        """The same runs in up to ``pieces`` pieces by the anchor's place in them, keyed by the units common to a piece."""
+        places = length - GRAM + 1
+        cut = np.arange(pieces + 1) * places // pieces
+        low, high = np.tile(cut[:-1], len(self.at)), np.tile(cut[1:] - 1, len(self.at))  # places of the anchor in the runs of a piece
+        doc, at = np.repeat(self.doc, pieces), np.repeat(self.at, pieces)
+        first, last = np.maximum(np.repeat(self.first, pieces), at - high), np.minimum(np.repeat(self.last, pieces), at - low)
+        some = np.flatnonzero(first <= last)
+        low, high, doc, at, first, last = (x[some] for x in (low, high, doc, at, first, last))
+        key = mix(rolling.runs(at - low, at - high + length) + low.astype(np.uint64))
+        return Anchors(key & _MASK, doc, first, last, at)
+
+    def dealt(self, levels: np.ndarray, length: int, rolling: Rolling) -> Anchors:
+        """Occurrences of shared anchors, those of hot ones in pieces; ``levels`` has 0 (in one document) to 3 for each."""
+        groups = [self.taken(np.flatnonzero(levels == 1))]
+        for level, pieces in ((2, PIECES), (3, length - GRAM + 1)):
+            groups.append(self.taken(np.flatnonzero(levels == level)).split(pieces, length, rolling))
+        return Anchors(*(np.concatenate([getattr(g, k) for g in groups]) for k in ("key", "doc", "first", "last", "at")))
 
 
 def anchors(units: Units, length: int, rolling: Rolling) -> Anchors:
@@ -81,7 +111,7 @@ def anchors(units: Units, length: int, rolling: Rolling) -> Anchors:
     ends = np.repeat(units.of[1:], np.diff(units.of))
     starts = np.flatnonzero(np.arange(n) + length <= ends)
     if not len(starts):
-        return Anchors(none.astype(np.uint64), none, none, none)
+        return Anchors(none.astype(np.uint64), none, none, none, none)
     gram = rolling.all(GRAM)
     bits = np.uint64(max(24, n.bit_length()))
     low = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
@@ -94,7 +124,7 @@ def anchors(units: Units, length: int, rolling: Rolling) -> Anchors:
     cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = starts[np.r_[cut[1:], len(starts)] - 1]
     first = starts[cut]
-    return Anchors(gram[at[cut]] & _MASK, np.searchsorted(units.of, first, "right") - 1, first, last)
+    return Anchors(gram[at[cut]] & _MASK, np.searchsorted(units.of, first, "right") - 1, first, last, at[cut])
 
 
 def _distinct(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,15 +136,27 @@ def _distinct(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, number, lo < hi
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Which keys of each batch occur in more than one document of the corpus."""
-    keys = [widen(x, KEY_BYTES) for x in table.column("keys").to_pylist()]
-    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(table.column("several").to_pylist(), keys, strict=True)])
-    distinct, number = numbered(np.concatenate(keys))
-    shared = (np.bincount(number, minlength=len(distinct)) > 1) | (np.bincount(number, several, len(distinct)) > 0)
-    cut = np.cumsum([0, *map(len, keys)])
-    back = [np.packbits(shared[number[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"batch": table.column("batch"), "kind": pa.array(["shared"] * len(back)), "part": table.column("part"), "answer": pa.array(back, pa.binary())})
+def _rounded(n: np.ndarray) -> np.ndarray:
+    """Counts of one and more as eighths of their binary logarithm, in a byte."""
+    return np.ceil(8 * np.log2(n)).astype(np.uint8)
+
+
+def _levels(hot: int):
+    """0 for a key of each batch in one document of the corpus, 1 in several, 2 and 3 with occurrences above two bounds."""
+
+    def work(table: pa.Table) -> pa.Table:
+        keys = [widen(x, KEY_BYTES) for x in table.column("keys").to_pylist()]
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(k)] for x, k in zip(table.column("several").to_pylist(), keys, strict=True)])
+        times = 2.0 ** (np.concatenate([opened(x, "u1") for x in table.column("times").to_pylist()]) / 8)
+        distinct, number = numbered(np.concatenate(keys))
+        shared = (np.bincount(number, minlength=len(distinct)) > 1) | (np.bincount(number, several, len(distinct)) > 0)
+        n = np.bincount(number, times, len(distinct))
+        level = (shared * (1 + (n > hot) + (n > FAR * hot))).astype(np.uint8)
+        cut = np.cumsum([0, *map(len, keys)])
+        back = [squeezed(level[number[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"batch": table.column("batch"), "kind": pa.array(["levels"] * len(back)), "part": table.column("part"), "answer": pa.array(back, pa.binary())})
+
+    return work
 
 
 def _answers(table: pa.Table, kind: str) -> dict[int, bytes]:
@@ -123,9 +165,9 @@ def _answers(table: pa.Table, kind: str) -> dict[int, bytes]:
 
 @dataclass
 class Surroundings:
-    """Shared occurrences, and the distinct surroundings of shared anchors: one representative occurrence of each."""
+    """Shared occurrences, the number of each one's surroundings, and one representative occurrence of each surroundings."""
 
-    where: np.ndarray
+    a: Anchors
     number: np.ndarray
     shown: np.ndarray
     parts: list[tuple[int, np.ndarray]]
@@ -133,18 +175,18 @@ class Surroundings:
 
 def _surroundings(units: Units, a: Anchors, rolling: Rolling, length: int, answers: pa.Table, key_parts: int, parts: int) -> Surroundings:
     keys, number, _ = _distinct(a)
-    shared = np.zeros(len(keys), bool)
-    got = _answers(answers, "shared")
+    levels = np.zeros(len(keys), np.uint8)
+    got = _answers(answers, "levels")
     for p, at in parts_of(keys, key_parts):
-        shared[at] = np.unpackbits(np.frombuffer(got[p], np.uint8))[: len(at)].astype(bool)
-    where = np.flatnonzero(shared[number])
-    content = rolling.runs(a.first[where], a.last[where] + length) ^ (a.key[where] * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((where, units.doc_ids[a.doc[where]], content))
+        levels[at] = opened(got[p], "u1")
+    a = a.dealt(levels[number], length, rolling)
+    content = rolling.runs(a.first, a.last + length) ^ (a.key * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((a.first, units.doc_ids[a.doc], content))
     first = np.flatnonzero(np.r_[True, content[order][1:] != content[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-    number = np.empty(len(where), np.int64)
+    number = np.empty(len(order), np.int64)
     number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
-    shown = where[order[first]]  # of equal ones, that of the smallest doc_id
-    return Surroundings(where, number, shown, parts_of(a.key[shown], parts))
+    shown = order[first]  # of equal ones, that of the smallest doc_id
+    return Surroundings(a, number, shown, parts_of(a.key[shown], parts))
 
 
 def _matched(match: Matcher, length: int, kind: str):
@@ -177,7 +219,7 @@ def first_of_each(docs: np.ndarray, texts: list[bytes]) -> tuple[list[int], np.n
 ANSWER = "batch int, kind string, part int, answer binary"
 
 
-def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50) -> DataFrame:
+def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, n_units, starts and ends of the removed runs (in units), and what is kept of the text as bytes."""
     table, size = batched(docs)
     key_parts = max(1, -(-size // (18 if kind == "bytes" else 110) // PART))
@@ -185,13 +227,15 @@ def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50
 
     def deal(t: pa.Table, _: pa.Table | None) -> pa.Table:
         units = Units.read(t, kind)
-        keys, _, several = _distinct(anchors(units, length, Rolling(units.values)))
-        rows = [(p, narrow(keys[at], KEY_BYTES), np.packbits(several[at]).tobytes()) for p, at in parts_of(keys, key_parts)]
+        keys, number, several = _distinct(anchors(units, length, Rolling(units.values)))
+        times = _rounded(np.bincount(number, minlength=len(keys)))
+        rows = [(p, narrow(keys[at], KEY_BYTES), np.packbits(several[at]).tobytes(), squeezed(times[at])) for p, at in parts_of(keys, key_parts)]
         batch = pa.array([t.column("batch")[0].as_py()] * len(rows), pa.int32())
-        return pa.table({"batch": batch, "part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "several": pa.array([r[2] for r in rows], pa.binary())})
+        columns = {k: pa.array([r[i] for r in rows], pa.binary()) for i, k in ((1, "keys"), (2, "several"), (3, "times"))}
+        return pa.table({"batch": batch, "part": pa.array([r[0] for r in rows], pa.int32()), **columns})
 
-    dealt = passed(table, None, deal, "batch int, part int, keys binary, several binary")
-    shared = staged(dealt.groupBy("part").applyInArrow(_shared, ANSWER), "shared")
+    dealt = passed(table, None, deal, "batch int, part int, keys binary, several binary, times binary")
+    shared = staged(dealt.groupBy("part").applyInArrow(_levels(hot), ANSWER), "levels")
 
     def show(t: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
@@ -202,9 +246,9 @@ def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50
             s = _surroundings(units, a, rolling, length, answers, key_parts, parts)
             for p, at in s.parts:
                 shown = s.shown[at]
-                texts = units.slices(a.first[shown], a.last[shown] + length)
+                texts = units.slices(s.a.first[shown], s.a.last[shown] + length)
                 sizes = np.array([len(x) for x in texts], np.int32)
-                rows.append((p, units.doc_ids[a.doc[shown]].tobytes(), sizes.tobytes(), squeezed(np.frombuffer(b"".join(texts), np.uint8))))
+                rows.append((p, units.doc_ids[s.a.doc[shown]].tobytes(), sizes.tobytes(), squeezed(np.frombuffer(b"".join(texts), np.uint8))))
         batch = pa.array([t.column("batch")[0].as_py()] * len(rows) if rows else [], pa.int32())
         return pa.table({"batch": batch, "part": pa.array([r[0] for r in rows], pa.int32()), **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in ((1, "docs"), (2, "sizes"), (3, "texts"))}})
 
@@ -220,7 +264,7 @@ def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50
         edge = np.zeros(len(units.values) + 1, np.int32)
         if len(a.key):
             s = _surroundings(units, a, rolling, length, answers, key_parts, parts)
-            got = _answers(answers, "marks")
+            a, got = s.a, _answers(answers, "marks")
             runs = a.last - a.first + 1
             base = np.zeros(len(s.shown), np.int64)
             marked = [np.zeros(0, bool)]
@@ -231,11 +275,11 @@ def without_repeats(docs: DataFrame, kind: str, match: Matcher, length: int = 50
                 total += int(n.sum())
                 marked.append(np.unpackbits(opened(got[p], "u1"))[: int(n.sum())].astype(bool))
             marked = np.concatenate(marked)
-            n = runs[s.where]
+            n = runs
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            later = units.doc_ids[a.doc[s.where]] > units.doc_ids[a.doc[s.shown]][s.number]
+            later = units.doc_ids[a.doc] > units.doc_ids[a.doc[s.shown]][s.number]
             hit = np.repeat(later, n) | marked[np.repeat(base[s.number], n) + inner]
-            start = (np.repeat(a.first[s.where], n) + inner)[hit]
+            start = (np.repeat(a.first, n) + inner)[hit]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length, -1)
         gone = np.cumsum(edge[:-1]) > 0

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import first_of_each, without_repeats
+from .repeats import HOT, first_of_each, without_repeats
 
 
 class SuffixAutomaton:
@@ -93,8 +93,8 @@ def match_words(length: int):
     return match
 
 
-def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, starts and ends of the removed runs of words, kept (words joined by one space)."""
-    found = without_repeats(docs, "words", match_words(length), length)
+    found = without_repeats(docs, "words", match_words(length), length, hot)
     return found.select("doc_id", F.col("n_units").alias("n_words"), "starts", "ends", "kept")
 
