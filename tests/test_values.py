@@ -1,5 +1,6 @@
 """Small inputs with known results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,21 @@ def test_problems_of_a_measurement_source(spark):
     channel = spark.createDataFrame([(0, "good", *p) for p in plane] + moved + [(0, "short", *p) for p in plane if p[0] == 0], kind)
     frames = spark.createDataFrame([(0, f, 20, 24) for f in range(2)], "movie_id long, frame long, height long, width long")
     assert {(r.channel, r.problem) for r in intensity.source_problems(channel, reference, frames).collect()} == {("moved", "misaligned"), ("short", "number of frames")}
+
+
+@pytest.mark.parametrize("height, width, dy, dx", [(64, 96, 20, -31), (64, 96, 0, 0), (33, 47, -12, 5)])
+def test_phase_shift_finds_long_shifts(height, width, dy, dx):
+    image = np.random.default_rng(3).random((height, width))
+    assert intensity.phase_shift(image, np.roll(image, (dy, dx), (0, 1))) == pytest.approx((dy, dx), abs=0.05)
+    assert intensity.phase_shift(np.ones((8, 8)), np.ones((8, 8))) == (0.0, 0.0)
+
+
+def test_shifted_square_is_misaligned(spark):
+    square = [(0, "a", f, y, x, 200.0 if 4 <= y < 9 and 4 <= x < 9 else 10.0) for f in range(4) for y in range(16) for x in range(16)]
+    columns = "movie_id long, channel string, frame long, y long, x long, value double"
+    reference = spark.createDataFrame(square, columns)
+    moved = spark.createDataFrame([(*r[:4], (r[4] + 4) % 16, r[5]) for r in square], columns)
+    frames = spark.createDataFrame([(0, f, 16, 16) for f in range(4)], "movie_id long, frame long, height long, width long")
+    assert [r.problem for r in intensity.source_problems(moved, reference, frames).collect()] == ["misaligned"]
+    assert intensity.source_problems(reference, reference, frames).count() == 0
+    assert intensity.alignment(moved.limit(0), reference).count() == 0

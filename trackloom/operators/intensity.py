@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,21 +157,51 @@ def clipped_source(channel: DataFrame) -> DataFrame:
     return per.select("movie_id", "channel", ((F.col("top") <= 255) & (F.col("zero") > 0.01) & (F.col("full") > 0.01)).alias("clipped"))
 
 
-def alignment(channel: DataFrame, reference: DataFrame, probes: int = 5, reach: int = 8) -> DataFrame:
-    """The shift (dy, dx) of a channel against the movie's reference on some frames, and its length: the whole-pixel shift within
-    ``reach`` along each axis with the largest correlation over half of the frame at least; of equal ones the shortest.
-
-    A shift beyond ``reach`` shows as a long one in most images, but not as its true length.
+def _image(rows: pd.DataFrame, height: int, width: int) -> np.ndarray:
+    """Pixels as an array; those that are missing, null or not finite are 0, those outside are left out."""
+    image = np.zeros((height, width))
+    inside = rows[rows.y.between(0, height - 1) & rows.x.between(0, width - 1)]
+    image[inside.y.to_numpy(), inside.x.to_numpy()] = np.nan_to_num(inside.value.to_numpy(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+    return image
+
+
+def phase_shift(was: np.ndarray, now: np.ndarray) -> tuple[float, float]:
+    """The shift (dy, dx) that takes the first image to the second: the centroid of 5 x 5 values around the peak of their phase correlation."""
+    cross = np.fft.fft2(now) * np.conj(np.fft.fft2(was))
+    size = np.abs(cross)
+    top = size.max(initial=0.0)
+    phase = np.divide(cross, size, out=np.zeros_like(cross), where=size > 1e-9 * top)
+    peak = np.round(np.fft.ifft2(phase).real, 9)
+    y, x = np.unravel_index(np.argmax(peak), peak.shape)
+    near = np.arange(-2, 3)
+    w = peak[np.ix_((y + near) % peak.shape[0], (x + near) % peak.shape[1])]
+    wrapped = lambda at, n: at - n if 2 * at > n else at
+    dy, dx = ((w.sum(1) @ near, w.sum(0) @ near) / w.sum()) if w.sum() else (0.0, 0.0)
+    return float(wrapped(int(y), peak.shape[0]) + dy), float(wrapped(int(x), peak.shape[1]) + dx)
+
+
+def _shifts(reference: pd.DataFrame, channel: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    if len(reference):
+        height, width = int(reference.y.max()) + 1, int(reference.x.max()) + 1
+        was = _image(reference, height, width)
+        for name, part in channel.groupby("channel", dropna=False):
+            dy, dx = phase_shift(was, _image(part, height, width))
+            rows.append((part.movie_id.iloc[0], name, part.frame.iloc[0], dy, dx, float(np.hypot(dy, dx))))
+    return pd.DataFrame(rows, columns=["movie_id", "channel", "frame", "dy", "dx", "offset"])
+
+
+def alignment(channel: DataFrame, reference: DataFrame, probes: int = 5) -> DataFrame:
+    """The shift (dy, dx) of a channel against the movie's reference on some frames, and its length, by phase correlation of whole frames.
+
+    Shifts of any length are found, up to half of the frame, and parts of a pixel. A frame is one task's work, as an image
+    is bounded; its pixels meet by movie and frame. Terms under 1e-9 of the strongest have no phase.
     """
-    some = F.broadcast(spaced_frames(reference, probes))
-    ref = reference.join(some, ["movie_id", "frame"], "left_semi").select(*PIXEL, F.col("value").alias("was"))
-    total = ref.groupBy("movie_id", "frame").agg(F.count("*").alias("all"))
-    away = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)))
-    asked = ref.select("movie_id", "frame", "y", "x", "was", F.explode(away).alias("o")).select("movie_id", "frame", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "was", "o.dy", "o.dx")
-    fit = asked.join(channel.join(some, ["movie_id", "frame"], "left_semi"), PIXEL).groupBy("movie_id", "channel", "frame", "dy", "dx").agg(F.corr("was", "value").alias("fit"), F.count("*").alias("n"))
-    fit = fit.join(F.broadcast(total), ["movie_id", "frame"]).where("2 * n >= all AND fit IS NOT NULL AND NOT isnan(fit)").withColumn("offset", F.hypot(F.col("dy").cast("double"), F.col("dx").cast("double")))
-    best = fit.groupBy("movie_id", "channel", "frame").agg(F.max_by(F.struct("dy", "dx", "offset"), F.struct(F.round("fit", 9), -F.col("offset"), "dy", "dx")).alias("o"))
-    return best.select("movie_id", "channel", "frame", F.col("o.dy").cast("long").alias("dy"), F.col("o.dx").cast("long").alias("dx"), "o.offset")
+    some = spaced_frames(reference, probes)
+    probed = lambda df: df.join(some, ["movie_id", "frame"], "left_semi").groupBy("movie_id", "frame")
+    named = channel.select(*(F.col(c).alias(c) for c in ("channel", *PIXEL, "value")))  # columns of its own, also where it is the reference
+    pairs = probed(reference.select(*PIXEL, "value")).cogroup(probed(named))
+    return pairs.applyInPandas(_shifts, "movie_id long, channel string, frame long, dy double, dx double, offset double")
 
 
 def source_problems(channel: DataFrame, reference: DataFrame, frames: DataFrame, tolerance: float = 2.0) -> DataFrame:

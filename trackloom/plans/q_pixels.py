@@ -71,6 +71,33 @@ _T = ", ob AS (SELECT frame, label + CASE WHEN frame % 2 = 1 THEN 100 ELSE 0 END
 _OUTCOME = "CASE label % 3 WHEN 0 THEN 'Mitosis' WHEN 1 THEN '' ELSE 'Exit' END"
 _MORPH = ["area", "perimeter", "circularity", "eccentricity", "aspect", "area_box", "radius_ratio", "roundness", "nii"]
 
+#: A channel that lies 1 pixel lower and, on even frames, 17 pixels to the right, with the pixels that the frame still holds.
+_DRIFTED = """, dr AS (SELECT frame, y + 1 AS y, x + CASE WHEN frame % 2 = 0 THEN 17 ELSE 0 END AS x, value FROM channel_pixels),
+fs AS (SELECT frame, row_number() OVER (PARTITION BY frame // 100000 ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY frame // 100000) AS n FROM fr),
+sf AS (SELECT frame FROM fs WHERE n <= 5 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(5)) AS k) WHERE i = k * (n - 1) // 4)),
+im AS (SELECT frame, 0 AS src, y, x, value AS v FROM channel_pixels JOIN sf USING (frame) UNION ALL SELECT frame, 1, y, x, value FROM dr JOIN sf USING (frame) WHERE y < 40 AND x < 96)"""
+
+#: Discrete Fourier transforms of both, row by row and column by column; the phases of their product; and its transform back.
+_PHASE = """, us AS (SELECT unnest(range(96))::BIGINT AS u), vs AS (SELECT unnest(range(40))::BIGINT AS v),
+r1 AS (SELECT frame, src, y, u, sum(im.v * cos(2 * pi() * ((u * x) % 96) / 96)) AS re, -sum(im.v * sin(2 * pi() * ((u * x) % 96) / 96)) AS i FROM im CROSS JOIN us GROUP BY ALL),
+f1 AS (SELECT frame, src, v, u, sum(re * cos(2 * pi() * ((v * y) % 40) / 40) + i * sin(2 * pi() * ((v * y) % 40) / 40)) AS re, sum(i * cos(2 * pi() * ((v * y) % 40) / 40) - re * sin(2 * pi() * ((v * y) % 40) / 40)) AS i FROM r1 CROSS JOIN vs GROUP BY ALL),
+cr AS (SELECT b.frame, b.v, b.u, b.re * a.re + b.i * a.i AS re, b.i * a.re - b.re * a.i AS i FROM f1 a JOIN f1 b ON a.frame = b.frame AND a.u = b.u AND a.v = b.v AND a.src = 0 AND b.src = 1),
+ph AS (SELECT frame, v, u, re / m AS re, i / m AS i FROM (SELECT *, sqrt(re * re + i * i) AS m, max(sqrt(re * re + i * i)) OVER (PARTITION BY frame) AS top FROM cr) WHERE m > 1e-9 * top),
+b1 AS (SELECT frame, v, x, sum(re * cos(2 * pi() * ((u * x) % 96) / 96) - i * sin(2 * pi() * ((u * x) % 96) / 96)) / 96 AS re, sum(re * sin(2 * pi() * ((u * x) % 96) / 96) + i * cos(2 * pi() * ((u * x) % 96) / 96)) / 96 AS i FROM ph CROSS JOIN (SELECT u AS x FROM us) GROUP BY ALL),
+pk AS (SELECT frame, y, x, round(sum(re * cos(2 * pi() * ((v * y) % 40) / 40) - i * sin(2 * pi() * ((v * y) % 40) / 40)) / 40, 9) AS p FROM b1 CROSS JOIN (SELECT v AS y FROM vs) GROUP BY ALL),
+mx AS (SELECT frame, y AS my, x AS mx FROM pk QUALIFY row_number() OVER (PARTITION BY frame ORDER BY p DESC, y, x) = 1),
+nr AS (SELECT frame, my, mx, p, (y - my + 60) % 40 - 20 AS oy, (x - mx + 144) % 96 - 48 AS ox FROM pk JOIN mx USING (frame)),
+ce AS (SELECT frame, my, mx, sum(p * oy) / sum(p) AS oy, sum(p * ox) / sum(p) AS ox FROM nr WHERE abs(oy) <= 2 AND abs(ox) <= 2 GROUP BY ALL),
+sh AS (SELECT frame, CASE WHEN 2 * my > 40 THEN my - 40 ELSE my END + oy AS dy, CASE WHEN 2 * mx > 96 THEN mx - 96 ELSE mx END + ox AS dx FROM ce)
+"""
+
+
+def _drifted(s, d):
+    """The drifted channel of the oracle."""
+    shift = F.when(F.col("frame") % 2 == 0, 17).otherwise(0)
+    return fx.channel_pixels(s, d).withColumns({"channel": F.lit("drifted"), "y": F.col("y") + 1, "x": F.col("x") + shift}).where("y < 40 AND x < 96")
+
+
 QUERIES = {
     "g1_centroids": (lambda s, d: rounded(px.centroids(fx.mask_pixels(s, d)), "x", "y"), duck("SELECT frame, label, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM mask_pixels GROUP BY ALL", True)),
     "g2_areas": (lambda s, d: px.areas(fx.mask_pixels(s, d), 0.25), duck("SELECT frame, label, count(*) * 0.25::DOUBLE AS area FROM mask_pixels GROUP BY ALL", True)),
@@ -131,11 +158,12 @@ SELECT st.frame, st.label, round(nuc_median, 6) AS nuc_median, round(nuc_std / n
         duck(", ch AS (SELECT frame // 100000 AS movie_id, 'stretched' AS channel, greatest(0, least(255, (value - 120) * 3)) AS value FROM channel_pixels UNION ALL SELECT frame // 100000, channel, value FROM channel_pixels) SELECT movie_id, channel, max(value) <= 255 AND avg((value <= 0)::INT) > 0.01 AND avg((value >= 255)::INT) > 0.01 AS clipped FROM ch GROUP BY ALL", True),
     ),
     "g26_alignment": (
-        lambda s, d: it.alignment(fx.channel_pixels(s, d).withColumns({"y": F.col("y") + 1, "x": F.col("x") + F.when(F.col("frame") % 2 == 0, 3).otherwise(0)}), fx.channel_pixels(s, d), 5, 4).select("movie_id", "frame", "dy", "dx", F.round("offset", 6).alias("offset")),
-        duck(""", fs AS (SELECT frame, row_number() OVER (PARTITION BY frame // 100000 ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY frame // 100000) AS n FROM fr), sf AS (SELECT frame FROM fs WHERE n <= 5 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(5)) AS k) WHERE i = k * (n - 1) // 4)),
-o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-4, 5)) AS i) a CROSS JOIN (SELECT unnest(range(-4, 5)) AS i) b), mv AS (SELECT frame, y + 1 AS y, x + CASE WHEN frame % 2 = 0 THEN 3 ELSE 0 END AS x, value FROM channel_pixels JOIN sf USING (frame)),
-q AS (SELECT r.frame, r.y + dy AS y, r.x + dx AS x, dy, dx, r.value AS was FROM channel_pixels r JOIN sf USING (frame) CROSS JOIN o), ft AS (SELECT frame, dy, dx, corr(was, value) AS f FROM q JOIN mv USING (frame, y, x) GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY round(f, 9) DESC, dy * dy + dx * dx, dy DESC, dx DESC) AS r FROM ft) SELECT frame, dy, dx, round(sqrt(dy * dy + dx * dx), 6) AS offset FROM rk WHERE r = 1""", True),
+        lambda s, d: it.alignment(_drifted(s, d), fx.channel_pixels(s, d)).select("movie_id", "frame", *(F.round(c, 4).alias(c) for c in ("dy", "dx", "offset"))),
+        duck(_DRIFTED + _PHASE + ' SELECT frame, round(dy, 4) AS dy, round(dx, 4) AS dx, round(sqrt(dy * dy + dx * dx), 4) AS "offset" FROM sh', True),
+    ),
+    "g26_source_problems": (
+        lambda s, d: it.source_problems(_drifted(s, d).unionByName(fx.channel_pixels(s, d)), fx.channel_pixels(s, d), fx.frames(s, d)),
+        duck(_DRIFTED + _PHASE + " SELECT DISTINCT (frame // 100000)::BIGINT AS movie_id, 'drifted' AS channel, 'misaligned' AS problem FROM sh WHERE sqrt(dy * dy + dx * dx) > 2", True),
     ),
     "a6_shape_outliers": (
         lambda s, d: anomaly.area_outliers(px.morphometry(fx.mask_pixels(s, d)).join(px.solidity(fx.mask_pixels(s, d)), px.OBJECT), _STRICT),
