@@ -11,7 +11,7 @@ from .anomaly import track_flags
 
 TRAITS = ["area", "mobility", "lifetime"]
 FREE_Z, TOLERANCE, LEAST_TRACKS = 1.0, 1.25, 5
-REVIEW_BELOW, OUTLIER_BELOW = 0.85, 0.5
+REVIEW_BELOW, OUTLIER_BELOW, FAR_BELOW = 0.85, 0.5, 0.75
 
 
 def track_metrics(df: DataFrame) -> DataFrame:
@@ -64,8 +64,11 @@ def incoherent() -> Column:
     return F.coalesce(leaves | dies, F.lit(False))
 
 
-def scores(df: DataFrame, t: Thresholds = Thresholds(), weights: dict[str, float] | None = None) -> DataFrame:
-    """One row for each track: sub-scores by trait, their sum of losses as ``score``, ``deviation``, reasons and the weakest trait."""
+def scores(df: DataFrame, t: Thresholds = Thresholds(), weights: dict[str, float] | None = None, blend: bool = False) -> DataFrame:
+    """One row for each track: sub-scores by trait, their sum of losses as ``score``, ``deviation``, reasons and the weakest trait.
+
+    With ``blend`` the sub-score of a trait is its score for errors times that for deviation, and traits far from the movie's are reasons.
+    """
     w = PENALTIES | (weights or {})
     flags = track_flags(df, t).join(_traces(df), TRACK).join(track_metrics(df), TRACK).join(F.broadcast(coverage(df)), "movie_id")
     lost = lambda flag, k: F.when(flag, F.lit(w[k])).otherwise(0.0)
@@ -80,7 +83,11 @@ def scores(df: DataFrame, t: Thresholds = Thresholds(), weights: dict[str, float
         "reasons": F.array_compact(F.array(F.when(F.col("no_outcome"), F.lit("no final outcome")), F.when(F.col("jump"), F.lit("impossible jump")), F.when(F.col("gap"), F.lit("temporal gap")), F.when(jumps, F.lit("sudden area change")), F.when(wrong, F.lit("outcome incoherent")), F.when(once, F.lit("single frame")))),
     })
     wide = population(track_metrics(df)).groupBy("movie_id").pivot("trait", TRAITS).agg(F.first("center").alias("center"), F.first("scale").alias("scale"))
-    rows = rows.join(F.broadcast(wide), "movie_id", "left").withColumns({f"d_{k}": F.bround(deviation(F.col(k), F.col(f"{k}_center"), F.col(f"{k}_scale")), 3) for k in TRAITS})
+    rows = rows.join(F.broadcast(wide), "movie_id", "left").withColumns({f"d_{k}": deviation(F.col(k), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in TRAITS})
+    far = F.array_compact(F.array(*(F.when(F.col(f"d_{k}") < FAR_BELOW, F.lit(f"{k} far from the movie's")) for k in TRAITS)))
+    rows = rows.withColumn("far", far).withColumns({f"d_{k}": F.bround(f"d_{k}", 3) for k in TRAITS})
+    if blend:
+        rows = rows.withColumns({f"s_{k}": F.bround(F.col(f"s_{k}") * F.col(f"d_{k}"), 3) for k in TRAITS} | {"reasons": F.concat("reasons", "far")})
     total = lambda names: F.bround(F.greatest(F.lit(0.0), 1 - sum(((1 - F.col(n)) for n in names), F.lit(0.0))), 6)
     subs = [("s_area", "area"), ("s_mobility", "mobility"), ("s_lifetime", "lifetime"), ("s_outcome", "outcome")]
     weakest = F.array_sort(F.array(*(F.struct(F.col(c).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("trait")) for i, (c, n) in enumerate(subs))))[0]["trait"]

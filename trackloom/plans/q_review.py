@@ -128,6 +128,14 @@ SELECT movie_id, track_id, gap_start, gap_end, gap_end - gap_start + 1 AS missin
         lambda s, d: rounded(_scores(s, d).select("movie_id", "track_id", "outcome", "s_area", "s_mobility", "s_lifetime", "s_outcome", "score"), "score"),
         duck(_FLAGS + _TRACES + f" SELECT movie_id, track_id, outcome, s_area, s_mobility, s_lifetime, s_outcome, {_SCORE} FROM sc"),
     ),
+    "t7_blended_scores": (
+        lambda s, d: rounded(tg.scores(fx.tracks(s, d), blend=True).withColumn("far", F.expr("size(filter(reasons, r -> r LIKE '% far from the movie%'))").cast("long")).select("movie_id", "track_id", "s_area", "s_mobility", "s_lifetime", "score", "far"), "score"),
+        duck(_FLAGS + _METRICS[len(_STEP):] + _POP + _TRACES + f""", z AS (SELECT lg.movie_id, track_id, trait, abs(value - center) / scale AS z FROM lg JOIN pop USING (movie_id, trait)),
+dv AS (SELECT movie_id, track_id, trait, CASE WHEN z <= 1 THEN 1 ELSE exp(-0.5 * power((z - 1) / 1.25, 2)) END AS dv FROM z),
+wd AS (SELECT movie_id, track_id, count(*) FILTER (dv < 0.75) AS far, max(round_even(dv, 3)) FILTER (trait = 'area') AS da, max(round_even(dv, 3)) FILTER (trait = 'mobility') AS dm, max(round_even(dv, 3)) FILTER (trait = 'lifetime') AS dl FROM dv GROUP BY ALL),
+bl AS (SELECT sc.movie_id, sc.track_id, coalesce(far, 0) AS far, round_even(s_area * coalesce(da, 1), 3) AS s_area, round_even(s_mobility * coalesce(dm, 1), 3) AS s_mobility, round_even(s_lifetime * coalesce(dl, 1), 3) AS s_lifetime, s_outcome FROM sc LEFT JOIN wd ON wd.track_id = sc.track_id AND wd.movie_id = sc.movie_id)
+SELECT movie_id, track_id, s_area, s_mobility, s_lifetime, {_SCORE}, far FROM bl"""),
+    ),
     "t8_review_queue": (
         lambda s, d: tg.queue(_scores(s, d)).where("bucket = 'review'").select("movie_id", "track_id", "first_frame"),
         duck(_FLAGS + _TRACES + f", q AS (SELECT *, {_SCORE} FROM sc) SELECT movie_id, track_id, first_frame FROM q WHERE score < 0.85"),
