@@ -27,6 +27,15 @@ def background(channel: DataFrame, mask: DataFrame, frames: DataFrame, how: str
     return total.join(outside, key, "left").select(*key, F.coalesce("bg", F.lit(0.0)).alias("bg"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("free"))
 
 
+def region_background(channel: DataFrame, region: DataFrame) -> DataFrame:
+    """bg and free as ``background`` gives them, from drawn pixels: ``region`` has movie_id, y, x and, if it changes, frame; 0 where it holds no pixel."""
+    key = ["movie_id", "channel", "frame"]
+    at = [c for c in PIXEL if c in region.columns]
+    drawn = channel.join(region.select(*at), at, "left_semi").groupBy(*key).agg(F.median("value").alias("bg"), F.count("*").alias("n"))
+    total = channel.groupBy(*key).agg(F.count("*").alias("all"))
+    return total.join(drawn, key, "left").select(*key, F.coalesce("bg", F.lit(0.0)).alias("bg"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("free"))
+
+
 def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: int = 1, width: int = 3, ellipse: bool = False) -> DataFrame:
     """Statistics of background-corrected values in nucleus, ring (of the contour or of an ellipse) and both, one row for each object, and their ratios."""
     ring = (ellipse_rings if ellipse else rings)(mask, gap, width)
