@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from . import (
     gated_recurrent,
     hamming_minhash,
+    hard_negatives,
     hash_forest,
     histogram_sort,
+    importance_resampling,
     mixing,
     positional_index,
     previous_factor,
     rule_ensemble,
+    simhash_index,
     suffix_automaton,
     suffix_tree,
 )
@@ -70,6 +73,20 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_weighted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), percent=10, least_words=20, buckets=10_000, longest=1, seed=2024)
+
+
+def op12_threshold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mined(vectors, vectors.where("vec_id % 100 = 0"), positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_index.near_duplicates(documents(spark, sf_dir), n=3)
+
+
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op2_suffix_automaton": op2_suffix_automaton,
@@ -81,6 +98,9 @@ QUERIES = {
     "op8_hash_prefix_forest": op8_hash_prefix_forest,
     "op9_hamming_minhash": op9_hamming_minhash,
     "op10_water_filling": op10_water_filling,
+    "op11_weighted_selection": op11_weighted_selection,
+    "op12_threshold_join": op12_threshold_join,
+    "op13_simhash_index": op13_simhash_index,
 }
 
 ORACLES: dict[str, str] = {
@@ -144,5 +164,56 @@ c AS (
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN upto <= want OR (upto - own <= want AND want < upto AND want - (upto - own) > upto - want) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
+""",
+    "op11_weighted_selection": r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+           lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+dw AS (SELECT r, unnest(w) AS w FROM d),
+iw AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM benchmark),
+b AS (
+  SELECT w, xor(list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), (2 * i + 1)::INT, 2))::BIGINT)),
+           lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INT + 1])), 4294967295) % 10000 AS k
+  FROM (SELECT w FROM dw UNION SELECT w FROM iw), crc),
+s AS (SELECT k, count(*) AS n FROM dw JOIN b USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM iw JOIN b USING (w) GROUP BY k),
+g AS (
+  SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000.0::DOUBLE)
+                            / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000.0::DOUBLE))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (k)),
+f AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM dw JOIN b USING (w) JOIN g USING (k) GROUP BY r),
+x AS (
+  SELECT doc_id, r, coalesce(n, 0) AS n_features,
+         CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN f USING (r)),
+y AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM x),
+z AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n
+  FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score, z.rank::BIGINT AS rank
+FROM y LEFT JOIN z ON z.r = y.r AND z.rank <= 10 * z.n // 100
+""",
+    "op12_threshold_join": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank,
+       s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
 """,
 }
