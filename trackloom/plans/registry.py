@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_clean, q_edits, q_lineage, q_pixels, q_review, q_statistics, q_trajectory
+from . import q_clean, q_consolidation, q_edits, q_lineage, q_pixels, q_review, q_statistics, q_trajectory
 
-_GROUPS = [q_clean, q_edits, q_lineage, q_pixels, q_review, q_statistics, q_trajectory]
+_GROUPS = [q_clean, q_consolidation, q_edits, q_lineage, q_pixels, q_review, q_statistics, q_trajectory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
