@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import along, TRACK, first_outcome, is_final, quarantined, step, valid
 from ..schema import DEATH, EXIT, MITOSIS, Thresholds
+from ..sources.work import stored
 from . import lineage
+from .quantiles import medians, quantiles
 
 
 def track_flags(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -36,10 +38,10 @@ def track_flags(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 def division_life_outliers(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Dividing tracks whose life is far from the movie's median of four and more such tracks, by the robust scale."""
     lives = track_flags(df, t).where("divides").withColumn("life", (F.col("last_frame") - F.col("first_frame") + 1).cast("double"))
-    centre = lives.groupBy("movie_id").agg(F.median("life").alias("med"), F.count("*").alias("k"))
-    away = lives.join(F.broadcast(centre), "movie_id").withColumn("away", F.abs(F.col("life") - F.col("med")))
-    scale = away.groupBy("movie_id").agg(F.median("away").alias("mad"))
-    rows = away.join(F.broadcast(scale), "movie_id").where("k >= 4 AND mad > 0")
+    lives = stored(lives.select(*TRACK, "life"), "lives")
+    centre = quantiles(lives, ["movie_id"], "life", [0.5]).select("movie_id", F.col("p")[0].alias("med"), F.col("n").alias("k"))
+    away = lives.join(centre, "movie_id").withColumn("away", F.abs(F.col("life") - F.col("med")))
+    rows = away.join(medians(away, ["movie_id"], "away", "mad"), "movie_id").where("k >= 4 AND mad > 0")
     return rows.where(F.col("away") / (1.4826 * F.col("mad")) > t.mitosis_life_mad_k).select(*TRACK, "life")
 
 

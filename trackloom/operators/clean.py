@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import along, TRACK, whole, has_outcome, step, valid
 from ..schema import EXIT, MITOSIS, NON_FLAG, START_MARKERS, TRANSLATIONS, Thresholds
+from .quantiles import quantiles
 
 
 def translated_outcome(label: Column) -> Column:
@@ -76,10 +77,11 @@ def adaptive_thresholds(df: DataFrame) -> DataFrame:
     """movie_id, max_jump_px and min_valid_frames from each movie's own steps and span."""
     base = Thresholds()
     steps = df.where(valid()).withColumn("step", step())
-    per = steps.groupBy("movie_id").agg(F.count("step").alias("n"), F.percentile("step", F.lit(0.995)).alias("p"), (F.max("frame") - F.min("frame") + 1).alias("span"))
+    per = steps.groupBy("movie_id").agg((F.max("frame") - F.min("frame") + 1).alias("span"))
+    per = per.join(quantiles(steps, ["movie_id"], "step", [0.995]), "movie_id", "left")
     return per.select(
         "movie_id",
-        F.when(F.col("n") >= 20, F.col("p") * 1.5).otherwise(F.lit(base.max_jump_px)).alias("max_jump_px"),
+        F.when(F.col("n") >= 20, F.col("p")[0] * 1.5).otherwise(F.lit(base.max_jump_px)).alias("max_jump_px"),
         F.greatest(F.lit(3), F.bround(F.col("span") * 0.05)).cast("long").alias("min_valid_frames"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.work import stored
 from .pixels import OBJECT, around, city_distance, ellipse_rings, eroded, rings
+from .quantiles import quantiles
 
 PIXEL = ["movie_id", "frame", "y", "x"]
 
@@ -87,10 +88,10 @@ def quantised(channel: DataFrame, mask: DataFrame, bg: DataFrame | None = None,
     rows = channel.join(mask, PIXEL)
     if bg is not None:
         rows = rows.join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"]).withColumn("value", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
-    ends = rows.groupBy("movie_id", "channel").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    ends = quantiles(rows, ["movie_id", "channel"], "value", [0.01, 0.99])
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0])))
     level = F.when(F.col("p")[1] > F.col("p")[0], F.rint(share * (levels - 2)) + 1).otherwise(1).cast("int")
-    return rows.join(F.broadcast(ends), ["movie_id", "channel"]).select("channel", *OBJECT, "y", "x", level.alias("q"))
+    return rows.join(ends, ["movie_id", "channel"]).select("channel", *OBJECT, "y", "x", level.alias("q"))
 
 
 def haralick(levelled: DataFrame) -> DataFrame:

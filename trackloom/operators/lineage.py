@@ -126,8 +126,9 @@ def checked_links(df: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def ranked_families(df: DataFrame, max_families: int = 60, max_nodes: int = 400) -> DataFrame:
-    """The largest families in order, taken until one more would break a limit; at least one."""
-    sized = families(df).where("size > 1").select("movie_id", "root_id", "size")
+    """The largest families in order, taken until one more would break a limit; at least one. Single tracks only where a movie has nothing else."""
+    largest = F.max("size").over(Window.partitionBy("movie_id"))
+    sized = families(df).select("movie_id", "root_id", "size").withColumn("largest", largest).where("size > 1 OR largest = 1").drop("largest")
     order = Window.partitionBy("movie_id").orderBy(F.col("size").desc(), "root_id")
     rows = sized.withColumn("rank", F.row_number().over(order)).withColumn("nodes", F.sum("size").over(order))
     broken = F.max(((F.col("rank") > max_families) | (F.col("nodes") > max_nodes)).cast("int")).over(order)

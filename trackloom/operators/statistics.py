@@ -55,9 +55,9 @@ def time_bins(df: DataFrame, value: str, bins: int = 8) -> DataFrame:
 
 
 def aggregated(df: DataFrame, x: str, y: str, how: str = "mean", group: str | None = None) -> DataFrame:
-    """Any column by any other, optionally by group: mean, median, sum or count."""
+    """Any column of a movie by any other, optionally by group: mean, median, sum or count."""
     agg = {"mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count}[how]
-    return df.groupBy(*([group] if group else []), x).agg(agg(y).alias("value"))
+    return df.groupBy("movie_id", *([group] if group else []), x).agg(agg(y).alias("value"))
 
 
 def moving_average(df: DataFrame, y: str, k: int) -> DataFrame:
@@ -102,16 +102,21 @@ def whole_windows(df: DataFrame, size: int) -> DataFrame:
     return out.withColumn("persistence", F.when(F.col("path") > 0, F.col("net") / F.col("path"))).select(*TRACK, "frame", "net", "path", "persistence", "area_slope")
 
 
-def compared(summary: DataFrame, metrics: list[str], track: Column) -> DataFrame:
-    """Robust z of the chosen tracks against all, mitotic, other and same-phase tracks, by metric, for groups of three and more."""
+def compared(df: DataFrame, summary: DataFrame, metrics: list[str], track: Column) -> DataFrame:
+    """Robust z of the chosen tracks of ``summary`` against all, mitotic, other and each phase's tracks, by metric, for groups of three and more.
+
+    The phase of a track is that of its first row in ``df`` that has one.
+    """
+    begun = df.groupBy(*TRACK).agg(F.min_by("fase", F.when(F.col("fase").isNotNull(), F.col("frame"))).alias("fase"))
+    summary = summary.drop("fase").join(begun, TRACK, "left")
     groups = F.array(F.lit("all"), F.when(F.col("is_mitotic"), F.lit("mitotic")).otherwise(F.lit("non-mitotic")), F.col("fase"))
-    long = summary.select(*TRACK, F.explode(groups).alias("group"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select(*TRACK, "group", "m.*").where("value is not null")
+    long = summary.select(*TRACK, F.explode(groups).alias("group"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select(*TRACK, "group", "m.*").where("value is not null AND group is not null")
     first = long.groupBy("movie_id", "group", "metric").agg(F.median("value").alias("med"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
-    mads = long.join(F.broadcast(first), ["movie_id", "group", "metric"]).groupBy("movie_id", "group", "metric").agg((1.4826 * F.median(F.abs(F.col("value") - F.col("med")))).alias("scale"))
+    mads = long.join(first, ["movie_id", "group", "metric"]).groupBy("movie_id", "group", "metric").agg((1.4826 * F.median(F.abs(F.col("value") - F.col("med")))).alias("scale"))
     stats = first.join(mads, ["movie_id", "group", "metric"])
     mine = summary.where(track).select(*TRACK, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")).select(*TRACK, "m.*")
     z = F.when(F.col("n") < 3, F.lit(None)).when(F.col("scale") > 0, (F.col("value") - F.col("med")) / F.col("scale")).when(F.col("std") > 0, (F.col("value") - F.col("mean")) / F.col("std"))
-    return mine.join(F.broadcast(stats), ["movie_id", "metric"]).where("n >= 2").withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") >= 3, F.lit(False))).select(*TRACK, "group", "metric", "value", "n", "z", "outlier")
+    return mine.join(stats, ["movie_id", "metric"]).where("n >= 2").withColumn("z", z).withColumn("outlier", F.coalesce(F.abs("z") >= 3, F.lit(False))).select(*TRACK, "group", "metric", "value", "n", "z", "outlier")
 
 
 def longest(df: DataFrame, n: int, min_frames: int = 1) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import along, TRACK, first_outcome, is_final, quarantined, step, valid
 from ..schema import DEATH, EXIT, PENALTIES, Thresholds
+from ..sources.work import stored
 from .anomaly import track_flags
+from .quantiles import medians
 
 TRAITS = ["area", "mobility", "lifetime"]
 FREE_Z, TOLERANCE, LEAST_TRACKS = 1.0, 1.25, 5
@@ -28,12 +30,16 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def population(metrics: DataFrame, robust: bool = True) -> DataFrame:
     """movie_id, trait, center, scale; null for fewer than five tracks or without spread."""
+    by = ["movie_id", "trait"]
     long = metrics.unpivot(["movie_id", "track_id"], TRAITS, "trait", "value").where("value is not null")
-    first = long.groupBy("movie_id", "trait").agg(F.count("*").alias("n"), (F.median if robust else F.avg)("value").alias("center"), F.stddev_pop("value").alias("std"))
-    away = long.join(F.broadcast(first), ["movie_id", "trait"]).withColumn("away", F.abs(F.col("value") - F.col("center")))
-    mads = away.groupBy("movie_id", "trait").agg((1.4826 * F.median("away")).alias("mad"))
+    long = stored(long, "traits") if robust else long
+    out = long.groupBy(*by).agg(F.count("*").alias("n"), F.avg("value").alias("center"), F.stddev_pop("value").alias("std"))
+    if robust:
+        middle = medians(long, by, "value", "center")
+        away = long.join(middle, by).withColumn("away", F.abs(F.col("value") - F.col("center")))
+        out = out.drop("center").join(middle, by).join(medians(away, by, "away", "mad"), by).withColumn("mad", 1.4826 * F.col("mad"))
     scale = F.when(F.col("mad") > 1e-9, F.col("mad")).otherwise(F.col("std")) if robust else F.col("std")
-    out = first.join(mads, ["movie_id", "trait"]).withColumn("scale", scale)
+    out = out.withColumn("scale", scale)
     fine = (F.col("n") >= LEAST_TRACKS) & (F.col("scale") > 1e-9)
     return out.select("movie_id", "trait", F.when(fine, F.col("center")).alias("center"), F.when(fine, F.col("scale")).alias("scale"))
 
@@ -101,8 +107,9 @@ def queue(scored: DataFrame) -> DataFrame:
 
 
 def validation_sample(accepted: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
-    """The n tracks with the smallest seeded hashes: the same ones in every run."""
-    return accepted.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *TRACK)), *TRACK).limit(n)
+    """The n tracks of each movie with the smallest seeded hashes: the same ones in every run."""
+    order = Window.partitionBy("movie_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), *TRACK)), "track_id")
+    return accepted.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n).drop("draw")
 
 
 # Actions that do not mean that the automatic annotation was wrong.

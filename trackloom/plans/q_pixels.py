@@ -131,9 +131,9 @@ QUERIES = {
         duck(_STATS + " SELECT frame, label, round(nuc_mean, 6) AS nuc_mean, round(nuc_median, 6) AS nuc_median, round(nuc_std, 6) AS nuc_std, round(nuc_p90, 6) AS nuc_p90, nuc_px, round(ring_mean, 6) AS ring_mean, round(ring_median, 6) AS ring_median, ring_px, round(cell_sum, 6) AS cell_sum FROM st", True),
     ),
     "g14_region_background": (
-        lambda s, d: rounded(it.region_background(fx.channel_pixels(s, d), _drawn(s, d)).select("movie_id", "frame", "bg", "free"), "free"),
+        lambda s, d: rounded(it.region_background(fx.channel_pixels(s, d), _drawn(s, d)).select("movie_id", "frame", "bg", F.round("free", 9).alias("free"))),
         duck(""", dn AS (SELECT frame, y, x FROM mask_pixels WHERE label % 5 = 2 AND frame % 3 < 2), tt AS (SELECT frame, count(*) AS n FROM channel_pixels GROUP BY frame),
-md AS (SELECT frame, median(value) AS bg, count(*) AS k FROM channel_pixels JOIN dn USING (frame, y, x) GROUP BY frame) SELECT frame, coalesce(bg, 0) AS bg, round(coalesce(k, 0) / n, 6) AS free FROM tt LEFT JOIN md USING (frame)""", True),
+md AS (SELECT frame, median(value) AS bg, count(*) AS k FROM channel_pixels JOIN dn USING (frame, y, x) GROUP BY frame) SELECT frame, coalesce(bg, 0) AS bg, round(coalesce(k, 0) / n, 9) AS free FROM tt LEFT JOIN md USING (frame)""", True),
     ),
     "g16_g23_ratios": (lambda s, d: rounded(it.readout(_stats(s, d)).select("movie_id", "frame", "track_id", "cn", "nc"), "cn", "nc"), duck(_STATS + f" SELECT frame, label AS track_id, round({_CN}, 6) AS cn, round(1 / ({_CN}), 6) AS nc FROM st", True)),
     "g17_crowded": (lambda s, d: it.crowded(it.background(fx.channel_pixels(s, d), fx.mask_pixels(s, d), fx.frames(s, d)), 0.78).select("movie_id", "frame"), duck(_BG + " SELECT frame FROM bg WHERE n / (40 * 96) < 0.78", True)),

@@ -146,7 +146,7 @@ SELECT movie_id, track_id, s_area, s_mobility, s_lifetime, {_SCORE}, far FROM bl
     ),
     "t10_validation_sample": (lambda s, d: tg.validation_sample(tg.queue(_scores(s, d)).where("bucket = 'accept'")).select("movie_id", "track_id"), duck(_FLAGS + _METRICS[len(_STEP):] + _POP + _TRACES + f""", q AS (SELECT *, {_SCORE} FROM sc), z AS (SELECT lg.movie_id, track_id, abs(value - center) / scale AS z FROM lg JOIN pop USING (movie_id, trait)),
 dv AS (SELECT movie_id, track_id, round_even(CASE WHEN z <= 1 THEN 1 ELSE exp(-0.5 * power((z - 1) / 1.25, 2)) END, 3) AS dv FROM z), de AS (SELECT track_id, round_even(greatest(0, 1 - sum(1 - dv)), 6) AS deviation FROM dv GROUP BY ALL)
-SELECT movie_id, track_id FROM q LEFT JOIN de USING (track_id) WHERE score >= 0.85 AND NOT coalesce(deviation < 0.5, false) ORDER BY md5('0:' || movie_id || ':' || track_id) LIMIT 50""")),
+SELECT movie_id, track_id FROM q LEFT JOIN de USING (track_id) WHERE score >= 0.85 AND NOT coalesce(deviation < 0.5, false) QUALIFY row_number() OVER (PARTITION BY movie_id ORDER BY md5('0:' || movie_id || ':' || track_id)) <= 50""")),
     "t12_tally": (
         lambda s, d: tg.tally(_some(s, d, "track_id % 5 = 0"), _audit(s, d), _some(s, d, "track_id % 2 = 0")),
         duck(f", au AS (SELECT track_id, ts FROM ev1 WHERE {_ERROR}), ed AS (SELECT track_id, count(*) AS edits, max(ts) AS last_edit FROM au GROUP BY track_id) SELECT DISTINCT movie_id, track_id, coalesce(edits, 0) AS edits, last_edit, CASE WHEN edits > 0 AND track_id % 2 = 0 THEN 'fixed' WHEN edits > 0 THEN 'modified' WHEN track_id % 2 = 0 THEN 'correct' ELSE 'pending' END AS status FROM tracks LEFT JOIN ed USING (track_id) WHERE track_id % 5 = 0"),

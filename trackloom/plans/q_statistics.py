@@ -50,14 +50,14 @@ def _motility(s, d):
 
 
 QUERIES = {
-    "q1_lifetime_boxes": (lambda s, d: rounded(st.boxes(_summary(s, d), ["lifetime_h"], "fase", "is_mitotic"), *_BOX), duck(_SUMMARY + f" SELECT fase, is_mitotic, 'lifetime_h' AS metric, {_QB.format(v='lifetime_h')} FROM summary GROUP BY ALL")),
+    "q1_lifetime_boxes": (lambda s, d: rounded(st.boxes(_summary(s, d), ["lifetime_h"], "movie_id", "fase", "is_mitotic"), *_BOX), duck(_SUMMARY + f" SELECT movie_id, fase, is_mitotic, 'lifetime_h' AS metric, {_QB.format(v='lifetime_h')} FROM summary GROUP BY ALL")),
     "q2_migration_boxes": (
-        lambda s, d: rounded(st.boxes(_summary(s, d), ["mean_speed", "net_displacement", "directionality"], "fase"), *_BOX),
-        duck(_SUMMARY + ", u AS (UNPIVOT (SELECT fase, mean_speed, net_displacement, directionality FROM summary) ON mean_speed, net_displacement, directionality INTO NAME metric VALUE v) SELECT fase, metric, " + _QB.format(v="v") + " FROM u GROUP BY ALL"),
+        lambda s, d: rounded(st.boxes(_summary(s, d), ["mean_speed", "net_displacement", "directionality"], "movie_id", "fase"), *_BOX),
+        duck(_SUMMARY + ", u AS (UNPIVOT (SELECT movie_id, fase, mean_speed, net_displacement, directionality FROM summary) ON mean_speed, net_displacement, directionality INTO NAME metric VALUE v) SELECT movie_id, fase, metric, " + _QB.format(v="v") + " FROM u GROUP BY ALL"),
     ),
     "q3_motility_boxes": (
-        lambda s, d: rounded(st.boxes(rounded(_motility(s, d), *_MOTION).join(_summary(s, d).select("movie_id", "track_id", "fase"), ["movie_id", "track_id"]), _MOTION, "fase"), *_BOX),
-        f"WITH mot AS ({duck(_MOTILITY)}), ph AS ({duck(_SUMMARY + ' SELECT track_id, fase FROM summary')}), u AS (UNPIVOT (SELECT fase, {', '.join(c + '::DOUBLE AS ' + c for c in _MOTION)} FROM mot JOIN ph USING (track_id)) ON {', '.join(_MOTION)} INTO NAME metric VALUE v) SELECT fase, metric, {_QB.format(v='v')} FROM u GROUP BY ALL",
+        lambda s, d: rounded(st.boxes(rounded(_motility(s, d), *_MOTION).join(_summary(s, d).select("movie_id", "track_id", "fase"), ["movie_id", "track_id"]), _MOTION, "movie_id", "fase"), *_BOX),
+        f"WITH mot AS ({duck(_MOTILITY)}), ph AS ({duck(_SUMMARY + ' SELECT movie_id, track_id, fase FROM summary')}), u AS (UNPIVOT (SELECT ph.movie_id, fase, {', '.join(c + '::DOUBLE AS ' + c for c in _MOTION)} FROM mot JOIN ph USING (track_id)) ON {', '.join(_MOTION)} INTO NAME metric VALUE v) SELECT movie_id, fase, metric, {_QB.format(v='v')} FROM u GROUP BY ALL",
     ),
     "q4_area_by_frame": (lambda s, d: rounded(st.area_by_frame(fx.mask_pixels(s, d)), "mean_area"), duck(" SELECT frame, round(avg(n), 6) AS mean_area FROM (SELECT frame, label, count(*) AS n FROM mask_pixels GROUP BY ALL) GROUP BY frame", True)),
     "q5_outcomes": (lambda s, d: st.outcomes(_summary(s, d)), duck(_SUMMARY + " SELECT movie_id, final_outcome, count(*) AS n FROM summary GROUP BY ALL")),
@@ -65,7 +65,7 @@ QUERIES = {
     "q7_divisions": (lambda s, d: st.divisions(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(*) AS n FROM (SELECT movie_id, track_id, min(frame) AS frame FROM tracks WHERE parent_id > 0 GROUP BY ALL) GROUP BY ALL")),
     "q8_ensemble_msd": (lambda s, d: rounded(st.ensemble_msd(fx.tracks(s, d)), "msd"), duck(_STEP + ", l AS (SELECT a.movie_id, a.track_id, b.rn - a.rn AS lag, avg(power(b.pos_x - a.pos_x, 2) + power(b.pos_y - a.pos_y, 2)) AS m FROM st a JOIN st b ON a.track_id = b.track_id AND b.rn - a.rn BETWEEN 1 AND 20 GROUP BY ALL) SELECT movie_id, lag, round(avg(m), 6) AS msd, count(*) AS n FROM l GROUP BY ALL")),
     "q9_time_bins": (lambda s, d: rounded(st.time_bins(fx.tracks(s, d), "area_px"), *_BOX), duck(", e AS (SELECT min(frame) AS lo, max(frame) AS hi FROM tracks) SELECT movie_id, least(7, floor((frame - lo) * 8 / (hi - lo)))::BIGINT AS bin, " + _QB.format(v="area_px") + " FROM tracks CROSS JOIN e GROUP BY ALL")),
-    "q10_aggregated": (lambda s, d: rounded(st.aggregated(fx.tracks(s, d), "fase", "area_px", "median", "outcome"), "value"), duck(" SELECT outcome, fase, round(median(area_px), 6) AS value FROM tracks GROUP BY ALL")),
+    "q10_aggregated": (lambda s, d: rounded(st.aggregated(fx.tracks(s, d), "fase", "area_px", "median", "outcome"), "value"), duck(" SELECT movie_id, outcome, fase, round(median(area_px), 6) AS value FROM tracks GROUP BY ALL")),
     "q11_moving_average": (lambda s, d: rounded(st.moving_average(fx.tracks(s, d), "area_px", 5).select("event_id", "smooth"), "smooth"), duck(" SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY track_id) >= 5 THEN sum(area_px) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE area_px END, 6) AS smooth FROM tracks")),
     "q12_cumulative": (lambda s, d: st.cumulative_change(fx.tracks(s, d), "area_px").select("event_id", "cumulative"), duck(", x AS (SELECT *, coalesce(abs(area_px - lag(area_px) OVER (PARTITION BY track_id ORDER BY frame)), 0) AS dl FROM tracks) SELECT event_id, sum(dl) OVER (PARTITION BY track_id ORDER BY frame) AS cumulative FROM x")),
     "q13_spider": (lambda s, d: st.spider(fx.tracks(s, d)).select("event_id", "dx", "dy"), duck(" SELECT event_id, pos_x - first_value(pos_x) OVER w AS dx, pos_y - first_value(pos_y) OVER w AS dy FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY frame)")),
@@ -82,8 +82,9 @@ QUERIES = {
         duck(_STEP + ", w AS (SELECT a.movie_id, a.track_id, a.frame, sqrt(power(arg_max(b.pos_x, b.rn) - any_value(a.pos_x), 2) + power(arg_max(b.pos_y, b.rn) - any_value(a.pos_y), 2)) AS net, sum(b.step) FILTER (b.rn > a.rn) AS path, regr_slope(b.area_px, b.frame) AS sl FROM st a JOIN st b ON a.track_id = b.track_id AND b.rn BETWEEN a.rn AND a.rn + 5 GROUP BY a.movie_id, a.track_id, a.frame, a.rn HAVING count(*) = 6) SELECT movie_id, track_id, frame, round(net, 6) AS net, round(path, 6) AS path, round(CASE WHEN path > 0 THEN net / path END, 6) AS persistence, round(sl, 6) AS area_slope FROM w"),
     ),
     "q17_compared": (
-        lambda s, d: rounded(st.compared(_summary(s, d), ["mean_speed", "lifetime_h"], F.col("track_id") == 7), "value", "z"),
-        duck(_SUMMARY + """, g AS (SELECT track_id, 'all' AS "group", mean_speed, lifetime_h FROM summary UNION ALL SELECT track_id, CASE WHEN is_mitotic THEN 'mitotic' ELSE 'non-mitotic' END, mean_speed, lifetime_h FROM summary UNION ALL SELECT track_id, fase, mean_speed, lifetime_h FROM summary), l AS (UNPIVOT g ON mean_speed, lifetime_h INTO NAME metric VALUE v),
+        lambda s, d: rounded(st.compared(fx.tracks(s, d), _summary(s, d), ["mean_speed", "lifetime_h"], F.col("track_id") == 7), "value", "z"),
+        duck(_SUMMARY + """, bg AS (SELECT movie_id, track_id, arg_min(fase, frame) AS begun FROM tracks GROUP BY movie_id, track_id),
+g AS (SELECT track_id, 'all' AS "group", mean_speed, lifetime_h FROM summary UNION ALL SELECT track_id, CASE WHEN is_mitotic THEN 'mitotic' ELSE 'non-mitotic' END, mean_speed, lifetime_h FROM summary UNION ALL SELECT track_id, begun, mean_speed, lifetime_h FROM summary JOIN bg USING (movie_id, track_id)), l AS (UNPIVOT g ON mean_speed, lifetime_h INTO NAME metric VALUE v),
 a AS (SELECT "group", metric, median(v) AS med, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT l."group", l.metric, 1.4826 * median(abs(v - med)) AS sc FROM l JOIN a ON l."group" = a."group" AND l.metric = a.metric GROUP BY ALL),
 m AS (UNPIVOT (SELECT movie_id, track_id, mean_speed, lifetime_h FROM summary WHERE track_id = 7) ON mean_speed, lifetime_h INTO NAME metric VALUE v), z AS (SELECT m.movie_id, m.track_id, a."group", m.metric, v, n, CASE WHEN n < 3 THEN NULL WHEN sc > 0 THEN (v - med) / sc WHEN std > 0 THEN (v - mean) / std END AS z FROM m JOIN a ON a.metric = m.metric JOIN b ON b."group" = a."group" AND b.metric = a.metric WHERE n >= 2)
 SELECT movie_id, track_id, "group", metric, round(v, 6) AS value, n, round(z, 6) AS z, coalesce(abs(z) >= 3, false) AS outlier FROM z"""),
