@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trackloom.llm import hard_negatives, importance_resampling, simhash_index
+from trackloom.llm import hard_negatives, hash_forest, importance_resampling, simhash_index
 
 SCHEMA = "doc_id long, text string, key_score int, key_row string, n_words string, fp string, label int, part int, list string, mask int, bucket int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,3 +224,31 @@ def test_links_of_dense_fingerprints(spark, limit):
     assert all(len(g) == 1 for g in groups.values())
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
     assert len(found) < 3 * len(fps) * 6
+
+
+def test_nearest_of_few_rows(spark):
+    """Lengths of vectors keep tables of 2 to 300 rows apart in one run; each equals brute force, with a clashing column beside."""
+    rng = np.random.default_rng(6)
+    sizes = {3: 2, 4: 5, 5: 8, 6: 12, 7: 20, 8: 30, 9: 257}
+    rows = [(100 * width + i, rng.normal(size=width)) for width, n in sizes.items() for i in range(n)]
+    table = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in rows], "vec_id long, embedding array<double>, shard int, width string")
+    got = {}
+    for r in hash_forest.nearest(table, table.where("vec_id % 100 < 3"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, v in rows:
+        if q % 100 < 3:
+            near = sorted((np.sqrt(((w - v) ** 2).sum()), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+            assert sorted(got[q]) == [(k + 1, i) for k, (_, i) in enumerate(near)]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = hash_forest.nearest(table, table.where("vec_id % 100 = 0"), 10).collect()
+    want = set()
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want |= {(ids[q], ids[i]) for i in [i for i in np.lexsort((ids, d)) if i != q][:10]}
+    assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)

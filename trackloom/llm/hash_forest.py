@@ -25,6 +25,8 @@ TREES, BITS = 40, 24
 SHARD_ROWS, QUERY_BLOCK = 8192, 8192
 #: Part of a shard's rows at which the ascent ends. Recall on vectors spread evenly over a sphere needs as much.
 ENOUGH = 0.6
+#: Rows below which the ascent never ends, the query itself not counted: shards of fewer rows are compared as a whole.
+LEAST = 256
 
 
 def usable(vector: Column) -> Column:
@@ -111,7 +113,8 @@ def _searched(sent, k: int, enough: float):
         for a in range(0, len(rows), 512):
             lo, hi = forest.ranges(q[a : a + 512])
             for i in range(a, min(a + 512, len(rows))):
-                near = forest.candidates(lo[:, :, i - a], hi[:, :, i - a], enough * len(ids))
+                own = int((ids == query_ids[i]).sum())
+                near = forest.candidates(lo[:, :, i - a], hi[:, :, i - a], max(enough * len(ids), max(LEAST, k) + own))
                 near = near[ids[near] != query_ids[i]]
                 score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                 if len(near) > k:
