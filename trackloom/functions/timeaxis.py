@@ -21,6 +21,18 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def natural_key(name: Column) -> Column:
+    """A key under which names sort by the numbers in them: ``img2`` before ``img10``. Runs of digits are brought to 40 places."""
+    padded = F.regexp_replace(name, r"(\d+)", "0" * 40 + "$1")
+    return F.regexp_replace(padded, r"\d*(\d{40})(?!\d)", "$1")
+
+
+def numbered_files(files: DataFrame) -> DataFrame:
+    """The files (movie_id, filename) of each movie with ``frame`` from 0 in natural order of their names, folders included."""
+    order = Window.partitionBy("movie_id").orderBy(natural_key(F.col("filename")), "filename")
+    return files.withColumn("frame", (F.row_number().over(order) - 1).cast("long"))
+
+
 def _hours(name: Column, pattern: str, kinds: tuple[str, ...]) -> Column:
     part = lambda i: F.regexp_extract(name, pattern, i + 1)
     total = sum((part(i).try_cast("double") * _HOURS[k] for i, k in enumerate(kinds)), F.lit(0.0))

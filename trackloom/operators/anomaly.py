@@ -141,6 +141,21 @@ def gap_fills(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return filled.select(*TRACK, F.col("at").alias("frame"), (F.col("pos_x") + part * (F.col("x1") - F.col("pos_x"))).alias("pos_x"), (F.col("pos_y") + part * (F.col("y1") - F.col("pos_y"))).alias("pos_y"))
 
 
+def predicted_paths(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """Positions of tracks in the asked (movie_id, track_id, frame): linear between the rows around a frame, flat before the first and after the last.
+
+    A track without any row has no prediction. Rows and asked frames of a track meet in one window, each asked frame once.
+    """
+    known = df.where(valid()).select(*TRACK, "frame", F.struct(F.col("frame").alias("f"), F.col("pos_x").alias("x"), F.col("pos_y").alias("y")).alias("at"))
+    both = known.withColumn("ask", F.lit(0)).unionByName(asked.select(*TRACK, "frame").distinct().withColumn("ask", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy(*TRACK).orderBy("frame", "ask")
+    rows = both.withColumns({"a": F.last("at", ignorenulls=True).over(order), "b": F.first("at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    rows = rows.where("ask = 1 AND (a IS NOT NULL OR b IS NOT NULL)")
+    part = (F.col("frame") - F.col("a.f")) / (F.col("b.f") - F.col("a.f"))
+    between = lambda c: F.when(F.col("a").isNull(), F.col(f"b.{c}")).when(F.col("b").isNull() | (F.col("a.f") == F.col("frame")), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + part * (F.col(f"b.{c}") - F.col(f"a.{c}")))
+    return rows.select(*TRACK, "frame", between("x").alias("pos_x"), between("y").alias("pos_y"))
+
+
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """bin (from 0) and count over the range of each movie's values; the maximum lies in the last bin."""
     ends = df.groupBy("movie_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

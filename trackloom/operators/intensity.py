@@ -37,9 +37,9 @@ def region_background(channel: DataFrame, region: DataFrame) -> DataFrame:
     return total.join(drawn, key, "left").select(*key, F.coalesce("bg", F.lit(0.0)).alias("bg"), (F.coalesce("n", F.lit(0)) / F.col("all")).alias("free"))
 
 
-def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: int = 1, width: int = 3, ellipse: bool = False) -> DataFrame:
+def compartment_stats(channel: DataFrame, mask: DataFrame, bg: DataFrame, gap: int = 1, width: int = 3, ellipse: bool = False, neighbor_gap: int = 0) -> DataFrame:
     """Statistics of background-corrected values in nucleus, ring (of the contour or of an ellipse) and both, one row for each object, and their ratios."""
-    ring = (ellipse_rings if ellipse else rings)(mask, gap, width)
+    ring = (ellipse_rings if ellipse else rings)(mask, gap, width, neighbor_gap)
     parts = mask.select(*OBJECT, "y", "x", F.array(F.lit("nuc"), F.lit("cell")).alias("p")).unionByName(ring.select(*OBJECT, "y", "x", F.array(F.lit("ring"), F.lit("cell")).alias("p")))
     values = channel.join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"]).withColumn("v", F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)))
     rows = parts.join(values, PIXEL).select("channel", *OBJECT, F.explode("p").alias("part"), "v")

@@ -77,21 +77,31 @@ def lineage_roots(df: DataFrame) -> DataFrame:
 
 
 def labels(df: DataFrame) -> DataFrame:
-    """movie_id, track_id, label, generation: roots numbered by (first frame, id), children ``.k`` by (birth, id)."""
+    """movie_id, track_id, label, generation: roots numbered by (first frame, id), children ``.k`` by (birth, id).
+
+    Each track holds the way up to some ancestor; a round puts the ancestor's own way before it, so the rounds are the
+    logarithm of the depth. Tracks on or below a cycle have no root and no label.
+    """
     first = spans(df).select(*TRACK, "first_frame")
     edges = parent_map(df)
     far = F.coalesce("first_frame", F.lit(10**9))
     top = lineage_roots(df).join(edges.select("movie_id", F.col("child").alias("track_id")), TRACK, "left_anti").join(first, TRACK, "left")
-    level = stored(top.select(*TRACK, F.row_number().over(Window.partitionBy("movie_id").orderBy(far, "track_id")).cast("string").alias("label"), F.lit(0).cast("long").alias("generation")), "labels")
+    top = stored(top.select(*TRACK, F.row_number().over(Window.partitionBy("movie_id").orderBy(far, "track_id")).cast("string").alias("label")), "labels")
+    below = roots(df).join(top.select("movie_id", F.col("track_id").alias("root_id"), "label"), ["movie_id", "root_id"]).where("track_id <> root_id")
     order = Window.partitionBy("movie_id", "parent").orderBy(far, "child")
-    ranked = stored(edges.join(first.withColumnRenamed("track_id", "child"), ["movie_id", "child"], "left").withColumn("k", F.row_number().over(order)).select("movie_id", "parent", "child", "k"), "siblings")
-    out = level
-    while True:  # a track has one parent and a root none, so no cycle is entered
-        level = stored(level.join(ranked, (ranked["movie_id"] == level["movie_id"]) & (ranked["parent"] == level["track_id"])).select(level["movie_id"], ranked["child"].alias("track_id"), F.concat_ws(".", "label", "k").alias("label"), (F.col("generation") + 1).alias("generation")), "labels")
-        if level.isEmpty():
+    ranked = edges.join(first.withColumnRenamed("track_id", "child"), ["movie_id", "child"], "left").withColumn("k", F.row_number().over(order))
+    steps = ranked.select("movie_id", F.col("child").alias("track_id"), F.col("parent").alias("up"), F.col("k").cast("string").alias("way"), F.lit(1).cast("long").alias("generation"))
+    at = stored(steps.join(below.select(*TRACK), TRACK, "left_semi"), "ways")
+    while True:
+        far = at.select("movie_id", F.col("track_id").alias("up"), F.col("up").alias("next"), F.col("way").alias("before"), F.col("generation").alias("more"))
+        new = at.join(far, ["movie_id", "up"], "left").withColumn("moved", F.col("next").isNotNull())
+        change = {"way": F.concat_ws(".", "before", "way"), "generation": F.col("generation") + F.coalesce("more", F.lit(0)), "up": F.coalesce("next", "up")}
+        new = stored(new.withColumns(change).select(*TRACK, "up", "way", "generation", "moved"), "ways")
+        at = new.drop("moved")
+        if new.where("moved").isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+    named = at.join(below.select(*TRACK, "label"), TRACK).select(*TRACK, F.concat_ws(".", "label", "way").alias("label"), "generation")
+    return top.withColumn("generation", F.lit(0).cast("long")).unionByName(named)
 
 
 def violations(df: DataFrame) -> DataFrame:

@@ -171,11 +171,34 @@ def ball(pixels: DataFrame, radius: int, *keep: str) -> DataFrame:
     return pixels.select("movie_id", "frame", *keep, "y", "x", F.explode(away).alias("d")).select("movie_id", "frame", *keep, (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x")).distinct()
 
 
-def rings(mask: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
-    """Pixels around each nucleus, ``gap`` away and ``width`` wide, outside all nuclei."""
+def nearest_two(mask: DataFrame, radius: int) -> DataFrame:
+    """movie_id, frame, y, x, nearest, second: the labels of the two nearest nuclei within L1 distance ``radius`` of a pixel, ties to the smaller label.
+
+    A pixel of a nucleus is its own nearest. ``second`` is null where only one nucleus is that near.
+    """
+    away = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(abs(dy) + abs(dx)).alias("d")) for dy in range(-radius, radius + 1) for dx in range(-radius + abs(dy), radius - abs(dy) + 1)))
+    seen = boundary(mask).select(*OBJECT, "y", "x", F.explode(away).alias("o")).select(*OBJECT, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.d").alias("d"))
+    seen = seen.unionByName(mask.select(*OBJECT, "y", "x", F.lit(0).alias("d")))
+    near = seen.groupBy("movie_id", "frame", "y", "x", "label").agg(F.min("d").alias("d"))
+    order = Window.partitionBy("movie_id", "frame", "y", "x").orderBy("d", "label")  # the few nuclei around a pixel
+    two = near.withColumn("r", F.row_number().over(order)).where("r <= 2")
+    return two.groupBy("movie_id", "frame", "y", "x").agg(F.max(F.when(F.col("r") == 1, F.col("label"))).alias("nearest"), F.max(F.when(F.col("r") == 2, F.col("label"))).alias("second"))
+
+
+def _clear(ring: DataFrame, mask: DataFrame, neighbor_gap: int) -> DataFrame:
+    """Pixels (OBJECT, y, x) around a nucleus that lie outside all nuclei and farther than ``neighbor_gap`` from every other one."""
+    at = ["movie_id", "frame", "y", "x"]
+    out = ring.join(mask.select(*at), at, "left_anti")
+    if neighbor_gap > 0:
+        out = out.join(nearest_two(mask, neighbor_gap), at, "left").where("nearest IS NULL OR (nearest = label AND second IS NULL)")
+    return out.select(*OBJECT, "y", "x")
+
+
+def rings(mask: DataFrame, gap: int = 1, width: int = 3, neighbor_gap: int = 0) -> DataFrame:
+    """Pixels around each nucleus, ``gap`` away and ``width`` wide, outside all nuclei and more than ``neighbor_gap`` from every other one."""
     edge = boundary(mask)  # the ball around an object is the object and the ball around its boundary
     out = ball(edge, gap + width, "label").join(ball(edge, gap, "label"), [*OBJECT, "y", "x"], "left_anti") if gap else ball(edge, width, "label")
-    return out.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti").select(*OBJECT, "y", "x")
+    return _clear(out, mask, neighbor_gap)
 
 
 def around(mask: DataFrame, radius: int) -> DataFrame:
@@ -186,9 +209,10 @@ def around(mask: DataFrame, radius: int) -> DataFrame:
     return near.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti")
 
 
-def ellipse_rings(mask: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
-    """Pixels between two ellipses around each nucleus, outside all nuclei: the ellipse of its moments grown by ``gap`` and by ``gap + width``.
+def ellipse_rings(mask: DataFrame, gap: int = 1, width: int = 3, neighbor_gap: int = 0) -> DataFrame:
+    """Pixels between two ellipses around each nucleus: the ellipse of its moments grown by ``gap`` and by ``gap + width``.
 
+    They lie outside all nuclei and more than ``neighbor_gap`` from every other nucleus.
     A nucleus without extent along one axis (a line or a single pixel) has the ring of its contour instead.
     """
     vx, vy, cov = F.col("vx"), F.col("vy"), F.col("cov")
@@ -206,8 +230,8 @@ def ellipse_rings(mask: DataFrame, gap: int = 1, width: int = 3) -> DataFrame:
     within = lambda k: F.col("major") / F.pow(F.col("a") + k, 2) + F.col("minor") / F.pow(F.col("b") + k, 2) <= 1
     found = box.where(within(gap + width))
     found = found.where(~within(gap)) if gap else found
-    found = found.join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti").select(*OBJECT, "y", "x")
-    return found.unionByName(rings(mask.join(shape.where(flat).select(*OBJECT), OBJECT, "left_semi"), gap, width).join(mask.select("movie_id", "frame", "y", "x"), ["movie_id", "frame", "y", "x"], "left_anti"))
+    thin = rings(mask.join(shape.where(flat).select(*OBJECT), OBJECT, "left_semi"), gap, width)
+    return _clear(found.select(*OBJECT, "y", "x").unionByName(thin), mask, neighbor_gap)
 
 
 def inside() -> Column:

@@ -103,6 +103,20 @@ def _drifted(s, d):
     return fx.channel_pixels(s, d).withColumns({"channel": F.lit("drifted"), "y": F.col("y") + 1, "x": F.col("x") + shift}).where("y < 40 AND x < 96")
 
 
+#: Pixels of rings inside the image that no other nucleus is within two steps of.
+_APART = """
+SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places
+FROM {ring} r
+WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 95
+  AND NOT EXISTS (SELECT 1 FROM mask_pixels m WHERE m.frame = r.frame AND m.label <> r.label AND abs(m.x - r.x) + abs(m.y - r.y) <= 2)
+GROUP BY frame, label"""
+
+
+def _places(ring, s, d):
+    inside = ring.join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside())
+    return inside.groupBy("movie_id", "frame", "label").agg(F.count("*").alias("n"), F.sum(F.col("y") * 96 + F.col("x")).alias("places"))
+
+
 QUERIES = {
     "g1_centroids": (lambda s, d: rounded(px.centroids(fx.mask_pixels(s, d)), "x", "y"), duck("SELECT frame, label, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM mask_pixels GROUP BY ALL", True)),
     "g2_areas": (lambda s, d: px.areas(fx.mask_pixels(s, d), 0.25), duck("SELECT frame, label, count(*) * 0.25::DOUBLE AS area FROM mask_pixels GROUP BY ALL", True)),
@@ -122,6 +136,14 @@ QUERIES = {
     ),
     "g12_rings": (lambda s, d: px.rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("movie_id", "frame", "label").agg(F.count("*").alias("n")), duck(_RING + " SELECT frame, label, count(*) AS n FROM ring2 WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 95 GROUP BY ALL", True)),
     "g13_ellipse_rings": (lambda s, d: px.ellipse_rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("movie_id", "frame", "label").agg(F.count("*").alias("n"), F.sum(F.col("y") * 96 + F.col("x")).alias("places")), duck(_ELLIPSE + " SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places FROM er GROUP BY ALL", True)),
+    "g12_rings_clear": (
+        lambda s, d: _places(px.rings(fx.mask_pixels(s, d), neighbor_gap=2), s, d),
+        duck(_RING + _APART.format(ring="ring2"), True),
+    ),
+    "g13_ellipse_rings_clear": (
+        lambda s, d: _places(px.ellipse_rings(fx.mask_pixels(s, d), neighbor_gap=2), s, d),
+        duck(_ELLIPSE + _APART.format(ring="er"), True),
+    ),
     "g14_background": (
         lambda s, d: rounded(it.background(fx.channel_pixels(s, d), fx.mask_pixels(s, d), fx.frames(s, d), "far_from_cells", 6).select("movie_id", "frame", "bg", "free"), "bg", "free"),
         duck(_BG + ", ds AS (SELECT c.frame, c.y, c.x, any_value(c.value) AS value, min(abs(c.x - m.x) + abs(c.y - m.y)) AS d FROM channel_pixels c JOIN mask_pixels m ON c.frame = m.frame GROUP BY ALL), fb AS (SELECT frame, median(value) FILTER (d > 6) AS b, count(*) FILTER (d > 6) / count(*) AS free FROM ds GROUP BY frame) SELECT fb.frame, round(coalesce(b, bg), 6) AS bg, round(free, 6) AS free FROM fb JOIN bg USING (frame)", True),

@@ -73,6 +73,12 @@ w2 AS (SELECT frame, count(*) FILTER (e) AS ne, coalesce(string_agg(track_id::VA
 o AS (SELECT 0::BIGINT AS movie_id, a.frame, a.n AS n_prev, b.n AS n_curr, b.n - a.n AS observed_delta, coalesce(nb, 0) - coalesce(ne, 0) AS expected_delta, coalesce(appeared, '') AS appeared, coalesce(disappeared, '') AS disappeared FROM cnt a JOIN cnt b ON b.frame = a.frame + 1 LEFT JOIN c2 ON c2.frame = a.frame LEFT JOIN w2 ON w2.frame = a.frame)
 SELECT movie_id, frame, n_prev, n_curr, observed_delta, expected_delta, observed_delta - expected_delta AS residual, appeared, disappeared FROM o WHERE abs(observed_delta - expected_delta) >= 1 OR appeared <> '' OR disappeared <> ''"""
 
+def _asked(s, d):
+    """Frames before, at, between and after the rows of every third track."""
+    ends = fx.tracks(s, d).where("track_id % 3 = 0").groupBy("movie_id", "track_id").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+    return ends.select("movie_id", "track_id", F.expr("explode(array(f0 - 5, f0, f0 + 21, f0 + 22, (f0 + f1) div 2, f1, f1 + 7))").alias("frame")).distinct()
+
+
 QUERIES = {
     "a1_short_tracks": (  # no track of the fixture is shorter than the default
         lambda s, d: an.track_flags(fx.tracks(s, d), an.Thresholds(min_valid_frames=70)).where("short").select("movie_id", "track_id", "n"),
@@ -105,6 +111,18 @@ SELECT movie_id, track_id, gap_start, gap_end, gap_end - gap_start + 1 AS missin
         lambda s, d: rounded(an.gap_fills(fx.tracks(s, d)), "pos_x", "pos_y"),
         duck(", g AS (SELECT movie_id, track_id, frame AS f0, pos_x, pos_y, lead(frame) OVER w AS f1, lead(pos_x) OVER w AS x1, lead(pos_y) OVER w AS y1 FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY frame)), e AS (SELECT *, unnest(range(f0 + 1, f1)) AS frame FROM g WHERE f1 - f0 - 1 BETWEEN 1 AND 12) SELECT movie_id, track_id, frame, round(pos_x + (frame - f0) * (x1 - pos_x) / (f1 - f0), 6) AS pos_x, round(pos_y + (frame - f0) * (y1 - pos_y) / (f1 - f0), 6) AS pos_y FROM e"),
     ),
+    "a9_predicted_paths": (
+        lambda s, d: rounded(an.predicted_paths(fx.tracks(s, d), _asked(s, d)), "pos_x", "pos_y"),
+        duck("""
+, sp AS (SELECT movie_id, track_id, min(frame) AS f0, max(frame) AS f1 FROM tracks WHERE track_id % 3 = 0 GROUP BY movie_id, track_id),
+ask AS (SELECT DISTINCT movie_id, track_id, unnest([f0 - 5, f0, f0 + 21, f0 + 22, (f0 + f1) // 2, f1, f1 + 7]) AS frame FROM sp),
+a AS (SELECT ask.*, t.frame AS fa, t.pos_x AS xa, t.pos_y AS ya FROM ask ASOF LEFT JOIN tracks t ON ask.movie_id = t.movie_id AND ask.track_id = t.track_id AND ask.frame >= t.frame),
+b AS (SELECT a.*, t.frame AS fb, t.pos_x AS xb, t.pos_y AS yb FROM a ASOF LEFT JOIN tracks t ON a.movie_id = t.movie_id AND a.track_id = t.track_id AND a.frame <= t.frame)
+SELECT movie_id, track_id, frame,
+       round(CASE WHEN fa IS NULL THEN xb WHEN fb IS NULL OR fa = frame THEN xa ELSE xa + (frame - fa) / (fb - fa) * (xb - xa) END, 6) AS pos_x,
+       round(CASE WHEN fa IS NULL THEN yb WHEN fb IS NULL OR fa = frame THEN ya ELSE ya + (frame - fa) / (fb - fa) * (yb - ya) END, 6) AS pos_y
+FROM b"""),
+    ),
     "a12_displacement_histogram": (
         lambda s, d: an.histogram(fx.tracks(s, d).withColumn("step", step()), "step", 40),
         duck(_STEP + ", b AS (SELECT min(step) AS lo, max(step) AS hi FROM st) SELECT 0::BIGINT AS movie_id, least(39, floor((step - lo) * 40 / (hi - lo)))::BIGINT AS bin, count(*) AS n FROM st CROSS JOIN b WHERE step IS NOT NULL GROUP BY ALL"),

@@ -95,6 +95,10 @@ SELECT movie_id, track_id, "group", metric, round(v, 6) AS value, n, round(z, 6)
         lambda s, d: rounded(ta.time_table(_files(s, d)).select("movie_id", "frame", "tempo_h", "dt_h", "modal_h", "gap", "source"), "tempo_h", "dt_h"),
         duck(_FILES + " SELECT movie_id, frame, tempo_h, dt_h, modal_h, coalesce(dt_h > modal_h + 1e-6, false) AS gap, 'filename' AS source FROM tt CROSS JOIN md"),
     ),
+    "m2_numbered_files": (
+        lambda s, d: ta.numbered_files(fx.tracks(s, d).select("movie_id", F.concat(F.lit("a10/img"), F.col("frame"), F.lit("_c1.tif")).alias("filename")).distinct()),
+        duck(" SELECT movie_id, 'a10/img' || frame || '_c1.tif' AS filename, row_number() OVER (PARTITION BY movie_id ORDER BY frame) - 1 AS frame FROM (SELECT DISTINCT movie_id, frame FROM tracks)"),
+    ),
     "m4_drift_summary": (lambda s, d: rounded(ta.drift_summary(ta.time_table(_files(s, d))), "span_h", "regular_h"), duck(_FILES + " SELECT movie_id, max(tempo_h) AS span_h, (count(*) - 1) * any_value(modal_h) AS regular_h, count(*) FILTER (dt_h > modal_h + 1e-6) AS gaps FROM tt CROSS JOIN md GROUP BY movie_id")),
     "m5_phases": (lambda s, d: fx.tracks(s, d).select("event_id", ta.phase(F.col("frame"), F.lit(100), F.when(F.col("track_id") % 2 == 0, -1).otherwise(300), F.col("track_id") % 5 == 0).alias("fase")), duck(" SELECT event_id, CASE WHEN track_id % 5 = 0 OR frame < 100 THEN 'control' WHEN track_id % 2 <> 0 AND frame > 300 THEN 'washout' ELSE 'treated' END AS fase FROM tracks")),
     "s1_s2_generic_table": (lambda s, d: tb.generic_table(_foreign(s, d)).select("event_id", "track_id", "frame", "pos_x", "pos_y", "outcome"), duck(" SELECT event_id, track_id, CASE WHEN event_id % 10 <> 0 THEN frame END AS frame, pos_x, pos_y, 'fim' AS outcome FROM tracks")),
