@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import anomaly, edits, intensity, lineage, pixels, statistics, trajectory, triage
+from trackloom.operators import anomaly, clean, edits, intensity, lineage, pixels, statistics, trajectory, triage
 from trackloom.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,10 @@ TRACKS = {
     "calibration": lambda t: triage.calibration(triage.scores(t), t.where("track_id % 9 = 0")),
     "summary": trajectory.track_summary,
     "motility": trajectory.motility,
+    "aggregated": lambda t: statistics.aggregated(t, "fase", "area_px", "sum", "outcome"),
+    "compared": lambda t: statistics.compared(t, trajectory.track_summary(t), ["mean_speed"], F.col("track_id") < 9),
+    "sample": lambda t: triage.validation_sample(t.select("movie_id", "track_id").distinct(), 3),
+    "thresholds": clean.adaptive_thresholds,
     "outcomes": lambda t: statistics.outcomes(trajectory.track_summary(t)),
     "growth": statistics.growth,
     "exchanged": lambda t: edits.swap_from(t, no_mask(t), swaps(t))[0],

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
 from ..operators import statistics as st
 from ..operators import trajectory as tr
+from ..sources import published as pb
 from ..sources import tables as tb
+from ..sources.work import shared_dir
 from . import fixtures as fx
 from .fixtures import duck
 from .q_trajectory import _MOTILITY, _STEP, _SUMMARY, rounded
@@ -49,6 +53,40 @@ def _motility(s, d):
     return tr.motility(fx.tracks(s, d))
 
 
+def _folder(s, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _opened(s, d):
+    """The tracks written as a spots export with header remnants, and opened by what the header says."""
+    path = _folder(s, "spots")
+    frame = F.when(F.col("event_id") % 10 == 0, F.lit("Frame")).otherwise(F.col("frame").cast("string"))
+    rows = fx.tracks(s, d).select(F.col("event_id").alias("SPOT_ID"), F.col("track_id").alias("TRACK_ID"), frame.alias("FRAME"), F.round("pos_x", 3).alias("POSITION_X"), F.round("pos_y", 3).alias("POSITION_Y"))
+    rows.write.option("header", True).csv(path)
+    return tb.opened(s, path)
+
+
+def _reopened(s, d):
+    """The tracks saved as CSV, every tenth row with a frame that is no number, every fourth without a parent, and read again."""
+    path = _folder(s, "saved")
+    frame = F.when(F.col("event_id") % 10 == 0, F.lit("?")).otherwise(F.col("frame").cast("string"))
+    parent = F.when(F.col("event_id") % 4 != 0, F.col("parent_id").cast("double"))
+    rows = fx.tracks(s, d).select("event_id", "track_id", frame.alias("frame"), F.round("pos_x", 3).alias("pos_x"), parent.alias("parent_id"), "outcome", "at_border")
+    rows.write.option("header", True).csv(path)
+    return tb.reopened(s, path)
+
+
+def _published(s, d):
+    """Two versions of the derived tables; the latest summary of validated tracks is read."""
+    path = _folder(s, "versions")
+    tracks, summary = fx.tracks(s, d), _summary(s, d)
+    features = tracks.select("movie_id", "track_id", "frame", F.col("area_px").alias("gfp_mean"))
+    for version, k in (("v1", 2), ("v2", 3)):
+        validated = tracks.where(F.col("track_id") % k == 0)
+        pb.publish(pb.derived(tracks, features, st.growth(tracks).withColumn("track_id", F.col("n")), summary, validated, ["gfp"]), path, version, {"pixel_size": 1.0})
+    return pb.table(s, path, "summary_validated").select("movie_id", "track_id", "fase", "final_outcome")
+
+
 QUERIES = {
     "q1_lifetime_boxes": (lambda s, d: rounded(st.boxes(_summary(s, d), ["lifetime_h"], "movie_id", "fase", "is_mitotic"), *_BOX), duck(_SUMMARY + f" SELECT movie_id, fase, is_mitotic, 'lifetime_h' AS metric, {_QB.format(v='lifetime_h')} FROM summary GROUP BY ALL")),
     "q2_migration_boxes": (
@@ -105,6 +143,21 @@ SELECT movie_id, track_id, "group", metric, round(v, 6) AS value, n, round(z, 6)
     "s4_spots_export": (lambda s, d: tb.spots_export(_foreign(s, d).withColumnsRenamed({"TrackID": "TRACK_ID", "Y": "POSITION_Y"})).select("event_id", "track_id", "frame"), duck(" SELECT event_id, track_id, frame FROM tracks WHERE event_id % 10 <> 0")),
     "s5_track_list": (lambda s, d: tb.track_list(_lists(s, d)).groupBy("track_id", "parent_id").agg(F.count("*").alias("n"), F.min("frame").alias("first")), duck(", t AS (SELECT track_id, min(frame) AS b, max(frame) AS e, max(parent_id) AS p FROM tracks GROUP BY ALL) SELECT track_id, CASE WHEN p > 0 THEN p ELSE -1 END AS parent_id, e - b + 1 AS n, b AS first FROM t WHERE track_id % 10 <> 0")),
     "s7_load": (lambda s, d: tb.load(_foreign(s, d)).select("event_id", "movie_id", "outcome", "parent_id", "continuous_label"), duck(" SELECT event_id, movie_id, 'Exit' AS outcome, -1::BIGINT AS parent_id, track_id AS continuous_label FROM tracks")),
+    "s1_opened": (
+        lambda s, d: _opened(s, d).select("track_id", "frame", "pos_x", "pos_y"),
+        duck(" SELECT track_id, frame, round(pos_x, 3) AS pos_x, round(pos_y, 3) AS pos_y FROM tracks WHERE event_id % 10 <> 0"),
+    ),
+    "s8_reopened": (
+        lambda s, d: _reopened(s, d).select("event_id", "track_id", "frame", "pos_x", "parent_id", "outcome", "at_border", F.col("bad_record").isNotNull().alias("bad")),
+        duck("""
+SELECT event_id::VARCHAR AS event_id, track_id, CASE WHEN event_id % 10 <> 0 THEN frame END AS frame, round(pos_x, 3) AS pos_x,
+       CASE WHEN event_id % 4 = 0 THEN -1 ELSE parent_id END AS parent_id, outcome, at_border, event_id % 10 = 0 AS bad
+FROM tracks"""),
+    ),
+    "s9_published": (
+        lambda s, d: _published(s, d),
+        duck(_SUMMARY + " SELECT movie_id, track_id, fase, final_outcome FROM summary WHERE track_id % 3 = 0"),
+    ),
     "s10_channel_columns": (lambda s, d: tb.channel_columns(fx.tracks(s, d).withColumn("gfp_mean", F.col("area_px") * 2).withColumn("rfp_mean", F.lit(1.0)), "gfp"), duck(" SELECT movie_id, track_id, frame, area_px * 2 AS gfp_mean FROM tracks")),
     "s13_review_progress": (
         lambda s, d: tb.progress(tb.marked(*(fx.tracks(s, d).where(c).select("movie_id", F.lit("cell").alias("kind"), F.col("track_id").alias("id")).distinct() for c in ("track_id % 3 = 0", "track_id % 5 = 0", "track_id % 15 = 0"))), fx.tracks(s, d).select("movie_id", F.col("track_id").alias("id")).distinct()),

@@ -31,11 +31,22 @@ CANDIDATES = {
     "parent_id": ["Parent_ID", "parent_id", "ParentID", "PARENT_ID", "mother_id", "MotherID", "parent", "Parent"],
 }
 
+# Source names tried for each column of a spots export.
+SPOTS = {
+    "track_id": ["TRACK_ID", "track_id", "TrackID"],
+    "frame": ["FRAME", "POSITION_T", "frame", "t"],
+    "pos_x": ["POSITION_X", "X", "x"],
+    "pos_y": ["POSITION_Y", "Y", "y"],
+}
+
+# The ids of quarantined tracks.
 QUARANTINE_FROM, QUARANTINE_TO = 1_000_000_000, 1_500_000_000
 
 
 @dataclass(frozen=True)
 class Thresholds:
+    """The default limits of all checks."""
+
     min_valid_frames: int = 20
     max_jump_px: float = 40.0
     gap_tolerance: int = 1
@@ -50,5 +61,5 @@ class Thresholds:
     max_gap_fill: int = 12
 
 
-#: What a penalty takes from a track's score.
+# What a penalty takes from a track's score.
 PENALTIES = {"no_outcome": 0.45, "jump": 0.30, "gap": 0.20, "incoherent": 0.25, "area_jump": 0.10}

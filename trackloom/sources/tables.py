@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import TRACK
 from ..operators import clean
-from ..schema import CANDIDATES
+from ..schema import CANDIDATES, SPOTS
 
 NUMERIC = {"track_id": "bigint", "frame": "bigint", "pos_x": "double", "pos_y": "double", "parent_id": "bigint"}
 
 
-def guessed_columns(names: list[str], given: dict[str, str] | None = None) -> dict[str, str]:
+def guessed_columns(names: list[str], given: dict[str, str] | None = None, candidates: dict[str, list[str]] = CANDIDATES) -> dict[str, str]:
     """Target to source name: as given, else the likeliest candidate, in its own letter case before any other."""
     lower = {n.lower(): n for n in reversed(names)}
     found = {}
-    for target, candidates in CANDIDATES.items():
+    for target, tried in candidates.items():
         if given and given.get(target):
             found[target] = given[target]
             continue
-        hit = next((n for c in candidates for n in (c if c in names else lower.get(c.lower()),) if n), None)
+        hit = next((n for c in tried for n in (c if c in names else lower.get(c.lower()),) if n), None)
         if hit:
             found[target] = hit
     return found
@@ -28,7 +29,7 @@ def guessed_columns(names: list[str], given: dict[str, str] | None = None) -> di
 
 def standardised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Mapped columns under their own names; shadowed ones go; numbers that cannot be read become null."""
-    shadowed = [t for t, s in columns.items() if t in df.columns and s != t]
+    shadowed = [c for c in df.columns for t, s in columns.items() if c.lower() == t and c != s]
     df = df.drop(*shadowed).withColumnsRenamed({s: t for t, s in columns.items() if s != t})
     for c, kind in NUMERIC.items():
         if c in df.columns:
@@ -42,8 +43,8 @@ def generic_table(df: DataFrame, given: dict[str, str] | None = None) -> DataFra
 
 
 def spots_export(df: DataFrame) -> DataFrame:
-    """TRACK_ID, FRAME and POSITION_*; header remnants, rows without a frame, go."""
-    return standardised(df, {"track_id": "TRACK_ID", "frame": "FRAME", "pos_x": "POSITION_X", "pos_y": "POSITION_Y"}).dropna(subset=["frame"])
+    """A spots export by the first name of each column that is there; header remnants, rows without a frame, go."""
+    return standardised(df, guessed_columns(df.columns, candidates=SPOTS)).dropna(subset=["frame"])
 
 
 def track_list(lines: DataFrame) -> DataFrame:
@@ -65,15 +66,55 @@ def load(df: DataFrame, mask: DataFrame | None = None, frames: DataFrame | None
     return df
 
 
-def reopened(spark: SparkSession, path: str) -> DataFrame:
-    """A saved table in the internal schema, with missing outcomes '' and missing parents -1."""
-    return standardised(spark.read.option("header", True).csv(path), {}).withColumns({"outcome": F.coalesce("outcome", F.lit("")), "parent_id": F.coalesce("parent_id", F.lit(-1))})
+#: Columns of a saved table; whole numbers are read as doubles first, since other tools write them so where some are missing.
+SAVED = {
+    "movie_id": "bigint", "track_id": "bigint", "frame": "bigint", "pos_x": "double", "pos_y": "double", "outcome": "string", "parent_id": "bigint",
+    "continuous_label": "bigint", "area_px": "double", "fase": "string", "at_border": "boolean", "interpolated": "boolean",
+}
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, version: str) -> None:
-    """One folder for each table under a version; Spark's committer publishes each whole."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+def reopened(spark: SparkSession, path: str) -> DataFrame:
+    """A saved CSV table in the internal schema, its columns by name and with their own types.
+
+    Unknown columns stay strings. A value that its type cannot hold becomes null, and ``bad_record`` holds that line; else it is null.
+    Missing outcomes become '' and missing parents -1, as whole columns too.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    kind = lambda c: {"bigint": "double"}.get(SAVED.get(c, "string"), SAVED.get(c, "string"))
+    schema = T.StructType([T.StructField(c, T._parse_datatype_string(kind(c))) for c in [*names, "bad_record"]])
+    df = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", "bad_record").csv(path)
+    df = df.withColumns({c: F.col(c).try_cast("bigint") for c in names if SAVED.get(c) == "bigint"})
+    outcome = F.coalesce("outcome", F.lit("")) if "outcome" in names else F.lit("")
+    parent = F.coalesce("parent_id", F.lit(-1).cast("long")) if "parent_id" in names else F.lit(-1).cast("long")
+    return df.withColumns({"outcome": outcome, "parent_id": parent})
+
+
+def detected_format(names: list[str]) -> str:
+    """``spots`` for a spots export, ``tracks`` for a list of tracks, else ``generic``, from the names in a header."""
+    have = {n.strip().lower() for n in names}
+    if {"track_id", "spot_id"} <= have or {"position_x", "position_t"} <= have:
+        return "spots"
+    if {"l", "b", "e", "p"} <= have or {"label", "begin", "end", "parent"} <= have:
+        return "tracks"
+    return "generic"
+
+
+def opened(spark: SparkSession, path: str, given: dict[str, str] | None = None) -> DataFrame:
+    """A tracker's table of any format in the internal schema: a ``.txt`` list of tracks, or a CSV file with a header.
+
+    Which CSV format it is shows in the header; columns that are ``given`` by target name make it a generic one.
+    """
+    if path.lower().endswith(".txt"):
+        return track_list(spark.read.text(path))
+    df = spark.read.option("header", True).csv(path)
+    kind = detected_format(df.columns)
+    if kind == "spots" and not given:
+        return spots_export(df)
+    if kind == "tracks" and not given:
+        short = {n.strip().lower(): n for n in df.columns}
+        names = ["l", "b", "e", "p"] if "l" in short else ["label", "begin", "end", "parent"]
+        return track_list(df.select(F.concat_ws(" ", *(F.col(f"`{short[n]}`") for n in names)).alias("value")))
+    return generic_table(df, given)
 
 
 def append_audit(spark: SparkSession, rows: DataFrame, path: str) -> None:
