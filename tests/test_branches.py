@@ -1,5 +1,7 @@
 """Published versions, readers by header, paths, labels, rings, order of files: branches that the tables of the queries do not reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,23 @@ def test_compared_tracks_have_the_phase_of_their_first_row(spark):
     summary = spark.createDataFrame([(0, t, float(t), "treated", False) for t in (1, 2, 3, 4, 9)], "movie_id long, track_id long, v double, fase string, is_mitotic boolean")
     got = {r.group: r.n for r in statistics.compared(tracks(spark, rows), summary, ["v"], F.col("track_id") == 1).collect()}
     assert got == {"all": 5, "non-mitotic": 5, "control": 4}
+
+
+def test_hulls_of_many_objects_at_once(spark):
+    """Random objects, lines and dots against a hull that is worked out object by object."""
+    rng = random.Random(11)
+    objects = [[(3, 4)], [(0, 0), (2, 1)], [(0, 0), (2, 2)], [(5, x) for x in range(4)], [(y, 7) for y in range(9)], [(0, 0), (0, 6), (6, 3)]]
+    objects += [sorted({(rng.randint(0, 9), rng.randint(-4, 12)) for _ in range(rng.randint(1, 40))}) for _ in range(150)]
+    rows = [(k % 2, k % 3, y, x, k) for k, points in enumerate(objects) for y, x in points]
+
+    def hull(points):
+        """Lattice points that no line through two of the points parts from all of them."""
+        ys, xs = [p[0] for p in points], [p[1] for p in points]
+        side = lambda a, b, q: (b[1] - a[1]) * (q[0] - a[0]) - (b[0] - a[0]) * (q[1] - a[1])
+        edges = [(a, b) for a in points for b in points if a != b and all(side(a, b, q) >= 0 for q in points)]
+        return sum(all(side(a, b, (y, x)) >= 0 for a, b in edges) for y in range(min(ys), max(ys) + 1) for x in range(min(xs), max(xs) + 1))
+
+    df = spark.createDataFrame(rows, "movie_id long, frame long, y long, x long, label long").repartition(4)
+    got = {r.label: r.solidity for r in pixels.solidity(df).collect()}
+    assert got == {k: len(points) / hull(points) for k, points in enumerate(objects)}
+    assert pixels.solidity(df.limit(0)).count() == 0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,30 +105,64 @@ def morphology_series(mask: DataFrame) -> DataFrame:
     return rows.select("movie_id", "frame", F.col("label").alias("track_id"), "area_px", "perimeter", circularity.alias("circularity"))
 
 
+def _envelope(y: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Object and smallest whole x at or right of the left side of its convex hull, for every y from its first to its last row.
+
+    Row i of ``y`` and ``x`` holds the ``n[i]`` rows of object i from the top, padded; all objects take a step of the chain together.
+    """
+    every = np.arange(len(n))
+    chain, top = np.zeros(y.shape, np.int64), np.zeros(len(n), np.int64)
+    for t in range(y.shape[1]):
+        live = n > t
+        while True:
+            b, a = chain[every, np.maximum(top - 1, 0)], chain[every, np.maximum(top - 2, 0)]
+            turn = (x[every, b] - x[every, a]) * (y[:, t] - y[every, b]) >= (x[:, t] - x[every, b]) * (y[every, b] - y[every, a])
+            back = live & (top >= 2) & turn
+            if not back.any():
+                break
+            top -= back
+        chain[every[live], top[live]] = t
+        top += live
+    of, k = np.nonzero(np.arange(y.shape[1]) < top[:, None])
+    last = k == top[of] - 1
+    a, b = chain[of, k], chain[of, np.minimum(k + 1, top[of] - 1)]
+    ya, xa, yb, xb = y[of, a], x[of, a], y[of, b], x[of, b]
+    steps = np.where(last, 1, yb - ya)
+    at = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    rise, run = np.repeat(xb - xa, steps), np.repeat(np.maximum(yb - ya, 1), steps)
+    return np.repeat(of, steps), np.repeat(xa, steps) - (-(rise * at) // run)
+
+
+def _hull_sizes(tops: np.ndarray, lows: np.ndarray, highs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pixels in the convex hull of each object, from the first and last pixel of each of its rows."""
+    place = np.arange(n.max(initial=0)) < n[:, None]
+    padded = np.zeros((3, *place.shape), np.int64)
+    for k, flat in enumerate((tops, lows, highs)):
+        padded[k][place] = flat
+    of, left = _envelope(padded[0], padded[1], n)
+    _, right = _envelope(padded[0], -padded[2], n)
+    return np.bincount(of, np.maximum(-right - left + 1, 0), len(n)).astype(np.int64)
+
+
 def solidity(mask: DataFrame) -> DataFrame:
-    """Pixels over pixels of the convex hull. Only boundary pixels, one object at a time, go through numpy."""
-
-    def hull(table: pa.Table) -> pa.Table:
-        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
-        p = np.unique(np.stack([x, y], 1), axis=0)
-
-        def chain(points):
-            out: list = []
-            for q in points:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(q)
-            return out[:-1]
-
-        corners = np.array(chain(p.tolist()) + chain(p[::-1].tolist()) if len(p) > 2 else p.tolist())
-        gx, gy = np.meshgrid(np.arange(x.min(), x.max() + 1), np.arange(y.min(), y.max() + 1))
-        inside = np.ones(gx.shape, bool)
-        for (ax, ay), (bx, by) in zip(corners, np.roll(corners, -1, 0), strict=True):
-            inside &= (bx - ax) * (gy - ay) - (by - ay) * (gx - ax) >= 0
-        return pa.table({k: table.column(k)[:1] for k in OBJECT} | {"hull_px": pa.array([int(inside.sum())])})
-
-    hulls = boundary(mask).groupBy(*OBJECT).applyInArrow(hull, "movie_id long, frame long, label long, hull_px long")
-    return areas(mask).join(hulls, OBJECT).select(*OBJECT, (F.col("area") / F.col("hull_px")).alias("solidity"))
+    """Pixels over pixels of the convex hull.
+
+    Only the first and the last pixel of a row can be corners of the hull; an Arrow batch of these rows gives the hulls of many objects at once.
+    """
+
+    def hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ends = batch.column("ends")
+                y, lo, hi = (pc.struct_field(ends.flatten(), k).to_numpy() for k in ("y", "lo", "hi"))
+                size = _hull_sizes(y, lo, hi, ends.value_lengths().to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in [*OBJECT, "area"]), pa.array(size)], [*OBJECT, "area", "hull_px"])
+
+    rows = mask.groupBy(*OBJECT, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    ends = F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("long").alias(c) for c in ("y", "lo", "hi")))))
+    objects = rows.groupBy(*(F.col(k).cast("long").alias(k) for k in OBJECT)).agg(F.sum("n").cast("double").alias("area"), ends.alias("ends"))
+    found = objects.mapInArrow(hulls, "movie_id long, frame long, label long, area double, hull_px long")
+    return found.select(*OBJECT, (F.col("area") / F.col("hull_px")).alias("solidity"))
 
 
 def components(mask: DataFrame) -> DataFrame:
