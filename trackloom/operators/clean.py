@@ -41,7 +41,7 @@ def with_area(tracks: DataFrame, mask: DataFrame) -> DataFrame:
 
 def with_border(tracks: DataFrame, mask: DataFrame, frames: DataFrame, margin: int = 0) -> DataFrame:
     """Whether each track's label has a pixel within ``margin`` of an edge."""
-    sized = mask.join(F.broadcast(frames.select("movie_id", "height", "width").distinct()), "movie_id")
+    sized = mask.join(frames.select("movie_id", "height", "width").distinct(), "movie_id")
     edge = (F.col("y") <= margin) | (F.col("x") <= margin) | (F.col("y") >= F.col("height") - 1 - margin) | (F.col("x") >= F.col("width") - 1 - margin)
     touching = sized.where(edge).select("movie_id", "frame", F.col("label").alias("track_id")).distinct().withColumn("at_border", F.lit(True))
     return tracks.drop("at_border").join(touching, ["movie_id", "frame", "track_id"], "left").fillna(False, ["at_border"])
@@ -60,7 +60,7 @@ def border_exits(df: DataFrame, tail: int = 5, min_tail: int = 3, shrink: float
         F.max(F.when(F.col("back") <= tail, F.col("area_px"))).alias("peak"),
     )
     ends = rows.groupBy("movie_id").agg(F.max("frame").alias("movie_end"))
-    return per.join(F.broadcast(ends), "movie_id").where((~F.col("has")) & (F.col("last") < F.col("movie_end")) & (F.col("n") >= min_tail) & F.col("edge") & (F.col("peak") > 0) & (F.col("end_area") <= shrink * F.col("peak"))).select(*TRACK)
+    return per.join(ends, "movie_id").where((~F.col("has")) & (F.col("last") < F.col("movie_end")) & (F.col("n") >= min_tail) & F.col("edge") & (F.col("peak") > 0) & (F.col("end_area") <= shrink * F.col("peak"))).select(*TRACK)
 
 
 def flag_border_exits(df: DataFrame, **how) -> DataFrame:

@@ -189,7 +189,7 @@ def minted_ids(df: DataFrame, wanted: DataFrame, quarantine: bool = False) -> Da
     start = df.select("movie_id").distinct().select("movie_id", F.lit(base - 1).cast("long").alias("id"))
     w = Window.partitionBy("movie_id").orderBy("id")
     need = wanted.groupBy("movie_id").agg(F.max("ord").alias("need"))
-    gaps = used.union(start).withColumn("next", F.lead("id").over(w)).join(F.broadcast(need), "movie_id")
+    gaps = used.union(start).withColumn("next", F.lead("id").over(w)).join(need, "movie_id")
     free = F.coalesce(F.col("next") - F.col("id") - 1, F.col("need"))
     gaps = gaps.withColumn("free", F.least(free, F.col("need"))).where("free > 0").withColumn("before", F.coalesce(F.sum("free").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before < need")
     ids = gaps.select("movie_id", "before", F.posexplode(F.sequence(F.col("id") + 1, F.col("id") + F.col("free"))).alias("p", "new_id")).select("movie_id", (F.col("before") + F.col("p") + 1).alias("ord"), "new_id")

@@ -65,7 +65,7 @@ def spaced_frames(rows: DataFrame, n: int) -> DataFrame:
 
 def ring_sweep(channel: DataFrame, mask: DataFrame, bg: DataFrame, widths: tuple[int, ...] = (2, 3, 4, 6, 8, 10, 12), gap: int = 1, frames: int = 8) -> DataFrame:
     """Median ratio, sizes and share of missing ratios by ring width on evenly spaced frames of each movie; distances are found once."""
-    some = F.broadcast(spaced_frames(bg, frames))
+    some = spaced_frames(bg, frames)
     mask = mask.join(some, ["movie_id", "frame"], "left_semi")
     values = channel.join(some, ["movie_id", "frame"], "left_semi").join(bg.select("movie_id", "channel", "frame", "bg"), ["movie_id", "channel", "frame"])
     values = values.select("channel", *PIXEL, F.greatest(F.col("value") - F.col("bg"), F.lit(0.0)).alias("v"))
@@ -139,7 +139,7 @@ def local_binary_patterns(channel: DataFrame, mask: DataFrame) -> DataFrame:
     total = codes.groupBy(*key).agg(F.sum("n").alias("t"))
     p = codes.join(total, key).withColumn("p", F.col("n") / F.col("t"))
     stats = p.groupBy(*key).agg(F.first("t").alias("px"), F.coalesce(F.sum(F.when(F.col("code") == 0, F.col("p"))), F.lit(0.0)).alias("localmax"), F.coalesce(F.sum(F.when(F.col("code") == 8, F.col("p"))), F.lit(0.0)).alias("localmin"), F.sum(-F.col("p") * F.ln(F.col("p") + 1e-12)).alias("entropy"))
-    objects = mask.select(*OBJECT).distinct().join(F.broadcast(channel.select("movie_id", "channel").distinct()), "movie_id")
+    objects = mask.select(*OBJECT).distinct().join(channel.select("movie_id", "channel").distinct(), "movie_id")
     return objects.join(stats, key, "left").select(*key, *(F.when(F.col("px") >= 8, F.col(c)).alias(c) for c in ("localmax", "localmin", "entropy")))
 
 
@@ -147,7 +147,7 @@ def signal_drift(channel: DataFrame, mask: DataFrame) -> DataFrame:
     """Median inside objects per frame, relative to the first positive one."""
     per = channel.join(mask.select(*PIXEL), PIXEL, "left_semi").groupBy("movie_id", "channel", "frame").agg(F.median("value").alias("median"))
     first = per.where("median > 0").groupBy("movie_id", "channel").agg(F.min_by("median", "frame").alias("base"))
-    return per.join(F.broadcast(first), ["movie_id", "channel"], "left").select("movie_id", "channel", "frame", "median", (F.col("median") / F.col("base")).alias("drift"))
+    return per.join(first, ["movie_id", "channel"], "left").select("movie_id", "channel", "frame", "median", (F.col("median") / F.col("base")).alias("drift"))
 
 
 def readout(stats: DataFrame) -> DataFrame:

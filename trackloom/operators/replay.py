@@ -72,6 +72,7 @@ def replayed(df: DataFrame, mask: DataFrame, edits: DataFrame) -> tuple[DataFram
     track 3. A merge of a track that is no longer there does nothing. Edits run level by level; the number of levels is the
     longest chain of edits that touch each other, however many edits and movies there are.
     """
+    df, mask = stored(df, "observations"), stored(mask, "pixels")  # each edit reads them several times
     bare = F.col("kind").isin("swap", "swap_there") & (F.coalesce("b", F.lit(0)) == 0)
     edits = stored(edits, "edits")
     edits = edits.where(~bare).unionByName(ed.with_partners(df, mask, edits.where(bare)))

@@ -51,7 +51,7 @@ def time_bins(df: DataFrame, value: str, bins: int = 8) -> DataFrame:
     """Box statistics of a column over equal bins of the movie's frames."""
     ends = df.groupBy("movie_id").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
     place = F.least(F.lit(bins - 1), F.floor((F.col("frame") - F.col("lo")) * bins / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).cast("long")
-    return box(df.join(F.broadcast(ends), "movie_id").withColumn("bin", place), value, "movie_id", "bin")
+    return box(df.join(ends, "movie_id").withColumn("bin", place), value, "movie_id", "bin")
 
 
 def aggregated(df: DataFrame, x: str, y: str, how: str = "mean", group: str | None = None) -> DataFrame:

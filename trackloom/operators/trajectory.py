@@ -25,7 +25,7 @@ def step_features(df: DataFrame, pixel_size: float = 1.0) -> DataFrame:
 def speed(df: DataFrame, interval: float = 0.5, times: DataFrame | None = None, tolerance: float = 1e-6) -> DataFrame:
     """dt, speed and gap_antes by the clock of ``times`` (movie_id, frame, tempo_h, modal_h), or else by the frame interval."""
     if times is not None:
-        df = df.join(F.broadcast(times.select("movie_id", "frame", "tempo_h", "modal_h")), ["movie_id", "frame"], "left")
+        df = df.join(times.select("movie_id", "frame", "tempo_h", "modal_h"), ["movie_id", "frame"], "left")
         dt, modal = F.col("tempo_h") - F.lag("tempo_h").over(along()), F.col("modal_h")
     else:
         dt, modal = (F.col("frame") - F.lag("frame").over(along())) * F.lit(float(interval)), F.lit(float(interval))

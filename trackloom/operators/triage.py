@@ -60,7 +60,7 @@ def _traces(df: DataFrame) -> DataFrame:
         F.bool_or((F.col("back") <= 3) & F.coalesce("at_border", F.lit(False))).alias("edge"),
         F.median(F.when(F.col("back") <= 3, F.col("area_px"))).alias("end_area"), F.max("area_px").alias("peak"), F.max("turn").alias("turn"),
     )
-    return per.join(F.broadcast(ends), "movie_id").withColumn("vanished", F.col("last") < F.col("movie_end"))
+    return per.join(ends, "movie_id").withColumn("vanished", F.col("last") < F.col("movie_end"))
 
 
 def incoherent() -> Column:
@@ -76,7 +76,7 @@ def scores(df: DataFrame, t: Thresholds = Thresholds(), weights: dict[str, float
     With ``blend`` the sub-score of a trait is its score for errors times that for deviation, and traits far from the movie's are reasons.
     """
     w = PENALTIES | (weights or {})
-    flags = track_flags(df, t).join(_traces(df), TRACK).join(track_metrics(df), TRACK).join(F.broadcast(coverage(df)), "movie_id")
+    flags = track_flags(df, t).join(_traces(df), TRACK).join(track_metrics(df), TRACK).join(coverage(df), "movie_id")
     lost = lambda flag, k: F.when(flag, F.lit(w[k])).otherwise(0.0)
     wrong, jumps = incoherent(), F.coalesce((F.col("rows") >= 3) & (F.col("turn") > 1), F.lit(False))
     keep = lambda loss: F.greatest(F.lit(0.0), F.bround(1 - loss, 3))
@@ -89,7 +89,7 @@ def scores(df: DataFrame, t: Thresholds = Thresholds(), weights: dict[str, float
         "reasons": F.array_compact(F.array(F.when(F.col("no_outcome"), F.lit("no final outcome")), F.when(F.col("jump"), F.lit("impossible jump")), F.when(F.col("gap"), F.lit("temporal gap")), F.when(jumps, F.lit("sudden area change")), F.when(wrong, F.lit("outcome incoherent")), F.when(once, F.lit("single frame")))),
     })
     wide = population(track_metrics(df)).groupBy("movie_id").pivot("trait", TRAITS).agg(F.first("center").alias("center"), F.first("scale").alias("scale"))
-    rows = rows.join(F.broadcast(wide), "movie_id", "left").withColumns({f"d_{k}": deviation(F.col(k), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in TRAITS})
+    rows = rows.join(wide, "movie_id", "left").withColumns({f"d_{k}": deviation(F.col(k), F.col(f"{k}_center"), F.col(f"{k}_scale")) for k in TRAITS})
     far = F.array_compact(F.array(*(F.when(F.col(f"d_{k}") < FAR_BELOW, F.lit(f"{k} far from the movie's")) for k in TRAITS)))
     rows = rows.withColumn("far", far).withColumns({f"d_{k}": F.bround(f"d_{k}", 3) for k in TRAITS})
     if blend:
