@@ -7,7 +7,9 @@ found from exact counts of words in ever finer cells of the key, kept apart by s
 gathered or sorted in one task. DataFrame functions only.
 
 Defined results: a null text has no words; null is a source of its own, after the others; a source
-without words has target 0; rows with equal doc_id share one decision; an empty table gives no rows.
+without words has target 0; rows with equal doc_id share one decision; an empty table gives no rows. Of the
+caller's columns, those named like a result are replaced, all others are handed on, whatever their names. A text
+of any length is one row's count of words.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from .shared import staged
 
 WORDS = r"[^\x20\x09-\x0D]+"
 DIGITS = 3
+RESULTS = ["size", "source_size", "target", "copies"]
 #: Sources up to this many rows are broadcast; a larger table of sources is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -108,7 +111,8 @@ def mixed(docs: DataFrame, weights: list[float], total: float, max_epochs: float
     ``weights`` are dealt to the sources in order of code points, again and again, null last. All targets
     together are ``total`` times the words of the table; none is above ``max_epochs`` times its source.
     """
-    docs = sized(docs, seed)
+    names = docs.columns
+    docs = sized(docs.select("doc_id", "source", "text", F.struct(*names).alias("mix_row")), seed)
     slim = staged(docs.select("doc_id", "source", "size", "mix_key"), "mix-sizes")
     sources = staged(targets(slim, weights, total, max_epochs), "mix-targets")
     n = sources.count()
@@ -116,4 +120,5 @@ def mixed(docs: DataFrame, weights: list[float], total: float, max_epochs: float
     cut = sources.alias("s").join(bounds.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")), "left").select("s.*", "b.bound", "b.inclusive")
     cut = staged(cut, "mix-bounds")
     extra = F.col("bound").isNotNull() & ((F.col("mix_key") < F.col("bound")) | ((F.col("mix_key") == F.col("bound")) & F.col("inclusive")))
-    return _joined(docs, cut.select("source", "source_size", "target", "whole", "bound", "inclusive"), n).withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")).drop("whole", "bound", "inclusive", "mix_key")
+    found = _joined(docs, cut.select("source", "source_size", "target", "whole", "bound", "inclusive"), n).withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long"))
+    return found.select(*(F.col("mix_row")[c].alias(c) for c in names if c not in RESULTS), *RESULTS)
