@@ -174,9 +174,9 @@ SELECT (frame // 100000)::BIGINT AS movie_id, 'gfp' AS channel, width, round(med
         duck(_BG + ", iv AS (SELECT frame, label, greatest(value - bg, 0) AS value FROM channel_pixels JOIN mask_pixels USING (frame, y, x) JOIN bg USING (frame)), e AS (SELECT frame // 100000 AS mv, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM iv GROUP BY 1) SELECT frame, label, (round_even(greatest(0, least(1, (value - lo) / (hi - lo))) * 14, 0) + 1)::BIGINT AS q, count(*) AS n FROM iv JOIN e ON mv = frame // 100000 GROUP BY ALL", True),
     ),
     "g20_haralick": (
-        lambda s, d: rounded(it.haralick(_levels(s, d)).select("movie_id", "frame", "label", "contrast", "energy", "homogeneity", "entropy"), "contrast", "energy", "homogeneity", "entropy"),
+        lambda s, d: it.haralick(_levels(s, d)).select("movie_id", "frame", "label", *(F.round(c, 9).alias(c) for c in ("contrast", "energy", "homogeneity", "entropy"))),  # six digits can be a tie
         duck(_BG + _TEXTURE + """
-SELECT z.frame, z.label, round(CASE WHEN any_value(px) >= 8 THEN sum(contrast) / 4 END, 6) AS contrast, round(CASE WHEN any_value(px) >= 8 THEN sum(energy) / 4 END, 6) AS energy, round(CASE WHEN any_value(px) >= 8 THEN sum(homogeneity) / 4 END, 6) AS homogeneity, round(CASE WHEN any_value(px) >= 8 THEN sum(entropy) / 4 END, 6) AS entropy FROM z LEFT JOIN s ON s.frame = z.frame AND s.label = z.label GROUP BY ALL""", True),
+SELECT z.frame, z.label, round(CASE WHEN any_value(px) >= 8 THEN sum(contrast) / 4 END, 9) AS contrast, round(CASE WHEN any_value(px) >= 8 THEN sum(energy) / 4 END, 9) AS energy, round(CASE WHEN any_value(px) >= 8 THEN sum(homogeneity) / 4 END, 9) AS homogeneity, round(CASE WHEN any_value(px) >= 8 THEN sum(entropy) / 4 END, 9) AS entropy FROM z LEFT JOIN s ON s.frame = z.frame AND s.label = z.label GROUP BY ALL""", True),
     ),
     "g21_lbp": (lambda s, d: rounded(it.local_binary_patterns(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "label", "localmax", "localmin", "entropy"), "localmax", "localmin", "entropy"), None),
     "g22_signal_drift": (lambda s, d: rounded(it.signal_drift(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "median", "drift"), "drift"), duck(", p AS (SELECT frame, median(value) AS median FROM channel_pixels JOIN mask_pixels USING (frame, y, x) GROUP BY frame) SELECT frame, median, round(median / b, 6) AS drift FROM p LEFT JOIN (SELECT frame // 100000 AS mv, arg_min(median, frame) AS b FROM p WHERE median > 0 GROUP BY 1) ON mv = frame // 100000", True)),
