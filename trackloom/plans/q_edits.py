@@ -136,6 +136,10 @@ SELECT event_id, track_id, coalesce((SELECT max(m) FROM ok WHERE dd = track_id),
         lambda s, d: ed.delete(_t(s, d), _no_mask(s, d), _some(s, d, "track_id IN (3, 4)"))[0].select(*_KEYS),
         duck(", dl AS (SELECT event_id, frame, track_id, CASE WHEN parent_id IN (3, 4) THEN -1 ELSE parent_id END AS parent_id, outcome FROM tracks WHERE track_id NOT IN (3, 4))" + _DISSOLVE.format(t="dl") + _AFTER.format(t="dl")),
     ),
+    "e10_delete_pixels": (
+        lambda s, d: _MASK_COUNT(ed.delete(_t(s, d), _no_mask(s, d), _t(s, d).where("track_id IN (3, 4) AND frame % 2 = 0"))[1]),
+        duck(" SELECT frame, track_id AS label, count(*) AS n FROM tracks WHERE NOT (track_id IN (3, 4) AND frame % 2 = 0) GROUP BY frame, track_id"),
+    ),
     "e11_synced": (
         lambda s, d: rounded(ed.synced(_observed(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "track_id", "parent_id", "outcome", "pos_x", "pos_y", "done"), "pos_x", "pos_y"),
         duck(" SELECT frame, label AS track_id, -1 AS parent_id, CASE WHEN label = 5 AND frame % 2 = 1 THEN '' ELSE 'Exit' END AS outcome, round(avg(x), 6) AS pos_x, round(avg(y), 6) AS pos_y, CASE WHEN label = 5 AND frame % 2 = 1 THEN 'added' ELSE 'updated' END AS done FROM mask_pixels GROUP BY frame, label", True),
@@ -160,6 +164,10 @@ SELECT event_id, track_id, coalesce((SELECT max(m) FROM ok WHERE dd = track_id),
         lambda s, d: ed.relink(_t(s, d), _no_mask(s, d), _some(s, d, "track_id IN (16, 20)").select("movie_id", "track_id", (F.col("track_id") + 1).alias("candidate")))[0].select("event_id", "track_id", "parent_id"),
         duck(", j AS (SELECT event_id, frame, CASE WHEN track_id IN (17, 21) THEN track_id - 1 ELSE track_id END AS t, CASE WHEN parent_id IN (17, 21) THEN parent_id - 1 ELSE parent_id END AS p, (track_id IN (17, 21))::INT AS j FROM tracks), r AS (SELECT *, row_number() OVER (PARTITION BY t, frame ORDER BY j) AS r FROM j) SELECT event_id, t AS track_id, CASE WHEN p = t THEN -1 ELSE p END AS parent_id FROM r WHERE r = 1"),
     ),
+    "e16_relink_pixels": (
+        lambda s, d: _MASK_COUNT(ed.relink(_t(s, d), _no_mask(s, d), _some(s, d, "track_id IN (16, 20)").select("movie_id", "track_id", (F.col("track_id") + 1).alias("candidate")))[1]),
+        duck(" SELECT frame, CASE WHEN track_id IN (17, 21) THEN track_id - 1 ELSE track_id END AS label, count(*) AS n FROM tracks GROUP BY ALL"),
+    ),
     "e17_fill_gaps": (
         lambda s, d: ed.fill_gaps(_t(s, d), F.when(F.col("frame") < 200, "control").otherwise("treated")).groupBy("track_id", "interpolated", "parent_id", "outcome", "fase", "continuous_label").agg(F.count("*").alias("n"), F.sum("frame").alias("frames")),
         duck(", pm AS (SELECT track_id, coalesce(max(parent_id) FILTER (parent_id > 0), -1) AS p FROM tracks GROUP BY track_id), g AS (SELECT track_id, frame AS f0, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS f1 FROM tracks), e AS (SELECT track_id, unnest(range(f0 + 1, f1)) AS frame FROM g WHERE f1 - f0 - 1 BETWEEN 1 AND 12) SELECT track_id, false AS interpolated, parent_id, outcome, fase, continuous_label, count(*) AS n, sum(frame)::BIGINT AS frames FROM tracks GROUP BY ALL UNION ALL SELECT track_id, true, p, '', CASE WHEN frame < 200 THEN 'control' ELSE 'treated' END, track_id, count(*), sum(frame)::BIGINT FROM e JOIN pm USING (track_id) GROUP BY ALL"),
