@@ -1,6 +1,6 @@
 """Corrections as batches (E operators): each takes the observations, some also the pixels, and a table of edits.
 
-Edits of one batch must not overlap (no track twice on the same side); overlapping ones are applied batch after batch.
+Edits of one batch must not overlap (no track twice on the same side); ``replay`` applies overlapping ones in their order.
 """
 
 from __future__ import annotations

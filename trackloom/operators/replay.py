@@ -67,7 +67,7 @@ def _applied(df: DataFrame, mask: DataFrame, kind: str, batch: DataFrame) -> tup
 def replayed(df: DataFrame, mask: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after all ``edits`` (movie_id, seq, kind, a, b, frame, flag), as if these were made one by one by ``seq``.
 
-    ``kind`` is one of ``KINDS``; columns that a kind has no use for are null. Divisions that are invalid beforehand dissolve first.
+    ``seq`` is a number of its own for each edit of a movie; ``kind`` is one of ``KINDS``; columns that a kind has no use for are null. Divisions that are invalid beforehand dissolve first.
     A swap without ``b`` gets a new id before all edits, so the ids of later ones do not depend on the order. Merges chain: after 1 into 2 and 2 into 3 all is
     track 3. A merge of a track that is no longer there does nothing. Edits run level by level; the number of levels is the
     longest chain of edits that touch each other, however many edits and movies there are.
