@@ -47,7 +47,7 @@ def parsed_times(files: DataFrame, pattern: tuple[str, tuple[str, ...]] | None =
     rows = rows.withColumns({f"s{i}": F.col(f"h{i}") - F.lag(f"h{i}").over(w) for i in range(len(patterns))})
     fits = rows.groupBy("movie_id").agg(*((F.bool_and(F.col(f"h{i}").isNotNull()) & F.coalesce(F.min(f"s{i}") > 0, F.lit(True))).alias(f"ok{i}") for i in range(len(patterns))))
     hours = F.coalesce(*(F.when(F.col(f"ok{i}"), F.col(f"h{i}")) for i in range(len(patterns))))
-    return rows.join(F.broadcast(fits), "movie_id").select("movie_id", "frame", "filename", hours.alias("hours"))
+    return rows.join(fits, "movie_id").select("movie_id", "frame", "filename", hours.alias("hours"))
 
 
 def time_table(files: DataFrame, interval: float = 0.5, tolerance: float = 1e-6) -> DataFrame:
@@ -57,7 +57,7 @@ def time_table(files: DataFrame, interval: float = 0.5, tolerance: float = 1e-6)
     rows = rows.withColumn("source", F.when(F.col("hours").isNull(), F.lit("interval")).otherwise(F.lit("filename")))
     rows = rows.withColumn("tempo_h", F.coalesce("tempo_h", (F.row_number().over(w) - 1) * F.lit(float(interval)))).withColumn("dt_h", F.col("tempo_h") - F.lag("tempo_h").over(w))
     modal = rows.groupBy("movie_id").agg(F.mode(F.round("dt_h", 6), True).alias("modal_h"))
-    rows = rows.join(F.broadcast(modal), "movie_id")
+    rows = rows.join(modal, "movie_id")
     return rows.select("movie_id", "frame", "filename", "tempo_h", "dt_h", "modal_h", F.coalesce(F.col("dt_h") > F.col("modal_h") + tolerance, F.lit(False)).alias("gap"), "source")
 
 

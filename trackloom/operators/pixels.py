@@ -98,6 +98,19 @@ def morphometry(mask: DataFrame) -> DataFrame:
     return m.withColumn("nii", F.col("aspect") - F.col("area_box") + F.col("radius_ratio") + F.col("roundness")).drop("a", "b", "c", "l1", "l2", "box")
 
 
+def orientations(mask: DataFrame) -> DataFrame:
+    """Angle of every label's major axis against the rows' axis, from -pi/2 to pi/2, from exact whole-number moments.
+
+    Without a longer axis along either, it is pi/4 where the covariance is positive, else -pi/4.
+    """
+    total = {k: F.sum(e) for k, e in {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}.items()}
+    m = mask.groupBy(*OBJECT).agg(*(e.cast("long").alias(f"s_{k}") for k, e in total.items()))
+    away = F.expr("(s_n * s_yy - s_y * s_y) - (s_n * s_xx - s_x * s_x)")
+    shared = F.expr("s_n * s_xy - s_x * s_y")
+    angle = F.when(away == 0, F.when(shared > 0, F.lit(np.pi / 4)).otherwise(F.lit(-np.pi / 4))).otherwise(F.atan2(2.0 * shared, away.cast("double")) / 2)
+    return m.select(*OBJECT, angle.alias("orientation"))
+
+
 def morphology_series(mask: DataFrame) -> DataFrame:
     """Area, perimeter and circularity of every label by frame; a perimeter of 0 has no circularity."""
     rows = mask.groupBy(*OBJECT).agg(F.count("*").cast("double").alias("area_px")).join(perimeters(mask), OBJECT, "left").withColumn("perimeter", F.coalesce("perimeter", F.lit(0.0)))

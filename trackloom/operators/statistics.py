@@ -25,6 +25,12 @@ def area_by_frame(mask: DataFrame) -> DataFrame:
     return per.groupBy("movie_id", "frame").agg(F.avg("area").alias("mean_area"))
 
 
+def area_by_phase(df: DataFrame, summary: DataFrame) -> DataFrame:
+    """Box statistics of the tracks' mean areas by the phase of ``summary``."""
+    mean = df.groupBy(*TRACK).agg(F.avg("area_px").alias("mean_area"))
+    return box(summary.select(*TRACK, "fase").join(mean, TRACK), "mean_area", "movie_id", "fase")
+
+
 def outcomes(summary: DataFrame) -> DataFrame:
     return summary.groupBy("movie_id", "final_outcome").agg(F.count("*").alias("n"))
 

@@ -41,12 +41,19 @@ def joined_features(df: DataFrame, *tables: DataFrame) -> DataFrame:
     return df
 
 
-def middle_lifetime(df: DataFrame, interval: float = 0.5) -> DataFrame:
-    """lifetime_h on the middle row of each track, null elsewhere."""
+def middle_lifetime(df: DataFrame, interval: float = 0.5, times: DataFrame | None = None) -> DataFrame:
+    """lifetime_h on the middle row of each track, null elsewhere: of its frames, or with ``times`` (see ``time_table``) by the clock.
+
+    By the clock it is the time from the first to the last row that has one, and a usual interval.
+    """
     whole = Window.partitionBy(*TRACK)
     place, n = F.row_number().over(along()) - 1, F.count("*").over(whole)
-    life = (F.max("frame").over(whole) - F.min("frame").over(whole) + 1) * F.lit(float(interval))
-    return df.withColumn("lifetime_h", F.when(place == F.floor(n / 2), life))
+    if times is None:
+        life = (F.max("frame").over(whole) - F.min("frame").over(whole) + 1) * F.lit(float(interval))
+        return df.withColumn("lifetime_h", F.when(place == F.floor(n / 2), life))
+    clock = times.select("movie_id", "frame", F.col("tempo_h").alias("clock_h"), F.col("modal_h").alias("usual_h"))
+    life = F.max("clock_h").over(whole) - F.min("clock_h").over(whole) + F.coalesce(F.max("usual_h").over(whole), F.lit(0.0))
+    return df.join(clock, ["movie_id", "frame"], "left").withColumn("lifetime_h", F.when(place == F.floor(n / 2), life)).select(*df.columns, "lifetime_h")
 
 
 def sliding_windows(features: DataFrame, size: int = 5, measures: tuple[str, ...] = ("area_px",)) -> DataFrame:

@@ -136,6 +136,16 @@ QUERIES = {
     ),
     "g12_rings": (lambda s, d: px.rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("movie_id", "frame", "label").agg(F.count("*").alias("n")), duck(_RING + " SELECT frame, label, count(*) AS n FROM ring2 WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 95 GROUP BY ALL", True)),
     "g13_ellipse_rings": (lambda s, d: px.ellipse_rings(fx.mask_pixels(s, d)).join(fx.frames(s, d), ["movie_id", "frame"]).where(px.inside()).groupBy("movie_id", "frame", "label").agg(F.count("*").alias("n"), F.sum(F.col("y") * 96 + F.col("x")).alias("places")), duck(_ELLIPSE + " SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places FROM er GROUP BY ALL", True)),
+    "g7_orientation": (
+        lambda s, d: rounded(px.orientations(fx.mask_pixels(s, d)), "orientation"),
+        duck("""
+, mo AS (
+  SELECT frame, label, (count(*) * sum(y * y) - sum(y) * sum(y) - count(*) * sum(x * x) + sum(x) * sum(x))::DOUBLE AS away,
+         (count(*) * sum(x * y) - sum(x) * sum(y))::DOUBLE AS shared
+  FROM mask_pixels GROUP BY frame, label)
+SELECT frame, label, round(CASE WHEN away = 0 THEN CASE WHEN shared > 0 THEN pi() / 4 ELSE -pi() / 4 END ELSE atan2(2 * shared, away) / 2 END, 6) AS orientation
+FROM mo""", True),
+    ),
     "g12_rings_clear": (
         lambda s, d: _places(px.rings(fx.mask_pixels(s, d), neighbor_gap=2), s, d),
         duck(_RING + _APART.format(ring="ring2"), True),

@@ -98,6 +98,19 @@ QUERIES = {
         f"WITH mot AS ({duck(_MOTILITY)}), ph AS ({duck(_SUMMARY + ' SELECT movie_id, track_id, fase FROM summary')}), u AS (UNPIVOT (SELECT ph.movie_id, fase, {', '.join(c + '::DOUBLE AS ' + c for c in _MOTION)} FROM mot JOIN ph USING (track_id)) ON {', '.join(_MOTION)} INTO NAME metric VALUE v) SELECT movie_id, fase, metric, {_QB.format(v='v')} FROM u GROUP BY ALL",
     ),
     "q4_area_by_frame": (lambda s, d: rounded(st.area_by_frame(fx.mask_pixels(s, d)), "mean_area"), duck(" SELECT frame, round(avg(n), 6) AS mean_area FROM (SELECT frame, label, count(*) AS n FROM mask_pixels GROUP BY ALL) GROUP BY frame", True)),
+    "q4_area_by_phase": (
+        lambda s, d: rounded(st.area_by_phase(fx.tracks(s, d), _summary(s, d)), *_BOX),
+        duck(_SUMMARY + ", ar AS (SELECT movie_id, track_id, avg(area_px) AS a FROM tracks GROUP BY movie_id, track_id) SELECT movie_id, fase, " + _QB.format(v="a") + " FROM summary JOIN ar USING (movie_id, track_id) GROUP BY ALL"),
+    ),
+    "f5_middle_lifetime_clock": (
+        lambda s, d: rounded(tr.middle_lifetime(fx.tracks(s, d), times=ta.time_table(_files(s, d))).select("event_id", "lifetime_h"), "lifetime_h"),
+        duck(_FILES + """,
+cl AS (
+  SELECT event_id, track_id, tempo_h, row_number() OVER (PARTITION BY t.movie_id, track_id ORDER BY t.frame) - 1 AS i, count(*) OVER (PARTITION BY t.movie_id, track_id) AS n
+  FROM tracks t LEFT JOIN tt ON tt.movie_id = t.movie_id AND tt.frame = t.frame),
+lf AS (SELECT track_id, max(tempo_h) - min(tempo_h) + (SELECT modal_h FROM md) AS life FROM cl GROUP BY track_id)
+SELECT event_id, CASE WHEN i = n // 2 THEN round(life, 6) END AS lifetime_h FROM cl JOIN lf USING (track_id)"""),
+    ),
     "q5_outcomes": (lambda s, d: st.outcomes(_summary(s, d)), duck(_SUMMARY + " SELECT movie_id, final_outcome, count(*) AS n FROM summary GROUP BY ALL")),
     "q6_growth": (lambda s, d: st.growth(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(DISTINCT track_id) AS n FROM tracks GROUP BY ALL")),
     "q7_divisions": (lambda s, d: st.divisions(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(*) AS n FROM (SELECT movie_id, track_id, min(frame) AS frame FROM tracks WHERE parent_id > 0 GROUP BY ALL) GROUP BY ALL")),
