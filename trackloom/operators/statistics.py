@@ -60,6 +60,28 @@ def time_bins(df: DataFrame, value: str, bins: int = 8) -> DataFrame:
     return box(df.join(ends, "movie_id").withColumn("bin", place), value, "movie_id", "bin")
 
 
+def gradient(df: DataFrame, value: str, by: str) -> DataFrame:
+    """Box statistics of a column over all rows of a movie by ``group``.
+
+    ``by`` is ``outcome`` (the track's final one), ``phase`` (the row's) or ``mitotic`` (mothers and tracks that end in Mitosis).
+    """
+    if by == "phase":
+        rows = df.withColumn("group", F.col("fase"))
+    elif by in ("outcome", "mitotic"):
+        fate = final_outcomes(df, mothers_divide=by == "mitotic")
+        group = F.col("final_outcome") if by == "outcome" else F.when(F.col("final_outcome") == MITOSIS, F.lit("mitotic")).otherwise(F.lit("non-mitotic"))
+        rows = df.join(fate, TRACK).withColumn("group", group)
+    else:
+        raise ValueError(f"no such grouping: {by}")
+    return box(rows, value, "movie_id", "group")
+
+
+def odometer(df: DataFrame, pixel_size: float = 1.0) -> DataFrame:
+    """The way that each track has come up to each row, as ``way``."""
+    gone = F.coalesce(F.hypot(F.col("pos_x") - F.lag("pos_x").over(along()), F.col("pos_y") - F.lag("pos_y").over(along())), F.lit(0.0))
+    return df.withColumn("gone", gone * F.lit(float(pixel_size))).withColumn("way", F.sum("gone").over(so_far())).drop("gone")
+
+
 def aggregated(df: DataFrame, x: str, y: str, how: str = "mean", group: str | None = None) -> DataFrame:
     """Any column of a movie by any other, optionally by group: mean, median, sum or count."""
     agg = {"mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count}[how]

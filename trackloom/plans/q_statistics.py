@@ -17,6 +17,10 @@ from .fixtures import duck
 from .q_trajectory import _MOTILITY, _STEP, _SUMMARY, rounded
 
 _BOX = ["q1", "median", "q3"]
+_FATE = """
+, fo AS (
+  SELECT movie_id, track_id, coalesce(arg_min(outcome, frame) FILTER (outcome NOT IN ('', 'nan', 'None')), 'none') AS fate
+  FROM tracks GROUP BY movie_id, track_id)"""
 _QB = "count(*) AS n, round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3"
 _NAME = "concat('dir/', lpad(cast(frame as string), 5, '0'), '_', cast(floor(frame / 48) as string), 'd', cast(floor((frame % 48) / 2) as string), 'h', cast((frame % 2) * 30 as string), 'm.tif')"
 
@@ -116,6 +120,25 @@ SELECT event_id, CASE WHEN i = n // 2 THEN round(life, 6) END AS lifetime_h FROM
     "q7_divisions": (lambda s, d: st.divisions(fx.tracks(s, d)), duck(" SELECT movie_id, frame, count(*) AS n FROM (SELECT movie_id, track_id, min(frame) AS frame FROM tracks WHERE parent_id > 0 GROUP BY ALL) GROUP BY ALL")),
     "q8_ensemble_msd": (lambda s, d: rounded(st.ensemble_msd(fx.tracks(s, d)), "msd"), duck(_STEP + ", l AS (SELECT a.movie_id, a.track_id, b.rn - a.rn AS lag, avg(power(b.pos_x - a.pos_x, 2) + power(b.pos_y - a.pos_y, 2)) AS m FROM st a JOIN st b ON a.track_id = b.track_id AND b.rn - a.rn BETWEEN 1 AND 20 GROUP BY ALL) SELECT movie_id, lag, round(avg(m), 6) AS msd, count(*) AS n FROM l GROUP BY ALL")),
     "q9_time_bins": (lambda s, d: rounded(st.time_bins(fx.tracks(s, d), "area_px"), *_BOX), duck(", e AS (SELECT min(frame) AS lo, max(frame) AS hi FROM tracks) SELECT movie_id, least(7, floor((frame - lo) * 8 / (hi - lo)))::BIGINT AS bin, " + _QB.format(v="area_px") + " FROM tracks CROSS JOIN e GROUP BY ALL")),
+    "q9_by_outcome": (
+        lambda s, d: rounded(st.gradient(fx.tracks(s, d), "area_px", "outcome"), *_BOX),
+        duck(_FATE + ' SELECT movie_id, fate AS "group", ' + _QB.format(v="area_px") + " FROM tracks JOIN fo USING (movie_id, track_id) GROUP BY movie_id, fate"),
+    ),
+    "q9_by_division": (
+        lambda s, d: rounded(st.gradient(fx.tracks(s, d), "area_px", "mitotic"), *_BOX),
+        duck(_FATE + """, md AS (
+  SELECT movie_id, track_id, CASE WHEN fate = 'Mitosis' OR track_id IN (SELECT parent_id FROM tracks WHERE parent_id > 0) THEN 'mitotic' ELSE 'non-mitotic' END AS g
+  FROM fo)
+SELECT movie_id, g AS "group", """ + _QB.format(v="area_px") + " FROM tracks JOIN md USING (movie_id, track_id) GROUP BY movie_id, g"),
+    ),
+    "q9_by_phase": (
+        lambda s, d: rounded(st.gradient(fx.tracks(s, d), "area_px", "phase"), *_BOX),
+        duck(' SELECT movie_id, fase AS "group", ' + _QB.format(v="area_px") + " FROM tracks GROUP BY movie_id, fase"),
+    ),
+    "q12_odometer": (
+        lambda s, d: rounded(st.odometer(fx.tracks(s, d), 0.5).select("event_id", "way"), "way"),
+        duck(_STEP + " SELECT event_id, round(sum(0.5 * coalesce(step, 0)) OVER (PARTITION BY track_id ORDER BY frame), 6) AS way FROM st"),
+    ),
     "q10_aggregated": (lambda s, d: rounded(st.aggregated(fx.tracks(s, d), "fase", "area_px", "median", "outcome"), "value"), duck(" SELECT movie_id, outcome, fase, round(median(area_px), 6) AS value FROM tracks GROUP BY ALL")),
     "q11_moving_average": (lambda s, d: rounded(st.moving_average(fx.tracks(s, d), "area_px", 5).select("event_id", "smooth"), "smooth"), duck(" SELECT event_id, round(CASE WHEN count(*) OVER (PARTITION BY track_id) >= 5 THEN sum(area_px) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 ELSE area_px END, 6) AS smooth FROM tracks")),
     "q12_cumulative": (lambda s, d: st.cumulative_change(fx.tracks(s, d), "area_px").select("event_id", "cumulative"), duck(", x AS (SELECT *, coalesce(abs(area_px - lag(area_px) OVER (PARTITION BY track_id ORDER BY frame)), 0) AS dl FROM tracks) SELECT event_id, sum(dl) OVER (PARTITION BY track_id ORDER BY frame) AS cumulative FROM x")),
