@@ -103,6 +103,28 @@ def _drifted(s, d):
     return fx.channel_pixels(s, d).withColumns({"channel": F.lit("drifted"), "y": F.col("y") + 1, "x": F.col("x") + shift}).where("y < 40 AND x < 96")
 
 
+_CORNER = "0.08578643762690492 * v11 + 0.20710678118654757 * (v{0}1 + v1{1}) + 0.5 * v{0}{1} - value >= -1e-9"  # (1 - s)^2, (1 - s) s and s^2 of s, the root of 1/2
+_PATTERNS = """
+, core AS (
+  SELECT m.frame, m.label, m.y, m.x
+  FROM mask_pixels m JOIN mask_pixels n ON n.frame = m.frame AND n.label = m.label AND abs(n.y - m.y) + abs(n.x - m.x) = 1
+  GROUP BY m.frame, m.label, m.y, m.x HAVING count(*) = 4),
+near AS (
+  SELECT k.frame, k.label, k.y, k.x, """ + ", ".join(f"coalesce(max(c.value) FILTER (c.y - k.y = {i - 1} AND c.x - k.x = {j - 1}), 0) AS v{i}{j}" for i in range(3) for j in range(3)) + """
+  FROM core k JOIN channel_pixels c ON c.frame = k.frame AND abs(c.y - k.y) <= 1 AND abs(c.x - k.x) <= 1
+  GROUP BY k.frame, k.label, k.y, k.x),
+bits AS (
+  SELECT frame, label, list_transform([v12 - value >= -1e-9, """ + _CORNER.format(0, 2) + ", v01 - value >= -1e-9, " + _CORNER.format(0, 0) + ", v10 - value >= -1e-9, " + _CORNER.format(2, 0) + ", v21 - value >= -1e-9, " + _CORNER.format(2, 2) + """], lambda b: b::INT) AS b
+  FROM (SELECT *, v11 AS value FROM near)),
+code AS (
+  SELECT frame, label, CASE WHEN list_sum(list_transform(range(1, 9), lambda i: abs(b[i] - b[i % 8 + 1]))) <= 2 THEN list_sum(b) ELSE 9 END AS code
+  FROM bits),
+share AS (SELECT frame, label, code, count(*) / sum(count(*)) OVER (PARTITION BY frame, label) AS p, sum(count(*)) OVER (PARTITION BY frame, label) AS px FROM code GROUP BY frame, label, code),
+stat AS (
+  SELECT frame, label, coalesce(sum(p) FILTER (code = 0), 0) AS hi, coalesce(sum(p) FILTER (code = 8), 0) AS lo, sum(-p * ln(p + 1e-12)) AS en
+  FROM share WHERE px >= 8 GROUP BY frame, label)
+SELECT frame, label, round(hi, 6) AS localmax, round(lo, 6) AS localmin, round(en, 6) AS entropy
+FROM (SELECT DISTINCT frame, label FROM mask_pixels) LEFT JOIN stat USING (frame, label)"""
 #: Pixels of rings inside the image that no other nucleus is within two steps of.
 _APART = """
 SELECT frame, label, count(*) AS n, sum(y * 96 + x)::BIGINT AS places
@@ -188,7 +210,7 @@ SELECT (frame // 100000)::BIGINT AS movie_id, 'gfp' AS channel, width, round(med
         duck(_BG + _TEXTURE + """
 SELECT z.frame, z.label, round(CASE WHEN any_value(px) >= 8 THEN sum(contrast) / 4 END, 9) AS contrast, round(CASE WHEN any_value(px) >= 8 THEN sum(energy) / 4 END, 9) AS energy, round(CASE WHEN any_value(px) >= 8 THEN sum(homogeneity) / 4 END, 9) AS homogeneity, round(CASE WHEN any_value(px) >= 8 THEN sum(entropy) / 4 END, 9) AS entropy FROM z LEFT JOIN s ON s.frame = z.frame AND s.label = z.label GROUP BY ALL""", True),
     ),
-    "g21_lbp": (lambda s, d: rounded(it.local_binary_patterns(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "label", "localmax", "localmin", "entropy"), "localmax", "localmin", "entropy"), None),
+    "g21_lbp": (lambda s, d: rounded(it.local_binary_patterns(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "label", "localmax", "localmin", "entropy"), "localmax", "localmin", "entropy"), duck(_PATTERNS, True)),
     "g22_signal_drift": (lambda s, d: rounded(it.signal_drift(fx.channel_pixels(s, d), fx.mask_pixels(s, d)).select("movie_id", "frame", "median", "drift"), "drift"), duck(", p AS (SELECT frame, median(value) AS median FROM channel_pixels JOIN mask_pixels USING (frame, y, x) GROUP BY frame) SELECT frame, median, round(median / b, 6) AS drift FROM p LEFT JOIN (SELECT frame // 100000 AS mv, arg_min(median, frame) AS b FROM p WHERE median > 0 GROUP BY 1) ON mv = frame // 100000", True)),
     "g24_foci": (
         lambda s, d: rounded(it.foci(_stats(s, d), it.haralick(_levels(s, d)), it.signal_drift(fx.channel_pixels(s, d), fx.mask_pixels(s, d))).select("movie_id", "frame", "label", "nuc_median", "cv", "contrast", "drift"), "nuc_median", "cv", "contrast", "drift"),
