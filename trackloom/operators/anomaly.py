@@ -62,28 +62,54 @@ def area_outliers(morphometry: DataFrame, t: Thresholds = Thresholds()) -> DataF
     return rows.select("movie_id", "frame", "label", F.concat_ws("; ", F.array_compact(F.array(*kinds))).alias("reason")).where("reason <> ''")
 
 
-def identity_swaps(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Neighbours whose steps from a frame to the next are shorter with their identities exchanged.
+def _nearest(asked: DataFrame, others: DataFrame, radius: float) -> DataFrame:
+    """For each asked (movie_id, track_id, frame, x, y) the nearest of ``others`` (the same columns) in its frame that is another track, up to ``radius``.
 
-    Neighbours are found in a grid of cells as wide as the search radius: an equi-join on nine cells, no nested loop.
+    Gives the asked columns with distance, other, ox and oy; ties go to the smaller id. Only the two smallest ids of a place can be anybody's
+    nearest. The search begins with a reach at which a cell of the densest frame holds few places, and goes on four times as far with
+    those that found nobody, so that pairs grow with the rows, however crowded a frame is. Rows of equal size compress
+    to small files, which Spark would broadcast whole: joins of stored rows merge.
     """
-    radius = F.lit(float(t.swap_radius_px))
+    place = ["movie_id", "frame", "x", "y"]
+    first = Window.partitionBy(*place).orderBy("track_id")
+    spots = others.select(*place, "track_id").distinct().withColumn("r", F.row_number().over(first)).where("r <= 2")
+    spots = stored(spots.select("movie_id", "frame", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("track_id").alias("other")), "places")
+    area = (F.max("ox") - F.min("ox") + 1) * (F.max("oy") - F.min("oy") + 1)
+    crowd = spots.groupBy("movie_id", "frame").agg((F.count("*") / area).alias("d")).agg(F.max("d")).first()[0] or 0.0
+    reach = float(radius)
+    while crowd * reach * reach > 4 and reach > radius / 2**20:
+        reach /= 4
+    left, found = stored(asked.select("movie_id", "track_id", "frame", "x", "y").distinct(), "asked"), None
+    while True:
+        cell = lambda c, by=0.0, wide=2 * reach: F.floor((F.col(c) + F.lit(by)) / F.lit(wide))
+        around = left.withColumn("cx", F.explode(F.sequence(cell("x", -reach), cell("x", reach)))).withColumn("cy", F.explode(F.sequence(cell("y", -reach), cell("y", reach))))
+        pairs = around.join(spots.withColumns({"cx": cell("ox"), "cy": cell("oy")}).hint("merge"), ["movie_id", "frame", "cx", "cy"])
+        pairs = pairs.where("other <> track_id").withColumn("distance", F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"))).where(F.col("distance") <= reach)
+        best = pairs.groupBy("movie_id", "track_id", "frame", "x", "y").agg(F.min(F.struct("distance", "other", "ox", "oy")).alias("best"))
+        best = stored(best.select("movie_id", "track_id", "frame", "x", "y", "best.*"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        if reach >= radius:
+            return found
+        left, reach = stored(left.hint("merge").join(best, ["movie_id", "track_id", "frame", "x", "y"], "left_anti"), "asked"), min(float(radius), 4 * reach)
+
+
+def identity_swaps(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Neighbours whose steps from a frame to the next are shorter with their identities exchanged."""
     rows = df.where(valid() & ~quarantined()).select(*TRACK, "frame", "pos_x", "pos_y", "area_px")
     after = rows.select(*TRACK, (F.col("frame") - 1).alias("frame"), F.col("pos_x").alias("x1"), F.col("pos_y").alias("y1"), F.col("area_px").alias("a1"))
-    both = rows.join(after, [*TRACK, "frame"]).withColumn("cx", F.floor(F.col("pos_x") / radius)).withColumn("cy", F.floor(F.col("pos_y") / radius))
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = both.withColumn("d", F.explode(near)).withColumn("cx", F.col("cx") + F.col("d.i")).withColumn("cy", F.col("cy") + F.col("d.j")).drop("d")
-    a, b = left.alias("a"), both.alias("b")
-    same = (F.col("a.movie_id") == F.col("b.movie_id")) & (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.track_id") != F.col("b.track_id"))
-    sep = F.hypot(F.col("a.pos_x") - F.col("b.pos_x"), F.col("a.pos_y") - F.col("b.pos_y"))
+    both = stored(rows.join(after, [*TRACK, "frame"]), "steps")
+    at = both.select(*TRACK, "frame", F.col("pos_x").alias("x"), F.col("pos_y").alias("y"))
+    near = _nearest(at, at, t.swap_radius_px).withColumnRenamed("distance", "separation").alias("n")
+    a, b = both.alias("a"), both.alias("b")
+    here = lambda k, track, x, y: (F.col("n.movie_id") == F.col(f"{k}.movie_id")) & (F.col("n.frame") == F.col(f"{k}.frame")) & (F.col(f"n.{track}") == F.col(f"{k}.track_id")) & (F.col(f"n.{x}") == F.col(f"{k}.pos_x")) & (F.col(f"n.{y}") == F.col(f"{k}.pos_y"))
     d = lambda p, q: F.hypot(F.col(f"{p}.x1") - F.col(f"{q}.pos_x"), F.col(f"{p}.y1") - F.col(f"{q}.pos_y"))
     turn = lambda p, q: F.abs(F.col(f"{p}.a1") - F.col(f"{q}.area_px"))
-    pairs = a.join(b, same).where(sep <= radius).select(
-        F.col("a.movie_id").alias("movie_id"), F.col("a.frame").alias("frame"), F.col("a.track_id").alias("ta"), F.col("b.track_id").alias("tb"), sep.alias("separation"),
+    pairs = near.join(a.hint("merge"), here("a", "track_id", "x", "y")).join(b.hint("merge"), here("b", "other", "ox", "oy")).select(
+        F.col("a.movie_id").alias("movie_id"), F.col("a.frame").alias("frame"), F.col("a.track_id").alias("ta"), F.col("b.track_id").alias("tb"), "separation",
         d("a", "a").alias("d_ii"), d("b", "b").alias("d_jj"), d("a", "b").alias("d_ij"), d("b", "a").alias("d_ji"),
         F.coalesce(turn("a", "b") + turn("b", "a") < turn("a", "a") + turn("b", "b"), F.lit(False)).alias("area_corroborates"),
     )
-    nearest = Window.partitionBy("movie_id", "frame", "ta").orderBy("separation", "tb")
+    nearest = Window.partitionBy("movie_id", "frame", "ta").orderBy("separation", "tb")  # a track with several rows in a frame
     pairs = pairs.withColumn("r", F.row_number().over(nearest)).where("r = 1")
     gain = (F.col("d_ii") + F.col("d_jj")) - (F.col("d_ij") + F.col("d_ji"))
     found = pairs.where((F.col("d_ij") < F.col("d_ii")) & (F.col("d_ji") < F.col("d_jj")) & (gain >= F.greatest(t.swap_margin * (F.col("d_ii") + F.col("d_jj")), F.lit(t.swap_min_improvement_px))))
