@@ -145,18 +145,17 @@ def mass_balance(df: DataFrame, entries: DataFrame | None = None, threshold: int
 
 
 def relink_suggestions(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """For each gap, the other track nearest to where the broken one should be in the first missing frame, found in a grid as ``identity_swaps`` does."""
+    """For each gap, the other track nearest to where the broken one should be in the first missing frame."""
     rows = df.where(valid()).select(*TRACK, "frame", "pos_x", "pos_y")
     prev = lambda c: F.col(c) - F.lag(c).over(along())
     gaps = rows.withColumns({"next": F.lead("frame").over(along()), "vx": F.coalesce(prev("pos_x"), F.lit(0.0)), "vy": F.coalesce(prev("pos_y"), F.lit(0.0))}).where(F.col("next") > F.col("frame") + 1).where(~quarantined())
     gaps = gaps.select(*TRACK, (F.col("frame") + 1).alias("gap_start"), (F.col("next") - 1).alias("gap_end"), (F.col("pos_x") + F.col("vx")).alias("expected_x"), (F.col("pos_y") + F.col("vy")).alias("expected_y"))
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(t.relink_radius_px)))
-    other = rows.select("movie_id", F.col("track_id").alias("candidate"), F.col("frame").alias("gap_start"), "pos_x", "pos_y", cell("pos_x").alias("cx"), cell("pos_y").alias("cy"))
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    gaps = gaps.withColumn("d", F.explode(near)).withColumn("cx", cell("expected_x") + F.col("d.i")).withColumn("cy", cell("expected_y") + F.col("d.j")).drop("d")
-    dist = F.hypot(F.col("pos_x") - F.col("expected_x"), F.col("pos_y") - F.col("expected_y"))
-    found = gaps.join(other, ["movie_id", "gap_start", "cx", "cy"]).where("candidate <> track_id").withColumn("distance", dist).where(F.col("distance") <= t.relink_radius_px)
-    best = found.groupBy(*TRACK, "gap_start", "gap_end", "expected_x", "expected_y").agg(F.min(F.struct("distance", "candidate", "pos_x", "pos_y")).alias("best"))
+    gaps = stored(gaps.distinct(), "gaps")
+    asked = gaps.select(*TRACK, F.col("gap_start").alias("frame"), F.col("expected_x").alias("x"), F.col("expected_y").alias("y"))
+    starts = gaps.select("movie_id", F.col("gap_start").alias("frame")).distinct()
+    others = rows.select(*TRACK, "frame", F.col("pos_x").alias("x"), F.col("pos_y").alias("y")).join(starts, ["movie_id", "frame"], "left_semi")
+    near = _nearest(asked, others, t.relink_radius_px)
+    best = gaps.join(near.select(*TRACK, F.col("frame").alias("gap_start"), F.col("x").alias("expected_x"), F.col("y").alias("expected_y"), F.struct("distance", F.col("other").alias("candidate"), F.col("ox").alias("pos_x"), F.col("oy").alias("pos_y")).alias("best")), [*TRACK, "gap_start", "expected_x", "expected_y"])
     return best.select(*TRACK, "gap_start", "gap_end", (F.col("gap_end") - F.col("gap_start") + 1).alias("missing"), "expected_x", "expected_y", "best.candidate", "best.pos_x", "best.pos_y", "best.distance")
 
 
