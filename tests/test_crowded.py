@@ -3,7 +3,9 @@
 import math
 import random
 
-from trackloom.operators import anomaly
+from pyspark.sql import functions as F
+
+from trackloom.operators import anomaly, intensity, pixels
 
 
 def test_nearest_in_crowded_frames(spark):
@@ -20,3 +22,20 @@ def test_nearest_in_crowded_frames(spark):
     assert got == want
     assert len(want) > 1200
     assert anomaly._nearest(table.limit(0), table.limit(0), 40.0).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_are_not_broadcast(spark, monkeypatch):
+    """The driver never holds a table of pixels, however small the files of a stored one are."""
+    rows = [(0, f, y, x, 1 + x // 4) for f in range(3) for y in range(8) for x in range(16) if x % 4 != 3]
+    mask = spark.createDataFrame(rows, "movie_id long, frame long, y long, x long, label long")
+    plans, keep = [], pixels.stored
+    monkeypatch.setattr(pixels, "stored", lambda df, name: plans.append(_plan(df)) or keep(df, name))
+    assert pixels.components(mask).select("label", "part").distinct().count() == 4
+    levelled = mask.withColumns({"channel": F.lit("a"), "q": (F.col("x") % 5).cast("int")})
+    plans.append(_plan(intensity.haralick(levelled)))
+    assert len(plans) > 2
+    assert not [p for p in plans if "Broadcast" in p]
