@@ -153,6 +153,14 @@ def test_scores_of_any_size():
     assert hard_negatives.exact(q, x).tolist() == [2**63 - 1, 2**62 + 1, -(2**63)]
 
 
+def test_a_score_at_the_lower_end_of_a_window_of_large_scores():
+    q = np.array([[-625974631, 515467214]])
+    x = np.array([[-389594054, -457930399], [130970582, -443165318], [-604213037, 337478606], [895249259, -702835237], [-978602027, -357745762], [808230910, -1040350193], [1030607241, -44908887], [247476552, -198605742]])
+    low = 552181189700888031  # the third row's score; doubles near it lie 64 apart
+    found = list(hard_negatives.best(x, np.arange(8), q, np.ones((1, 8), bool), [(0, low, 663963986038946688)], 5))
+    assert [(w, ids.tolist(), s.tolist()) for w, ids, s in found] == [(0, [2], [low])]
+
+
 @pytest.mark.parametrize("share", [0.0, 0.2, 0.9])
 def test_pruning_loses_no_pair(share):
     rng = np.random.default_rng(5)
