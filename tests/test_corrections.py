@@ -226,3 +226,33 @@ def test_mixed_edits_equal_a_replay_one_by_one(spark, seed):
     assert got[0] == want[0]
     assert got[1] == want[1]
     assert 2 < levels < 9
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_edits_see_other_mothers_and_sisters(spark, seed):
+    """Tracks with several mothers over time, in long lines: an edit must not touch what lies beyond its relatives."""
+    rng = random.Random(seed)
+    movies, edits = {}, []
+    for m in (0, 1):
+        rows = [(t, f, rng.choice([-1, *range(max(1, t - 5), t)]), rng.choice(["", "Mitosis"])) for t in range(1, 121) for f in range(t // 2, t // 2 + 4)]
+        movies[m] = rows
+        for seq in range(12):
+            a = rng.randint(1, 120)
+            kind = rng.choice(["flag", "unlink", "link", "merge", "swap", "swap_there", "delete", "delete_there"])
+            b = max(1, a + rng.choice([-4, -1, 1, 3])) if kind in ("link", "merge", "swap", "swap_there") else None
+            edits.append((m, seq, kind, a, b, a // 2 + rng.randint(0, 3), rng.choice(["Exit", None])))
+    got, want, _ = replayed(spark, movies, edits)
+    assert got[0] == want[0]
+    assert got[1] == want[1]
+
+
+def test_edits_write_only_rows_of_their_relatives(spark, monkeypatch):
+    written = []
+    kept = replay.stored
+    monkeypatch.setattr(replay, "stored", lambda df, name: (lambda out: (written.append((name, out.count())), out)[1])(kept(df, name)))
+    rows = [(t, f, -1, "") for t in range(1, 301) for f in range(5)] + [(t, f, t - 400, "") for t in range(401, 421) for f in range(10, 12)]
+    edits = [(0, 1, "merge", 1, 2, None, None), (0, 2, "flag", 2, None, None, "Exit"), (0, 3, "delete", 2, None, None, None), (0, 4, "unlink", 403, None, None, None)]
+    got, want, levels = replayed(spark, {0: rows}, edits)
+    assert got == want and levels == 3
+    tables = sum(n for name, n in written if n >= len(rows) // 2)
+    assert tables == 3 * len(rows)  # the observations as given and without invalid divisions, and the pixels; before, each edit wrote one or both again

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import TRACK
 from ..sources.work import stored
 from . import edits as ed
 from . import lineage
@@ -64,21 +65,49 @@ def _applied(df: DataFrame, mask: DataFrame, kind: str, batch: DataFrame) -> tup
     return ed.delete(df, mask, track.select("movie_id", "track_id") if kind == "delete" else track.select("movie_id", "track_id", "frame"))
 
 
+def involved(pairs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """movie_id, id: the tracks that edits name; and movie_id, id, only_read: all whose rows the edits may change or must see.
+
+    ``pairs`` (movie_id, track_id, parent_id) are those of the observations. Beside its own tracks an edit changes their mothers and daughters,
+    and all daughters of a mother whose divisions dissolve. The other mothers of all these are seen only: they tell whether a division is valid.
+    """
+    down = lambda ids: pairs.join(ids.withColumnRenamed("id", "parent_id"), ["movie_id", "parent_id"], "left_semi").select("movie_id", F.col("track_id").alias("id"))
+    up = lambda ids: pairs.where("parent_id > 0").join(ids.withColumnRenamed("id", "track_id"), TRACK, "left_semi").select("movie_id", F.col("parent_id").alias("id"))
+    named = stored(edits.select("movie_id", F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct(), "named")
+    kin = stored(named.union(up(named)).union(down(named)).distinct(), "kin")
+    own = stored(kin.union(down(kin)).distinct(), "own")
+    seen = up(own).distinct().join(own, ["movie_id", "id"], "left_anti")
+    return named, stored(own.withColumn("only_read", F.lit(False)).unionByName(seen.withColumn("only_read", F.lit(True))), "involved")
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame, how: str, c: str) -> DataFrame:
+    """A join of rows whose column ``c`` is among ``ids`` (movie_id, id, ...); a null id stands for rows without one."""
+    ids = ids.withColumnsRenamed({"movie_id": "of_movie", "id": "of_id"})
+    return rows.join(ids, (F.col("movie_id") == F.col("of_movie")) & F.col(c).eqNullSafe(F.col("of_id")), how)
+
+
 def replayed(df: DataFrame, mask: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables after all ``edits`` (movie_id, seq, kind, a, b, frame, flag), as if these were made one by one by ``seq``.
 
     ``seq`` is a number of its own for each edit of a movie; ``kind`` is one of ``KINDS``; columns that a kind has no use for are null. Divisions that are invalid beforehand dissolve first.
     A swap without ``b`` gets a new id before all edits, so the ids of later ones do not depend on the order. Merges chain: after 1 into 2 and 2 into 3 all is
     track 3. A merge of a track that is no longer there does nothing. Edits run level by level; the number of levels is the
-    longest chain of edits that touch each other, however many edits and movies there are.
+    longest chain of edits that touch each other, however many edits and movies there are. Levels read and write only the rows of ``involved`` tracks;
+    all others pass by once.
     """
-    df, mask = stored(df, "observations"), stored(mask, "pixels")  # each edit reads them several times
+    df, mask = stored(df, "observations"), stored(mask, "pixels")  # both are read several times
     bare = F.col("kind").isin("swap", "swap_there") & (F.coalesce("b", F.lit(0)) == 0)
     edits = stored(edits, "edits")
-    edits = edits.where(~bare).unionByName(ed.with_partners(df, mask, edits.where(bare)))
+    if not edits.where(bare).isEmpty():
+        edits = edits.where(~bare).unionByName(ed.with_partners(df, mask, edits.where(bare)))
     df = stored(ed.dissolve_invalid(df), "observations")
-    edits = stored(levels(df, edits), "levels")
+    pairs = stored(df.select(*TRACK, "parent_id").distinct(), "pairs")
+    edits = stored(levels(pairs, edits), "levels")
+    named, ids = involved(pairs, edits)
+    part = _with_ids(df, ids, "inner", "track_id").withColumn("parent_id", F.when(F.col("only_read"), F.lit(-1)).otherwise(F.col("parent_id")))
+    part, pix = stored(part.select(*df.columns, "only_read"), "part"), stored(_with_ids(mask, named, "left_semi", "label"), "part_pixels")
     for level, kind in sorted(map(tuple, edits.select("level", "kind").distinct().collect())):  # levels times kinds
-        out, pix = _applied(df, mask, kind, edits.where((F.col("level") == level) & (F.col("kind") == kind)))
-        df, mask = stored(out, "observations"), mask if pix is mask else stored(pix, "pixels")
-    return df, mask
+        out, changed = _applied(part, pix, kind, edits.where((F.col("level") == level) & (F.col("kind") == kind)))
+        part, pix = stored(out, "part"), pix if changed is pix else stored(changed, "part_pixels")
+    rest = _with_ids(df, ids.where("NOT only_read"), "left_anti", "track_id")
+    return rest.unionByName(part.where("NOT only_read").select(*df.columns)), _with_ids(mask, named, "left_anti", "label").unionByName(pix.select(*mask.columns))
