@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import timeaxis
-from trackloom.operators import anomaly, lineage, pixels, statistics, triage
+from trackloom.operators import anomaly, lineage, pixels, statistics, trajectory, triage
+from trackloom.plans import fixtures, q_statistics
 from trackloom.sources import published, tables
 
 TRACK = "movie_id long, track_id long, frame long, pos_x double, pos_y double, outcome string, parent_id long, fase string"
@@ -36,6 +37,23 @@ def test_a_failed_version_leaves_the_one_before(spark, tmp_path):
             published.publish({name: one}, path, "v3")
 
 
+def test_published_tables_do_not_compute_the_tracks_again(spark, monkeypatch):
+    seen, publish = [], published.publish
+    monkeypatch.setattr(published, "publish", lambda made, path, version, *more: (seen.append((made, path, version)), publish(made, path, version, *more)))
+    q_statistics._published(spark, "/root/testdata/sf0.001")
+    assert [v for _, _, v in seen] == ["v1", "v2"]
+    assert not [f for made, _, _ in seen for df in made.values() for f in df.inputFiles() if "events.parquet" in f]  # before, each of 16 tables read the events
+    raw = fixtures.tracks(spark, "/root/testdata/sf0.001")
+    whole = {"features": raw.select(*published.TRACK, "frame", F.col("area_px").alias("gfp_mean")), "windows": statistics.growth(raw).withColumn("track_id", F.col("n")), "summary": trajectory.track_summary(raw)}
+    for (made, path, version), k in zip(seen, (2, 3)):
+        keys = raw.where(F.col("track_id") % k == 0).select(*published.TRACK).distinct()
+        want = whole | {f"{n}_validated": df.join(keys, published.TRACK, "left_semi") for n, df in whole.items()} | {"validated_cells": raw.where(F.col("track_id") % k == 0), "fluorescence_gfp": whole["features"]}
+        assert set(made) == set(want)
+        for name, df in want.items():
+            got = published.table(spark, path, name, version)
+            assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect())), (version, name)
+
+
 def test_the_audit_is_appended(spark, tmp_path):
     path = str(tmp_path / "audit")
     for ids in ([1, 2], [3]):

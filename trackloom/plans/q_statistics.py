@@ -11,7 +11,7 @@ from ..operators import statistics as st
 from ..operators import trajectory as tr
 from ..sources import published as pb
 from ..sources import tables as tb
-from ..sources.work import shared_dir
+from ..sources.work import shared_dir, stored
 from . import fixtures as fx
 from .fixtures import duck
 from .q_trajectory import _MOTILITY, _STEP, _SUMMARY, rounded
@@ -83,11 +83,12 @@ def _reopened(s, d):
 def _published(s, d):
     """Two versions of the derived tables; the latest summary of validated tracks is read."""
     path = _folder(s, "versions")
-    tracks, summary = fx.tracks(s, d), _summary(s, d)
+    tracks = stored(fx.tracks(s, d), "tracks")  # all tables of both versions read them
+    summary, windows = stored(tr.track_summary(tracks), "summary"), stored(st.growth(tracks).withColumn("track_id", F.col("n")), "windows")
     features = tracks.select("movie_id", "track_id", "frame", F.col("area_px").alias("gfp_mean"))
     for version, k in (("v1", 2), ("v2", 3)):
         validated = tracks.where(F.col("track_id") % k == 0)
-        pb.publish(pb.derived(tracks, features, st.growth(tracks).withColumn("track_id", F.col("n")), summary, validated, ["gfp"]), path, version, {"pixel_size": 1.0})
+        pb.publish(pb.derived(tracks, features, windows, summary, validated, ["gfp"]), path, version, {"pixel_size": 1.0})
     return pb.table(s, path, "summary_validated").select("movie_id", "track_id", "fase", "final_outcome")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TRACK
 from .tables import channel_columns
+from .work import stored
 
 VERSIONS = "_versions"
 LISTED = "ordinal long, version string, attempt string, tables array<string>, provenance map<string,string>, published_at timestamp"
@@ -72,9 +73,10 @@ def table(spark: SparkSession, path: str, name: str, version: str | None = None)
 def derived(tracks: DataFrame, features: DataFrame, windows: DataFrame, summary: DataFrame, validated: DataFrame, channels: list[str] = (), times: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a version by name: features, windows and summary whole and of the validated tracks (movie_id, track_id) only.
 
-    Beside them the validated rows of ``tracks``, the columns of each channel, and the time axis if there is one.
+    Beside them the validated rows of ``tracks``, the columns of each channel, and the time axis if there is one. Each input is read by several
+    of the tables, so costly ones should be stored; the validated tracks are stored here.
     """
-    chosen = validated.select(*TRACK).distinct()
+    chosen = stored(validated.select(*TRACK).distinct(), "validated")
     found = {"validated_cells": tracks.join(chosen, TRACK, "left_semi")}
     for name, df in {"features": features, "windows": windows, "summary": summary}.items():
         found |= {name: df, f"{name}_validated": df.join(chosen, TRACK, "left_semi")}
