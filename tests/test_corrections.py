@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import consolidation, groups, replay
+from trackloom.operators import consolidation, edits as ed, groups, replay
 
 ROWS = "movie_id long, frame long, track_id long, pos_x double, pos_y double, parent_id long, outcome string, continuous_label long"
 PIXELS = "movie_id long, frame long, y long, x long, label long"
@@ -256,3 +256,12 @@ def test_edits_write_only_rows_of_their_relatives(spark, monkeypatch):
     assert got == want and levels == 3
     tables = sum(n for name, n in written if n >= len(rows) // 2)
     assert tables == 3 * len(rows)  # the observations as given and without invalid divisions, and the pixels; before, each edit wrote one or both again
+
+
+def test_tracks_without_a_mother_do_not_meet_in_one_task(spark):
+    rows = [(0, 5, 3, -1, ""), (0, 6, 3, 5, ""), (0, 7, 9, 5, ""), (0, -5, 1, -1, "Exit"), (0, None, 1, -1, "Exit"), (0, 8, 1, -1, "Mitosis"), (0, 9, 2, 8, ""), (0, 10, 2, 99, ""), (0, 11, 2, 11, ""), (0, 12, 2, 0, "")]
+    out = ed.dissolve_invalid(spark.createDataFrame(rows, SPARSE))
+    got = {r.track_id: (r.parent_id, r.outcome) for r in out.collect()}
+    assert got == {5: (-1, ""), 6: (-1, ""), 7: (-1, ""), -5: (-1, "Exit"), None: (-1, "Exit"), 8: (-1, "Mitosis"), 9: (8, ""), 10: (-1, ""), 11: (-1, ""), 12: (0, "")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(movie_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(movie_id" in x and ", parent_id#" in x.split("hashpartitioning")[1]]

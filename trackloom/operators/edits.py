@@ -77,7 +77,9 @@ def dissolve_invalid(df: DataFrame) -> DataFrame:
     both = edges.join(first("child"), ["movie_id", "child"], "left").join(first("parent"), ["movie_id", "parent"], "left")
     bad = both.where("parent <> child").groupBy("movie_id", "parent").agg(F.bool_or(F.col("first_parent").isNull() | (F.col("first_child") <= F.col("first_parent"))).alias("bad")).where("bad")
     bad = bad.select("movie_id", F.col("parent").alias("parent_id"), F.lit(True).alias("gone"))
-    rows = df.join(bad, ["movie_id", "parent_id"], "left")
+    # tracks without a mother are many: each has a key of its own that no mother has, so that they do not meet in one task
+    key = F.when(F.col("parent_id") > 0, F.col("parent_id")).otherwise(-F.abs("track_id"))
+    rows = df.withColumn("mother_key", key).join(bad.withColumnRenamed("parent_id", "mother_key"), ["movie_id", "mother_key"], "left").drop("mother_key")
     rows = rows.withColumn("parent_id", F.when(F.col("gone") | (F.col("parent_id") == F.col("track_id")), F.lit(-1)).otherwise(F.col("parent_id"))).drop("gone")
     mothers = bad.select("movie_id", F.col("parent_id").alias("track_id"), F.lit(True).alias("cleared"))
     rows = rows.join(mothers, TRACK, "left").withColumn("outcome", F.when(F.col("cleared") & (F.col("outcome") == MITOSIS), F.lit("")).otherwise(F.col("outcome")))
