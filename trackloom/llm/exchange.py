@@ -52,7 +52,23 @@ def narrow(x: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def widen(data: bytes, width: int) -> np.ndarray:
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes end to end as a binary column whose rows end there."""
+    offsets = np.r_[0, ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a binary column end to end."""
+    found = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else [0]
+        found.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8))
+    return np.concatenate(found) if found else np.zeros(0, np.uint8)
+
+
+def widen(data: bytes | np.ndarray, width: int) -> np.ndarray:
     wide = np.zeros((len(data) // width, 8), np.uint8)
     wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return wide.view("<u8").ravel()

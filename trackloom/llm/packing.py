@@ -69,10 +69,11 @@ class Rolling:
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sum[end] - self.sum[start]) * self.down[start])
 
-    def all(self, k: int) -> np.ndarray:
-        """Of the k values from each place that has as many."""
+    def all(self, k: int, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Of the k values from each place that has as many, or from each of the places a to before b."""
         n = len(self.sum) - k
-        return mix((self.sum[k:] - self.sum[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        n = n if b is None else min(n, b)
+        return mix((self.sum[a + k : n + k] - self.sum[a:n]) * self.down[a:n]) if n > a else np.zeros(0, np.uint64)
 
 
 class Texts:

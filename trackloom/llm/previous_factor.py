@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HOT, first_of_each, without_repeats
+from .repeats import HOT, spans, without_repeats
 
 
 def sorted_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,18 +70,14 @@ def longest_previous(owner: np.ndarray, common: np.ndarray, least: int) -> np.nd
 def match_bytes(length: int):
     """Marks the strings of ``length`` bytes that start in an earlier document of the part."""
 
-    def match(docs: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
-        kept, of, later = first_of_each(docs, texts)
-        sizes = np.array([len(texts[i]) for i in kept], np.int64)
-        data = np.frombuffer(b"".join([texts[i] for i in kept]), np.uint8)
-        runs = sizes - length + 1
-        start = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+    def match(docs: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs, by_id = sizes - length + 1, np.argsort(docs, kind="stable")
+        start = spans((np.cumsum(sizes) - sizes)[by_id], runs[by_id])
         order, common = sorted_suffixes(data, start, length)
-        owner = np.repeat(docs[np.array(kept, np.int64)], runs)[order]
+        owner = np.repeat(docs[by_id], runs[by_id])[order]
         mark = np.empty(len(order), bool)
-        mark[order] = longest_previous(owner, common, length) >= length
-        found = np.split(mark, np.cumsum(runs)[:-1])
-        return [np.ones_like(found[k]) if late else found[k] for k, late in zip(of.tolist(), later.tolist(), strict=True)]
+        mark[spans((np.cumsum(runs) - runs)[by_id], runs[by_id])[order]] = longest_previous(owner, common, length) >= length
+        return mark, runs
 
     return match
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HOT, first_of_each, without_repeats
+from .repeats import HOT, cut_texts, first_of_each, without_repeats
 
 
 class SuffixAutomaton:
@@ -77,7 +77,8 @@ class SuffixAutomaton:
 def match_words(length: int):
     """Marks the runs of ``length`` words that start in an earlier document of the shard."""
 
-    def match(docs: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
+    def match(docs: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = cut_texts(data, sizes)
         kept, of, later = first_of_each(docs, texts)
         automaton, found, waiting = SuffixAutomaton(), [], []
         for i in kept:  # by doc_id
@@ -88,7 +89,8 @@ def match_words(length: int):
             words = texts[i].split(b" ")
             found.append(np.array(automaton.matching(words)[length - 1 :]) >= length)
             waiting.append((i, words))
-        return [np.ones_like(found[k]) if late else found[k] for k, late in zip(of.tolist(), later.tolist(), strict=True)]
+        marks = [np.ones_like(found[k]) if late else found[k] for k, late in zip(of.tolist(), later.tolist(), strict=True)]
+        return np.concatenate(marks), np.array([len(x) for x in marks], np.int64)
 
     return match
 
