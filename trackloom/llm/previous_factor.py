@@ -1,9 +1,9 @@
 """Suffix-array dedup by longest-previous-factor arrays.
 
-The bytes around repeated anchors meet in parts (see ``repeats``). A part sorts their suffixes, and finds
-for each the previous and the next one in suffix order that belongs to an earlier document; the longer of the two common
-prefixes is its longest previous factor. Where that reaches the threshold, the string starts in an earlier
-document and this copy goes; the first stays. Suffixes are compared up to the threshold, which is all
+The bytes around repeated anchors meet in parts (see ``repeats``). A part sorts their suffixes, but for those whose bytes up to the
+threshold have a hash of their own, and finds for each the previous and the next one in suffix order that belongs to
+an earlier document; the longer of the two common prefixes is its longest previous factor. Where that reaches the threshold, the string
+starts in an earlier document and this copy goes; the first stays. Suffixes are compared up to the threshold, which is all
 that is asked of them.
 
 Defined results: null and empty texts have no bytes; shorter texts than the threshold lose none; of equal texts the
@@ -14,9 +14,11 @@ smallest doc_id; what is kept may not be valid UTF-8 and is binary; other column
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import Rolling, Texts
 from .repeats import HOT, spans, without_repeats
 
 
@@ -67,16 +69,25 @@ def longest_previous(owner: np.ndarray, common: np.ndarray, least: int) -> np.nd
     return np.maximum(_nearest_earlier(owner, common, least), _nearest_earlier(owner[::-1], after, least)[::-1])
 
 
+def _hashed_alike(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes whose first ``length`` bytes have a hash that others have too: all that can share so many with another one."""
+    rolling = Rolling(Texts(data, np.array([0, len(data)])).byte_values())
+    number, _ = pd.factorize(rolling.runs(start, start + length))
+    return np.flatnonzero((np.bincount(number) > 1)[number])
+
+
 def match_bytes(length: int):
     """Marks the strings of ``length`` bytes that start in an earlier document of the part."""
 
     def match(docs: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs, by_id = sizes - length + 1, np.argsort(docs, kind="stable")
         start = spans((np.cumsum(sizes) - sizes)[by_id], runs[by_id])
-        order, common = sorted_suffixes(data, start, length)
-        owner = np.repeat(docs[by_id], runs[by_id])[order]
-        mark = np.empty(len(order), bool)
-        mark[spans((np.cumsum(runs) - runs)[by_id], runs[by_id])[order]] = longest_previous(owner, common, length) >= length
+        place = spans((np.cumsum(runs) - runs)[by_id], runs[by_id])
+        some = _hashed_alike(data, start, length)
+        order, common = sorted_suffixes(data, start[some], length)
+        owner = np.repeat(docs[by_id], runs[by_id])[some][order]
+        mark = np.zeros(len(start), bool)
+        mark[place[some][order]] = longest_previous(owner, common, length) >= length
         return mark, runs
 
     return match
